@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, media, packing
+from . import chat, decontaminate, media, packing, wordpiece
 
-QUERIES = {f.__name__: f for f in (decontaminate.op5_benchmark_decontamination, media.op8_media_columns, packing.op9_best_fit_packing)}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        decontaminate.op5_benchmark_decontamination,
+        wordpiece.op6_token_counts,
+        chat.op7_chat_formatting,
+        media.op8_media_columns,
+        packing.op9_best_fit_packing,
+    )
+}
+ORACLE: dict[str, str] = {"op7_chat_formatting": chat.ORACLE}
