@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, media, packing, wordpiece
+from . import chat, decontaminate, media, packing, secrets, toxicity, wordpiece
 
 QUERIES = {
     f.__name__: f
     for f in (
+        secrets.op2_secret_scans,
+        toxicity.op3_toxicity,
         decontaminate.op5_benchmark_decontamination,
         wordpiece.op6_token_counts,
         chat.op7_chat_formatting,
@@ -14,4 +16,4 @@ QUERIES = {
         packing.op9_best_fit_packing,
     )
 }
-ORACLE: dict[str, str] = {"op7_chat_formatting": chat.ORACLE}
+ORACLE: dict[str, str] = {"op2_secret_scans": secrets.ORACLE, "op7_chat_formatting": chat.ORACLE}
