@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, media, packing, secrets, toxicity, wordpiece
+from . import chat, decontaminate, jaccard, media, packing, secrets, toxicity, wordpiece
 
 QUERIES = {
     f.__name__: f
     for f in (
         secrets.op2_secret_scans,
         toxicity.op3_toxicity,
+        jaccard.op4_ngram_jaccard_join,
         decontaminate.op5_benchmark_decontamination,
         wordpiece.op6_token_counts,
         chat.op7_chat_formatting,
