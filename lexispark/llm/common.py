@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,19 +28,32 @@ def crc_mod(col: Column, mod: int, rest: int) -> Column:
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % mod == rest, F.lit(False))
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the session's shared folder.
-
-    ``spark.checkpoint.dir`` decides where; only a local session that has none gets a temporary folder.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; only a local session that has none gets a temporary one."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lexispark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a checkpoint: for small tables that steps of an iteration hand on."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a compressed table in the shared folder: for large ones. Spark removes it as it ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def rows(batches: Iterator[pa.RecordBatch], most: int = 2048, chars: int = 16_000_000) -> Iterator[tuple[list, list]]:
     """(keys, texts) of small bounded groups of rows from batches of (key, text); null text is empty."""
     for batch in batches:

@@ -209,7 +209,7 @@ def links(held: DataFrame) -> DataFrame | None:
     for turn in range(ROUNDS + 1):
         lists = index.withColumn("label", F.col("cls")) if labels is None else index.join(labels.select(F.col("node").alias("cls"), F.col("label")), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         open_ = lists.groupBy("t").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("t")
-        lists = common.materialize(lists.join(open_, "t"))
+        lists = common.stored(lists.join(open_, "t"))
         by = lists.groupBy("t", "label").agg(F.count("*").alias("k")).groupBy("t").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
         rest = by.selectExpr("coalesce(sum((k * k - kk) div 2), 0) as n").first()["n"]
         if not rest:
@@ -230,12 +230,12 @@ def links(held: DataFrame) -> DataFrame | None:
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) for each row of ``docs``."""
-    told = common.materialize(classes(docs, key, text))
+    told = common.stored(classes(docs, key, text))
     base = told.where("c is null").select("key", "n", "cls")
     total = base.agg(F.sum("n")).first()[0] or 0
     often = told.where("c is not null").groupBy("t").agg(F.sum("c").alias("c")).where(F.col("c") >= max(FREQUENT, total // MOST_FREQUENT + 1)).orderBy("c", "t")
     frequent = np.array([r["t"] for r in often.collect()], np.int64).view(np.uint64)
-    held = common.materialize(candidates(tokens(docs, text, frequent)))
+    held = common.stored(candidates(tokens(docs, text, frequent)))
     labels = links(held)
     by_class = base.where("cls is not null").groupBy("cls").agg(F.min("key").alias("least"))
     if labels is not None:

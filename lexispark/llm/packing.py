@@ -176,4 +176,4 @@ def pack(cut: DataFrame, size: int = SIZE, per_bucket: int = 20_000) -> DataFram
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies."""
-    return pack(common.materialize(pieces(common.table(spark, sf_dir, "documents"))))
+    return pack(common.stored(pieces(common.table(spark, sf_dir, "documents"))))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard, media, packing, secrets, toxicity, wordpiece
+from . import chat, ctw, decontaminate, jaccard, media, packing, passages, secrets, toxicity, wordpiece
 
 QUERIES = {
     f.__name__: f
     for f in (
+        passages.op1_substring_dedup,
         secrets.op2_secret_scans,
         toxicity.op3_toxicity,
         jaccard.op4_ngram_jaccard_join,
@@ -15,6 +16,7 @@ QUERIES = {
         chat.op7_chat_formatting,
         media.op8_media_columns,
         packing.op9_best_fit_packing,
+        ctw.op10_lm_scoring,
     )
 }
 ORACLE: dict[str, str] = {"op2_secret_scans": secrets.ORACLE, "op7_chat_formatting": chat.ORACLE}

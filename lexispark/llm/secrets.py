@@ -91,14 +91,14 @@ def link(found: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:
     """(key, base, linked) for each row of ``docs``: base spans and linked weak candidates as (start, ord, kind, stop)."""
-    found = common.materialize(parts(docs, key, text).select(F.sha2(F.concat_ws(":", F.coalesce(F.col("key").cast("string"), F.lit("")), "text"), 256).alias("row"), "key", "base", "weak"))
+    found = common.stored(parts(docs, key, text).select(F.sha2(F.concat_ws(":", F.coalesce(F.col("key").cast("string"), F.lit("")), "text"), 256).alias("row"), "key", "base", "weak"))
     # Equal rows share ``row`` and so each gets all of their links: sets make them one.
     return link(found, scope).select(F.col("key").alias(key), "base", "linked")
 
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every base and linked span of its text replaced by ``mark``; a length column follows its text."""
-    keyed = common.materialize(parts(docs, key, text).select(F.sha2(F.concat_ws(":", F.coalesce(F.col("key").cast("string"), F.lit("")), "text"), 256).alias("row"), "base", "weak").where("size(base) + size(weak) > 0").distinct())
+    keyed = common.stored(parts(docs, key, text).select(F.sha2(F.concat_ws(":", F.coalesce(F.col("key").cast("string"), F.lit("")), "text"), 256).alias("row"), "base", "weak").where("size(base) + size(weak) > 0").distinct())
     spans = link(keyed).selectExpr("row as __row", "array_sort(concat(base, linked)) as __spans").where("size(__spans) > 0")
     merged = """aggregate(__spans, cast(array() as array<struct<a: bigint, b: bigint>>), (acc, s) ->
         if(size(acc) > 0 and element_at(acc, -1).b >= s.start,
