@@ -145,10 +145,10 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     return texts.select("row", "key").join(merged, "row").drop("row").withColumnRenamed("key", key)
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", share: float = 0.05, text: str = "text", width: int = WIDTH) -> DataFrame:
+def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", one_in: int = 20, text: str = "text", width: int = WIDTH) -> DataFrame:
     """``docs`` without contamination, other columns unchanged.
 
-    ``documents`` drops a row whose hit words are at least ``share`` of its words; ``spans`` keeps every row and cuts the
+    ``documents`` drops a row of whose words at least one in ``one_in`` is hit; ``spans`` keeps every row and cuts the
     hit words out of its text.
     """
     if mode not in ("documents", "spans"):
@@ -168,7 +168,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", share
                 for t, (w, marked, _) in zip(texts[k : k + 1024], windows.scan([x or "" for x in texts[k : k + 1024]]), strict=True):
                     n = int(marked.sum())
                     if mode == "documents":
-                        keep.append(not (n and n >= share * len(w)))
+                        keep.append(not (n and one_in * n >= len(w)))
                     else:
                         new.append(cut(t, marked) if n else t)
             if mode == "documents":

@@ -228,24 +228,52 @@ def links(held: DataFrame) -> DataFrame | None:
     return labels
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id) for each row of ``docs``."""
+def _labelled(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Documents (key, n, cls) and classes (cls, least, label): smallest key and component."""
     told = common.stored(classes(docs, key, text))
     base = told.where("c is null").select("key", "n", "cls")
     total = base.agg(F.sum("n")).first()[0] or 0
     often = told.where("c is not null").groupBy("t").agg(F.sum("c").alias("c")).where(F.col("c") >= max(FREQUENT, total // MOST_FREQUENT + 1)).orderBy("c", "t")
     frequent = np.array([r["t"] for r in often.collect()], np.int64).view(np.uint64)
-    held = common.stored(candidates(tokens(docs, text, frequent)))
-    labels = links(held)
+    labels = links(common.stored(candidates(tokens(docs, text, frequent))))
     by_class = base.where("cls is not null").groupBy("cls").agg(F.min("key").alias("least"))
-    if labels is not None:
-        by_class = by_class.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        least = by_class.groupBy("label").agg(F.min("least").alias("least"))
-        by_class = by_class.drop("least").join(least, "label").select("cls", "least")
+    if labels is None:
+        return base, by_class.withColumn("label", F.col("cls"))
+    return base, by_class.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_shingles, component_id) for each row of ``docs``."""
+    base, by_class = _labelled(docs, key, text)
+    least = by_class.groupBy("label").agg(F.min("least").alias("least"))
+    by_class = by_class.drop("least").join(least, "label").select("cls", "least")
     linked = base.where("cls is not null").join(by_class, "cls").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
     return linked.unionByName(base.where("cls is null").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("key").alias("component_id")))
 
 
+def unique(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest key (any of a key's equal sets), columns unchanged.
+
+    Rows without shingles all stay.
+    """
+    _, by_class = _labelled(docs, key, text)
+    best = F.min(F.struct(F.col("least").isNull().alias("no"), "least", "cls")).alias("b")
+    winners = by_class.groupBy("label").agg(best).select(F.col("b.least").alias("__key"), F.col("b.cls").alias("__cls"))
+    at, cols = docs.columns.index(text), docs.columns
+
+    def run(batches):
+        known = Hashes()
+        for batch in batches:
+            sets = (shingles(x.as_py() or "", known) for x in batch.column(at))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([digest(s) if len(s) else None for s in sets], pa.binary())], names=[*cols, "__cls"])
+
+    schema = docs.select("*", F.lit(None).cast("binary").alias("__cls")).schema
+    told = docs.mapInArrow(run, schema)
+    kept = told.where("__cls is not null").alias("d").join(winners.alias("w"), F.col(f"d.{key}").eqNullSafe(F.col("w.__key")) & (F.col("d.__cls") == F.col("w.__cls")), "left_semi")
+    kept = kept.dropDuplicates([key, "__cls"])
+    return kept.unionByName(told.where("__cls is null")).select(*cols)
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document."""
     return join(common.table(spark, sf_dir, "documents"))

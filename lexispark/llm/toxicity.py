@@ -223,15 +223,30 @@ def scorer(model: Model):
     return values
 
 
-def learn(spark: SparkSession, sf_dir: str) -> Model:
+def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """The model of the rows whose crc32 of the key leaves another rest than 2 by 4."""
-    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
     rows = sample(docs, labels.where(~common.crc_mod(F.col("doc_id"), 4, 2)))
     return train([t for t, _ in rows], [c for _, c in rows])
 
 
+def reject(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the rows that score ``threshold`` or more, other columns unchanged."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches):
+        values = scorer(shared.value)
+        for batch in batches:
+            texts = [x.as_py() or "" for x in batch.column(at)]
+            keep = [np.ones(0, bool)] + [values(texts[i : i + 1024]) < threshold for i in range(0, len(texts), 1024)]
+            yield batch.filter(pa.array(np.concatenate(keep)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document; predicted at ``THRESHOLD``."""
-    return score(common.table(spark, sf_dir, "documents"), learn(spark, sf_dir)).select(
+    docs = common.table(spark, sf_dir, "documents")
+    return score(docs, learn(docs, common.table(spark, sf_dir, "labels"))).select(
         "doc_id", common.crc_mod(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )
