@@ -54,7 +54,7 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def rows(batches: Iterator[pa.RecordBatch], most: int = 2048, chars: int = 16_000_000) -> Iterator[tuple[list, list]]:
+def rows(batches: Iterator[pa.RecordBatch], most: int = 2048, chars: int = 2_000_000) -> Iterator[tuple[list, list]]:
     """(keys, texts) of small bounded groups of rows from batches of (key, text); null text is empty."""
     for batch in batches:
         keys, texts, size = [], [], 0
@@ -75,3 +75,54 @@ def mix(a: np.ndarray) -> np.ndarray:
     a = (a ^ (a >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     a = (a ^ (a >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return a ^ (a >> np.uint64(31))
+
+
+#: An odd multiplier and its inverse modulo 2**64; the powers grow with the longest chunk seen.
+_P = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    while len(_POWERS[0]) < n:
+        for k, base in ((0, _P), (1, pow(_P, -1, 1 << 64))):
+            old = _POWERS[k]
+            _POWERS[k] = np.concatenate([old, old * np.uint64(pow(base, len(old), 1 << 64))])
+    return _POWERS
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts (A-Z folded, split at \\x20 and \\x09-\\x0D) and where each text's begin.
+
+    A word's hash is a polynomial in its bytes, taken from prefix sums over the joined texts and scrambled.
+    """
+    parts = [t.encode().lower() for t in texts]
+    data = np.frombuffer(b" ".join([b"", *parts, b""]), np.uint8)
+    size = np.fromiter(map(len, parts), np.int64, len(parts))
+    space = _SPACE[data]
+    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    power, inverse = _powers(len(data))
+    sums = np.cumsum(data * power[: len(data)])
+    hashes = mix((sums[ends - 1] - sums[starts - 1]) * inverse[starts])
+    return hashes, np.searchsorted(starts, np.concatenate([[0], np.cumsum(size + 1)]) + 1)
+
+
+def shingle_hashes(texts: list[str], n: int) -> list[np.ndarray]:
+    """For each text the hashes of its ``n``-word shingles in order; of all its words as one, if fewer (but not none)."""
+    w, first = word_hashes(texts)
+    h = np.full(max(0, len(w) - n + 1), n, np.uint64)
+    for j in range(n):
+        h = h * np.uint64(_P) + w[j : len(w) - n + 1 + j] if len(h) else h
+    h = mix(h)
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if b - a >= n or a == b:
+            out.append(h[a : b - n + 1] if b > a else h[:0])
+        else:
+            one = np.full(1, b - a, np.uint64)
+            for j in range(a, b):
+                one = one * np.uint64(_P) + w[j]
+            out.append(mix(one))
+    return out

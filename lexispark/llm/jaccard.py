@@ -41,27 +41,11 @@ WORDS = 5
 FREQUENT, MOST_FREQUENT = 1000, 200_000
 #: Members of a block of the search, star rounds before what remains is searched by pairs, and pairs by index row.
 BLOCK, ROUNDS, FEW = 256, 4, 4
-_M = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def shingles(text: str, known: Hashes, n: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the ``n``-word shingles."""
-    w = np.array(list(map(known.__getitem__, text.encode().lower().split())), np.uint64)
-    k = min(n, len(w))
-    if not k:
-        return w
-    h = np.full(len(w) - k + 1, k, np.uint64)
-    for j in range(k):
-        h = h * _M + w[j : len(w) - k + 1 + j]
-    return np.unique(common.mix(h))
+def sets_of(texts: list[str]) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text."""
+    return [np.unique(h) for h in common.shingle_hashes(texts, WORDS)]
 
 
 def digest(tokens: np.ndarray) -> bytes:
@@ -79,9 +63,8 @@ def classes(docs: DataFrame, key: str, text: str) -> DataFrame:
     arrow = pa.string() if kind == "string" else pa.int64()
 
     def run(batches):
-        known = Hashes()
-        for keys, texts in common.rows(batches):
-            sets = [shingles(t, known) for t in texts]
+        for keys, texts in common.rows(batches, chars=8_000_000):
+            sets = sets_of(texts)
             cls = [digest(s) if len(s) else None for s in sets]
             once = {c: s for c, s in zip(cls, sets, strict=True) if c}
             t, c = np.unique(np.concatenate([*once.values(), np.zeros(0, np.uint64)]), return_counts=True)
@@ -104,32 +87,43 @@ def tokens(docs: DataFrame, text: str, frequent: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
-        known, seen = Hashes(), set()
+        seen: set[bytes] = set()
         order = np.argsort(shared.value)
-        in_order = shared.value[order]
+        in_order = np.concatenate([shared.value[order], np.full(1, -1).view(np.uint64)])
         for _, texts in common.rows(batches):
-            t, m, n, cls, heavy = [], [], [], [], []
-            for text in texts:
-                s = shingles(text, known)
+            t, m, n, cls, size, heavy = [], [], [], [], [], []
+            for s in sets_of(texts):
                 c = digest(s)
                 if not len(s) or c in seen:
                     continue
                 seen.add(c)
-                at = np.minimum(np.searchsorted(in_order, s), max(0, len(in_order) - 1))
-                often = in_order[at] == s if len(in_order) else np.zeros(len(s), bool)
-                rank = np.sort(order[at[often]]) if len(in_order) else at[often]
+                at = np.searchsorted(in_order[:-1], s)
+                often = in_order[at] == s
+                often &= at < len(order)
+                rank = np.sort(order[at[often]])
                 light = s[~often]
                 extra = rank[: max(0, len(s) - needed(len(s)) + 1 - len(light))]
                 t += [light, shared.value[extra], np.frombuffer(c, np.uint64, 1)]
                 m += [np.zeros(len(light), np.int64), -1 - extra, [len(light)]]
-                n += [np.zeros(len(light) + len(extra), np.int64), [len(s)]]
-                cls += [c] * (len(light) + len(extra) + 1)
-                heavy += [None] * (len(light) + len(extra)) + [shared.value[rank].tobytes()]
-            if t:
-                t, m, n = np.concatenate(t).view(np.int64), np.concatenate(m), np.concatenate(n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(t), pa.array(cls, pa.binary()), pa.array(m.astype(np.int64)), pa.array(n.astype(np.int64), mask=n == 0), pa.array(heavy, pa.binary())], names=["t", "cls", "m", "n", "heavy"]
-                )
+                n.append(len(s))
+                cls.append(c)
+                size.append(len(light) + len(extra) + 1)
+                heavy.append(shared.value[rank].tobytes())
+            if not t:
+                continue
+            total, last = sum(size), np.cumsum(size) - 1
+            names = np.repeat(np.frombuffer(b"".join(cls), np.uint8).reshape(-1, 16), size, axis=0)
+            place = pa.array(np.arange(total + 1, dtype=np.int32) * 16)
+            which = np.full(total, -1)
+            which[last] = np.arange(len(n))
+            which = pa.array(which, mask=which < 0)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate(t).view(np.int64)), pa.Array.from_buffers(pa.binary(), total, [None, place.buffers()[1], pa.py_buffer(names.tobytes())]),
+                    pa.array(np.concatenate(m).astype(np.int64)), pa.array(n, pa.int64()).take(which), pa.array(heavy, pa.binary()).take(which),
+                ],
+                names=["t", "cls", "m", "n", "heavy"],
+            )
 
     return docs.select(F.lit(0).alias("key"), F.col(text).alias("text")).mapInArrow(run, "t long, cls binary, m long, n long, heavy binary")
 
@@ -262,9 +256,8 @@ def unique(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     at, cols = docs.columns.index(text), docs.columns
 
     def run(batches):
-        known = Hashes()
         for batch in batches:
-            sets = (shingles(x.as_py() or "", known) for x in batch.column(at))
+            sets = [s for i in range(0, batch.num_rows, 256) for s in sets_of([x.as_py() or "" for x in batch.column(at)[i : i + 256]])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([digest(s) if len(s) else None for s in sets], pa.binary())], names=[*cols, "__cls"])
 
     schema = docs.select("*", F.lit(None).cast("binary").alias("__cls")).schema
