@@ -78,20 +78,24 @@ def classes(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def tokens(docs: DataFrame, text: str, frequent: np.ndarray) -> DataFrame:
-    """The shingles of each class.
+    """The shingles of each class, packed by the range of hashes ``b`` that they fall in.
 
-    A row (t, cls) for each shingle that isn't frequent; for a class with too few of those for its prefix, also rows of
-    its least frequent others with m < 0 (in their order); and one row with n, the count m of the first and the list of
-    the frequent. A task tells of each class once.
+    Rows (b, cls, ts) hold the shingles that aren't frequent. A class with too few of those for its prefix also has rows
+    of its least frequent others, one each, with m < 0 in their order. One row of a class has n, the count m of the
+    shingles that aren't frequent and the places in ``frequent`` of the others. A task tells of each class once.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    spark = docs.sparkSession
+    shared, parts = spark.sparkContext.broadcast(frequent), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a number for each range that hash partitioning sends to a partition of its own
+    named = spark.range(64 * parts).groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("p")).agg(F.min("id").alias("id")).orderBy("p").collect()
+    label = np.array([r["id"] for r in named], np.int64)
 
     def run(batches):
         seen: set[bytes] = set()
         order = np.argsort(shared.value)
         in_order = np.concatenate([shared.value[order], np.full(1, -1).view(np.uint64)])
         for _, texts in common.rows(batches):
-            t, m, n, cls, size, heavy = [], [], [], [], [], []
+            t, size, extra_t, extra_m, extra_of, m, n, cls, heavy = [], [], [], [], [], [], [], [], []
             for s in sets_of(texts):
                 c = digest(s)
                 if not len(s) or c in seen:
@@ -103,39 +107,52 @@ def tokens(docs: DataFrame, text: str, frequent: np.ndarray) -> DataFrame:
                 rank = np.sort(order[at[often]])
                 light = s[~often]
                 extra = rank[: max(0, len(s) - needed(len(s)) + 1 - len(light))]
-                t += [light, shared.value[extra], np.frombuffer(c, np.uint64, 1)]
-                m += [np.zeros(len(light), np.int64), -1 - extra, [len(light)]]
+                t.append(light)
+                size.append(len(light))
+                extra_t.append(shared.value[extra])
+                extra_m.append(-1 - extra)
+                extra_of.append(np.full(len(extra), len(n)))
+                m.append(len(light))
                 n.append(len(s))
                 cls.append(c)
-                size.append(len(light) + len(extra) + 1)
-                heavy.append(shared.value[rank].tobytes())
-            if not t:
+                heavy.append(rank.astype(np.uint32).tobytes())
+            if not n:
                 continue
-            total, last = sum(size), np.cumsum(size) - 1
-            names = np.repeat(np.frombuffer(b"".join(cls), np.uint8).reshape(-1, 16), size, axis=0)
-            place = pa.array(np.arange(total + 1, dtype=np.int32) * 16)
-            which = np.full(total, -1)
-            which[last] = np.arange(len(n))
-            which = pa.array(which, mask=which < 0)
+            k, flat, own = len(n), np.concatenate(t), np.repeat(np.arange(len(n)), size)
+            extra_t, extra_of = np.concatenate(extra_t), np.concatenate(extra_of).astype(np.int64)
+            meta_t = np.frombuffer(b"".join(c[:8] for c in cls), np.uint64)
+            place = lambda x: ((x >> np.uint64(32)) * np.uint64(len(label)) >> np.uint64(32)).astype(np.int64)
+            cut = np.flatnonzero(np.diff(own * len(label) + place(flat), prepend=-1))  # sets are sorted, so ranges lie together
+            values = np.concatenate([flat, extra_t, meta_t]).view(np.int64)
+            single = np.arange(len(flat), len(values))
+            offsets = np.concatenate([cut, single, [len(values)]]).astype(np.int32)
+            of = np.concatenate([own[cut], extra_of, np.arange(k)])
+            ms = np.concatenate([np.zeros(len(cut), np.int64), *extra_m, m]).astype(np.int64)
+            last = np.concatenate([np.full(len(cut) + len(extra_t), -1), np.arange(k)])
+            last = pa.array(last, mask=last < 0)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate(t).view(np.int64)), pa.Array.from_buffers(pa.binary(), total, [None, place.buffers()[1], pa.py_buffer(names.tobytes())]),
-                    pa.array(np.concatenate(m).astype(np.int64)), pa.array(n, pa.int64()).take(which), pa.array(heavy, pa.binary()).take(which),
+                    pa.array(label[place(values.view(np.uint64)[offsets[:-1]])]), pa.array(cls, pa.binary()).take(pa.array(of)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
+                    pa.array(ms), pa.array(n, pa.int64()).take(last), pa.array(heavy, pa.binary()).take(last),
                 ],
-                names=["t", "cls", "m", "n", "heavy"],
+                names=["b", "cls", "ts", "m", "n", "heavy"],
             )
 
-    return docs.select(F.lit(0).alias("key"), F.col(text).alias("text")).mapInArrow(run, "t long, cls binary, m long, n long, heavy binary")
+    out = docs.select(F.lit(0).alias("key"), F.col(text).alias("text")).mapInArrow(run, "b long, cls binary, ts array<bigint>, m long, n long, heavy binary")
+    return out.repartition(parts, "b")
 
 
 def candidates(found: DataFrame) -> DataFrame:
     """(cls, n, prefix, light, heavy) of the classes whose prefix holds a shingle of another class."""
-    shared = found.repartition("t").withColumn("df", F.expr("count(if(n is null, 1, null)) over (partition by t)")).where("n is not null or df > 1")
-    one = F.expr("if(n is null, struct(if(m < 0, 1, 0) as g, if(m < 0, -m, df) as o, t as t), null)")
+    flat = found.select("b", "cls", "m", "n", "heavy", F.explode("ts").alias("t"))
+    shared = flat.withColumn("df", F.expr("count(if(n is null, 1, null)) over (partition by b, t)")).where("n is not null or df > 1")
+    # order within the prefix: by frequency, then the frequent by their own order
+    one = F.expr(f"if(n is null, struct(if(m < 0, {1 << 50} - m, df) as o, t as t), null)")
     by = shared.groupBy("cls").agg(F.max("n").alias("n"), F.max(F.expr("if(n is null, null, m)")).alias("m"), F.max("heavy").alias("heavy"), F.array_sort(F.collect_set(one)).alias("s"))
-    take = F.expr("n - (4 * n + 4) div 5 + 1 - (m - size(filter(s, x -> x.g = 0)))")
+    light = f"filter(s, x -> x.o < {1 << 50})"
+    take = F.expr(f"n - (4 * n + 4) div 5 + 1 - (m - size({light}))")
     by = by.withColumn("take", take).where("take > 0 and size(s) > 0")
-    return by.select("cls", "n", F.expr("transform(slice(s, 1, cast(take as int)), x -> x.t)").alias("prefix"), F.expr("transform(filter(s, x -> x.g = 0), x -> x.t)").alias("light"), "heavy")
+    return by.select("cls", "n", F.expr("transform(slice(s, 1, cast(take as int)), x -> x.t)").alias("prefix"), F.expr(f"transform({light}, x -> x.t)").alias("light"), "heavy")
 
 
 def overlaps(query: np.ndarray, members: list[np.ndarray], least: np.ndarray) -> np.ndarray:
@@ -169,7 +186,8 @@ def _search(left: pa.Table, right: pa.Table) -> pa.Table:
     """The members of a block that link with its query."""
     a, b = [], []
     if left.num_rows and right.num_rows:
-        row = lambda t, i: np.unique(np.concatenate([t["light"][i].values.to_numpy().view(np.uint64), np.frombuffer(t["heavy"][i].as_py() or b"", np.uint64)]))
+        # frequent shingles by their place, a number that no hash is likely to have
+        row = lambda t, i: np.unique(np.concatenate([t["light"][i].values.to_numpy().view(np.uint64), np.frombuffer(t["heavy"][i].as_py() or b"", np.uint32).astype(np.uint64)]))
         query, n, m = row(left, 0), left["n"][0].as_py(), right["n"].to_numpy()
         members = [row(right, i) for i in range(right.num_rows)]
         least = -(-4 * (n + m) // 9)
