@@ -84,30 +84,38 @@ def decisions(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def build(g: np.ndarray, counts: np.ndarray, top: int, depth: int = DEPTH) -> tuple[Level, np.ndarray]:
-    """The level ``top`` and, for each of ``g`` and decision, the mixed probability from that depth down."""
+    """The level ``top`` and, for each of the sorted ``g`` and decision, the mixed probability from that depth down.
+
+    The deepest nodes of one decision lie in the order of ``g``; each level above comes from the nodes below it.
+    """
     place, bit = decisions(g)
-    ctx = g >> 8
-    n = np.broadcast_to(counts, bit.shape).ravel().astype(float)
-    flat = bit.ravel()
-    levels, where = [], []
-    for d in range(depth, top - 1, -1):
-        keys, at = np.unique((((ctx & ((1 << 8 * d) - 1)) << 8) | place).ravel(), return_inverse=True)
-        below = None
-        if levels:
-            last = levels[-1]
-            parent = np.searchsorted(keys, ((last.keys >> 8 & ((1 << 8 * d) - 1)) << 8) | (last.keys & 255))
-            below = np.bincount(parent, last.log, len(keys))
-        levels.append(Level(keys, np.bincount(at, n * (flat == 0), len(keys)), np.bincount(at, n * (flat == 1), len(keys)), below))
-        where.append(at)
+    ctx, at, keys, base = g >> 8, np.empty(bit.shape, np.int32), [], 0
+    for k in range(8):
+        node = (ctx << 8) | place[k]
+        new = np.concatenate([node[:1] >= 0, node[1:] != node[:-1]])
+        at[k] = np.cumsum(new) - 1 + base
+        keys.append(node[new])
+        base += len(keys[-1])
+    at, bit = at.ravel(), bit.ravel().astype(bool)
+    n = np.broadcast_to(counts, (8, len(g))).ravel().astype(float)
+    levels, parents = [Level(np.concatenate(keys), np.bincount(at, n * ~bit, base), np.bincount(at, n * bit, base), None)], []
+    for d in range(depth - 1, top - 1, -1):
+        last = levels[-1]
+        keys, parent = np.unique(((last.keys >> 8 & ((1 << 8 * d) - 1)) << 8) | (last.keys & 255), return_inverse=True)
+        levels.append(Level(keys, *(np.bincount(parent, v, len(keys)) for v in (last.zeros, last.ones, last.log))))
+        parents.append(parent.astype(np.int32))
     q: np.ndarray | float = 0.0
-    for level, at in zip(levels, where, strict=True):
-        q = level.predict(at, flat, q)
-    return levels[-1], q.reshape(bit.shape)
+    for level, parent in zip(levels, [*parents, None], strict=True):
+        q = level.predict(at, bit, q)
+        at = at if parent is None else parent[at]
+    return levels[-1], q.reshape(8, -1)
 
 
 def _tree(table: pa.Table) -> pa.Table:
     """Depths 2 and more of the trees whose contexts end with the same two bytes."""
     g, c = table["g"].to_numpy(), table["c"].to_numpy()
+    order = np.argsort(g)
+    g, c = g[order], c[order]
     level, q = build(g, c, 2)
     none = lambda n, kind: pa.nulls(n, kind)
     n, m = len(g), len(level.keys)
@@ -161,8 +169,10 @@ def _count(table: pa.Table) -> pa.Table:
     flush(True)
     flush(False)
     g, c = (np.concatenate(x) for x in zip(*known, *other, strict=True))
-    u, at = np.unique(g, return_inverse=True)
-    c = np.bincount(at, c, len(u)).astype(np.int64)
+    order = np.argsort(g)
+    g, c = g[order], c[order]
+    first = np.flatnonzero(np.concatenate([g[:1] >= 0, g[1:] != g[:-1]]))
+    u, c = g[first], np.add.reduceat(c, first).astype(np.int64)
     unseen -= words.keys()
     w = [*words, *unseen]
     wc = np.fromiter((*words.values(), *(0 for _ in unseen)), np.int64, len(w))
@@ -212,12 +222,29 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
         order = np.argsort(keys)
         keys, logs = keys[order], logs[order]
         base = dict(zip(values["w"].filter(pa.array(~mine)).to_pylist(), v[~mine].tolist(), strict=True))
-        out = []
+        out, scores, parts, size = [], [], [], 0
+
+        def flush() -> None:
+            # contexts and bytes in order, each with the number of its text in the low 16 bits: equal ones lie together
+            x = np.sort(np.concatenate(parts))
+            own = (x >> np.uint64(16)).astype(np.int64)
+            new = np.concatenate([[True], own[1:] != own[:-1]])
+            values = logs[np.searchsorted(keys, own[new])][np.cumsum(new) - 1]
+            scores.extend(np.bincount((x & np.uint64(0xFFFF)).astype(np.int64), values, len(parts)).tolist())
+            parts.clear()
+
         for k, text in zip(texts["key"].to_pylist(), texts["text"], strict=True):
             w = tokens(text.as_py())
-            x = np.searchsorted(keys, grams(b" ".join(w)))
+            parts.append((grams(b" ".join(w)).astype(np.uint64) << np.uint64(16)) | np.uint64(len(parts)))
+            size += len(parts[-1])
+            if size > CHUNK or len(parts) == 1 << 16:
+                flush()
+                size = 0
             c = np.fromiter(map(base.__getitem__, w), float, len(w))
-            out.append((k, len(w) + 1, int((c > 0).sum()) + (n_train > 0), n, float(c.sum() + end - norm * (len(w) + 1)), float(logs[x].sum())))
+            out.append((k, len(w) + 1, int((c > 0).sum()) + (n_train > 0), n, float(c.sum() + end - norm * (len(w) + 1))))
+        if parts:
+            flush()
+        out = [(*o, x) for o, x in zip(out, scores, strict=True)]
         types = (arrow, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         cols = zip(*out, strict=True) if out else [[]] * 6
         return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["key", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
