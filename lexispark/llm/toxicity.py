@@ -46,7 +46,7 @@ def subwords(vocab: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     flat = np.frombuffer(b"".join(b"<" + w + b">" for w in vocab), np.uint8).astype(np.uint64)
     size = np.array([len(w) + 2 for w in vocab])
-    owner = np.repeat(np.arange(len(vocab)), size)
+    owner = np.repeat(np.arange(len(vocab), dtype=np.int32), size)
     first = np.concatenate([[0], np.cumsum(size)])[:-1]
     left = np.repeat(first + size, size) - np.arange(len(flat))  # bytes from here to the word's end
     who, what = [], []
@@ -62,9 +62,9 @@ def subwords(vocab: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np
     for j in range(longest):
         at = np.flatnonzero(size > j)
         whole[at] = whole[at] * np.uint64(0x100000001B3) + flat[first[at] + j]
-    who.append(np.arange(len(vocab)))
+    who.append(np.arange(len(vocab), dtype=np.int32))
     what.append(whole)
-    return np.concatenate(who), (common.mix(np.concatenate(what)) % np.uint64(buckets)).astype(np.int64)
+    return np.concatenate(who), (common.mix(np.concatenate(what)) % np.uint64(buckets)).astype(np.int32)
 
 
 @dataclass
@@ -102,7 +102,7 @@ class Trainer:
         rng = np.random.default_rng(seed)
         self.buckets, self.span, self.vocab = buckets, span, vocab
         who, what = subwords(vocab, buckets)
-        held = np.unique(np.concatenate([np.unique(x) + i * len(vocab) for i, x in enumerate(ids)])) % len(vocab)
+        held = np.concatenate([np.unique(x) for x in ids])
         texts = np.bincount(what, np.bincount(held, minlength=len(vocab))[who], buckets)
         common_ = texts[what] >= MIN_TEXTS  # a bucket that a few texts hold says nothing of others
         self.size = np.maximum(np.bincount(who, minlength=len(vocab)), 1)[:, None]
@@ -114,11 +114,13 @@ class Trainer:
 
     def fit(self, bags: list[np.ndarray], target: np.ndarray, weight: np.ndarray, times: int, rate: float) -> None:
         n, v = len(target), len(self.vocab)
-        flat = np.concatenate(bags)
-        pair, count = np.unique(np.repeat(np.arange(n), [len(x) for x in bags]) * v + flat, return_counts=True)
-        b, w = pair // v, pair % v
-        here, w = np.unique(w, return_inverse=True)  # the words of these bags only
-        share = (count / np.bincount(b, count, n)[b])[:, None]
+        sets = [np.unique(x, return_counts=True) for x in bags]
+        b = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x, _ in sets])
+        here, w = np.unique(np.concatenate([x for x, _ in sets]), return_inverse=True)  # the words of these bags only
+        w = w.astype(np.int32)
+        count = np.concatenate([c for _, c in sets]).astype(np.float32)
+        share = (count / np.bincount(b, count, n)[b]).astype(np.float32)[:, None]
+        del sets, count
         place = np.full(v, -1)
         place[here] = np.arange(len(here))
         mine = place[self.who] >= 0
@@ -128,18 +130,23 @@ class Trainer:
         for _ in range(times):
             self.step += 1
             word = _sums(emb[local], who, len(here)) / size
-            mean = _sums(word[w] * share, b, n)
+            mean = _sums(word.astype(np.float32)[w] * share, b, n)
             z = mean @ soft + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             g = (p - hot) * weight[:, None]
-            d_word = _sums((g @ soft.T)[b] * share, w, len(here)) / size
+            d_word = _sums((g @ soft.T).astype(np.float32)[b] * share, w, len(here)) / size
             grads = (_sums(d_word[who], local, len(self.used)) + DECAY * emb, mean.T @ g + DECAY * soft, g.sum(axis=0))
             for param, grad, (m, q) in zip(self.params, grads, self.moments, strict=True):
                 m += 0.1 * (grad - m)
                 q += 0.01 * (grad * grad - q)
                 param -= rate * (m / (1 - 0.9**self.step)) / (np.sqrt(q / (1 - 0.99**self.step)) + 1e-8)
 
+    def word_logits(self) -> np.ndarray:
+        """Of the words that it was made with."""
+        logit = self.params[0] @ (self.params[1][:, 1] - self.params[1][:, 0])
+        return np.bincount(self.who, logit[self.local], len(self.vocab)) / self.size[:, 0]
+
     def model(self) -> Model:
         logit = np.zeros(self.buckets)
         logit[self.used] = self.params[0] @ (self.params[1][:, 1] - self.params[1][:, 0])
@@ -150,7 +157,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7, first: int = 10, r
     """The model of these texts; see the module for the two phases."""
     rng = np.random.default_rng(seed)
     place: dict[bytes, int] = {}
-    ids = [np.array([place.setdefault(w, len(place)) for w in words(t)], np.int64) for t in texts]
+    ids = [np.array([place.setdefault(w, len(place)) for w in words(t)], np.int32) for t in texts]
     y = np.array(labels, np.int64)
     docs = [i for i, x in enumerate(ids) if len(x)]
     if not docs or len(set(y[docs])) < 2:
@@ -160,8 +167,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7, first: int = 10, r
     t.fit([ids[i] for i in docs], y[docs], 0.5 / np.bincount(y[docs])[y[docs]], first, 0.02)
     kept: dict[tuple[int, int], int] = {}  # passages of clean texts that were hard once stay
     for _ in range(rounds):
-        now = t.model()
-        logit = now.word_logits(vocab)
+        now, logit = t.model(), t.word_logits()
         bags, target = [], []
         for i in docs:
             tops = now.passages(logit[ids[i]])
