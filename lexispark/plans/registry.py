@@ -1,14 +1,8 @@
-"""Queries over the test tables, by name, with DuckDB SQL for each that SQL can express."""
+"""Queries of the engine's operators by name, and DuckDB SQL for those that SQL can express."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from . import core, ordered  # noqa: F401  (registers its queries)
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("source").agg(F.count("*").alias("n"))
+QUERIES, ORACLE = core.QUERIES, core.ORACLE
+FLAGSHIP = QUERIES["d1_denylist"]
