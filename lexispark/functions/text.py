@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once, though lambdas in it use it for each of their elements."""
+    return F.transform(F.array(value), body)[0]
+
+
 def simple_norm(text: Column) -> Column:
     """Lower case, only a-z, 0-9 and apostrophes, single spaces; null is empty."""
     kept = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9' ]", " ")
@@ -33,8 +38,8 @@ def n_words(norm: Column) -> Column:
 
 def grams(words: Column, n: int = 8) -> Column:
     """Contiguous n-grams as strings; none if there are fewer words."""
-    at = F.sequence(F.lit(1), F.size(words) - (n - 1))
-    return F.when(F.size(words) >= n, F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    at = lambda w: F.sequence(F.lit(1), F.size(w) - (n - 1))
+    return let(words, lambda w: F.when(F.size(w) >= n, F.transform(at(w), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>")))
 
 
 def gram_hashes(words: Column, n: int = 8) -> Column:

@@ -63,7 +63,8 @@ def report(training: DataFrame, held: DataFrame, rec: str, utt: str, n: int = GR
 def windows(df: DataFrame, key: str, norm: str = "norm", size: int = 20) -> DataFrame:
     """Each text cut into consecutive windows of ``size`` words: (key, window, norm)."""
     w = T.words(F.col(norm))
-    cut = F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(size)), lambda i: F.struct((i / size).cast("int").alias("window"), F.array_join(F.slice(w, i + 1, size), " ").alias("norm")))
+    part = lambda v, i: F.struct((i / size).cast("int").alias("window"), F.array_join(F.slice(v, i + 1, size), " ").alias("norm"))
+    cut = T.let(w, lambda v: F.transform(F.sequence(F.lit(0), F.size(v) - 1, F.lit(size)), lambda i: part(v, i)))
     return df.where(F.size(w) > 0).select(key, F.explode(cut).alias("x")).select(key, "x.window", "x.norm")
 
 

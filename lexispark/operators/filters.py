@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import grams, let
+
 
 def duration_drop_reason(d: Column, lo: float = 1.0, hi: float = 30.0) -> Column:
     """empty_audio, too_short, too_long or null; bounds are kept."""
@@ -45,9 +47,9 @@ def equal_run(words: Column) -> Column:
 
 def ngram_loop(words: Column, run: int = 5, n: int = 3, times: int = 4, most: int = 30) -> Column:
     """Whether a word comes ``run`` times in a row, or in a short text an n-gram ``times`` times."""
-    grams = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
-    often = F.exists(grams, lambda g: F.size(F.filter(grams, lambda x: x == g)) >= times)
-    return (equal_run(words) >= run) | F.when((F.size(words) >= n) & (F.size(words) <= most), often).otherwise(False)
+    often = lambda grams: F.exists(grams, lambda g: F.size(F.filter(grams, lambda x: x == g)) >= times)
+    looped = lambda w: (equal_run(w) >= run) | F.when((F.size(w) >= n) & (F.size(w) <= most), let(grams(w, n), often)).otherwise(False)
+    return let(words, looped)
 
 
 def fast_speech(n_words: Column, seconds: Column, confirm_wer: Column, most: float = 6.0, waive: float = 0.2) -> Column:
