@@ -142,13 +142,54 @@ def tokens(docs: DataFrame, text: str, frequent: np.ndarray) -> DataFrame:
     return out.repartition(parts, "b")
 
 
+_SHARED = "cls binary, n long, m long, heavy binary, s array<struct<o: bigint, t: bigint>>"
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """Of one range: the rows that tell of a class, and of the others the shingles that another class has as well.
+
+    ``o`` orders shingles: by frequency, then the frequent ones by their own order. Rows that several tasks made of one
+    class count once.
+    """
+    ts, told = table["ts"].combine_chunks(), table["n"].combine_chunks()
+    meta = told.is_valid().to_numpy(zero_copy_only=False)
+    cls, m = table["cls"].combine_chunks(), table["m"].to_numpy()
+    flat, edge = ts.flatten().to_numpy(), ts.offsets.to_numpy()
+    edge = edge - edge[0]
+    names = np.frombuffer(b"".join(cls.to_pylist()), np.uint64).reshape(-1, 2)
+    rows = np.flatnonzero(~meta)
+    order = rows[np.lexsort((flat[edge[rows]], names[rows, 1], names[rows, 0]))]
+    if len(order):
+        same = (names[order[1:]] == names[order[:-1]]).all(axis=1) & (flat[edge[order[1:]]] == flat[edge[order[:-1]]])
+        order = order[np.concatenate([[True], ~same])]
+    size = np.diff(edge)[order]
+    own = np.repeat(np.arange(len(order)), size)
+    at = np.repeat(edge[order], size) + np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
+    t = flat[at]
+    by = np.argsort(t)
+    new = np.concatenate([t[:1] == t[:1], t[by][1:] != t[by][:-1]]) if len(t) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    df = np.zeros(len(t), np.int64)
+    df[by] = np.repeat(np.diff([*first, len(t)]), np.diff([*first, len(t)])) if len(t) else 0
+    kept = df > 1
+    own, t, df = own[kept], t[kept], df[kept]
+    heavy = m[order][own]
+    o = np.where(heavy < 0, (1 << 50) - heavy, df)
+    held = np.unique(own)
+    offsets = np.concatenate([np.searchsorted(own, held), [len(own)]]).astype(np.int32)
+    k, told_at = len(held), np.flatnonzero(meta)
+    s = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(o, pa.int64()), pa.array(t, pa.int64())], ["o", "t"]))
+    both = lambda x, kind: pa.chunked_array([table[x].combine_chunks().take(pa.array(told_at)), pa.nulls(k, kind)])
+    return pa.table({
+        "cls": pa.chunked_array([cls.take(pa.array(told_at)), cls.take(pa.array(order[held]))]), "n": both("n", pa.int64()), "m": both("m", pa.int64()),
+        "heavy": both("heavy", pa.binary()), "s": pa.chunked_array([pa.nulls(len(told_at), s.type), s]),
+    })
+
+
 def candidates(found: DataFrame) -> DataFrame:
     """(cls, n, prefix, light, heavy) of the classes whose prefix holds a shingle of another class."""
-    flat = found.select("b", "cls", "m", "n", "heavy", F.explode("ts").alias("t"))
-    shared = flat.withColumn("df", F.expr("count(if(n is null, 1, null)) over (partition by b, t)")).where("n is not null or df > 1")
-    # order within the prefix: by frequency, then the frequent by their own order
-    one = F.expr(f"if(n is null, struct(if(m < 0, {1 << 50} - m, df) as o, t as t), null)")
-    by = shared.groupBy("cls").agg(F.max("n").alias("n"), F.max(F.expr("if(n is null, null, m)")).alias("m"), F.max("heavy").alias("heavy"), F.array_sort(F.collect_set(one)).alias("s"))
+    shared = found.groupBy("b").applyInArrow(_shared, _SHARED)
+    by = shared.groupBy("cls").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.max("heavy").alias("heavy"), F.array_sort(F.flatten(F.collect_list("s"))).alias("s"))
     light = f"filter(s, x -> x.o < {1 << 50})"
     take = F.expr(f"n - (4 * n + 4) div 5 + 1 - (m - size({light}))")
     by = by.withColumn("take", take).where("take > 0 and size(s) > 0")
