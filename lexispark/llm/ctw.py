@@ -116,6 +116,7 @@ def _tree(table: pa.Table) -> pa.Table:
     g, c = table["g"].to_numpy(), table["c"].to_numpy()
     order = np.argsort(g)
     g, c = g[order], c[order]
+    pa.default_memory_pool().release_unused()
     level, q = build(g, c, 2)
     none = lambda n, kind: pa.nulls(n, kind)
     n, m = len(g), len(level.keys)
@@ -148,15 +149,25 @@ class Top:
 def _count(table: pa.Table) -> pa.Table:
     """Distinct (context, byte) and words of a block, with training counts."""
     block = table["block"][0].as_py()
-    known, other, words, unseen = [], [], Counter(), set()
+    merged, words, unseen = [], Counter(), set()
     size = {True: 0, False: 0}
     pending: dict[bool, list] = {True: [], False: []}
 
+    def merge() -> None:
+        g, c = (np.concatenate(x) for x in zip(*merged, strict=True))
+        merged.clear()
+        order = np.argsort(g)
+        g, c = g[order], c[order]
+        first = np.flatnonzero(np.concatenate([g[:1] >= 0, g[1:] != g[:-1]]))
+        merged.append((g[first], np.add.reduceat(c, first)))
+
     def flush(train: bool) -> None:
         if pending[train]:
             u, c = np.unique(np.concatenate(pending[train]), return_counts=True)
-            (known if train else other).append((u, c * train))
+            merged.append((u, (c * train).astype(np.int64)))
             pending[train], size[train] = [], 0
+            if sum(len(u) for u, _ in merged[1:]) > 2 * CHUNK:
+                merge()
 
     for text, train in zip(table["text"], table["train"].to_pylist(), strict=True):
         w = tokens(text.as_py())
@@ -168,11 +179,8 @@ def _count(table: pa.Table) -> pa.Table:
             flush(train)
     flush(True)
     flush(False)
-    g, c = (np.concatenate(x) for x in zip(*known, *other, strict=True))
-    order = np.argsort(g)
-    g, c = g[order], c[order]
-    first = np.flatnonzero(np.concatenate([g[:1] >= 0, g[1:] != g[:-1]]))
-    u, c = g[first], np.add.reduceat(c, first).astype(np.int64)
+    merge()
+    u, c = merged[0]
     unseen -= words.keys()
     w = [*words, *unseen]
     wc = np.fromiter((*words.values(), *(0 for _ in unseen)), np.int64, len(w))
@@ -215,6 +223,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     need = need.unionByName(counted.where("w is not null").select("block", "w").join(words, "w").select("block", F.lit(None).cast("long").alias("g"), "w", F.log10(F.col("c") + 1).alias("value")))
 
     def measure(texts: pa.Table, values: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         g = values["g"].combine_chunks()
         mine = g.is_valid().to_numpy(zero_copy_only=False)
         v = values["value"].to_numpy()
