@@ -11,7 +11,7 @@ Training reads at most ``most_docs`` labelled rows of each class and ``most_char
 hash of the key; that bound is independent of the input. Scoring covers every word of every text.
 
 Rows with a null key or a null label aren't learned from; labels that contradict each other count as toxic. Null and
-empty texts score as a passage without words (the prior). Without labels of both classes every score is 0. Rows repeat
+empty texts have no passage and score about 0. Without labels of both classes every score is 0. Rows repeat
 as in ``docs``; an empty table gives an empty result; of the input only key and text are read.
 """
 
@@ -56,15 +56,15 @@ def subwords(vocab: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np
         for j in range(n):
             h = h * np.uint64(0x100000001B3) + flat[at + j]
         who.append(owner[at])
-        what.append(h)
+        what.append((common.mix(h) % np.uint64(buckets)).astype(np.int32))
     longest = int(size.max())
     whole = np.full(len(vocab), 77, np.uint64)
     for j in range(longest):
         at = np.flatnonzero(size > j)
         whole[at] = whole[at] * np.uint64(0x100000001B3) + flat[first[at] + j]
     who.append(np.arange(len(vocab), dtype=np.int32))
-    what.append(whole)
-    return np.concatenate(who), (common.mix(np.concatenate(what)) % np.uint64(buckets)).astype(np.int32)
+    what.append((common.mix(whole) % np.uint64(buckets)).astype(np.int32))
+    return np.concatenate(who), np.concatenate(what)
 
 
 @dataclass
@@ -83,7 +83,7 @@ class Model:
         """Averages of each run of ``span`` words (of all, if fewer)."""
         n = min(self.span, len(values))
         if not n:
-            return np.zeros(1)
+            return np.full(1, -np.inf)
         c = np.concatenate([[0], np.cumsum(values)])
         return (c[n:] - c[:-n]) / n
 
@@ -91,8 +91,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(best + self.bias, -40, 40)))
 
 
-def _sums(values: np.ndarray, groups: np.ndarray, n: int) -> np.ndarray:
-    return np.stack([np.bincount(groups, values[:, d], n) for d in range(values.shape[1])], axis=1)
+def _sums(values: np.ndarray, at: np.ndarray, groups: np.ndarray, n: int, share: np.ndarray | float = 1.0) -> np.ndarray:
+    """Sums by group of the rows ``at`` of ``values`` times ``share``, one column at a time."""
+    return np.stack([np.bincount(groups, values[:, d][at] * share, n) for d in range(values.shape[1])], axis=1)
 
 
 class Trainer:
@@ -119,7 +120,7 @@ class Trainer:
         here, w = np.unique(np.concatenate([x for x, _ in sets]), return_inverse=True)  # the words of these bags only
         w = w.astype(np.int32)
         count = np.concatenate([c for _, c in sets]).astype(np.float32)
-        share = (count / np.bincount(b, count, n)[b]).astype(np.float32)[:, None]
+        share = (count / np.bincount(b, count, n)[b]).astype(np.float32)
         del sets, count
         place = np.full(v, -1)
         place[here] = np.arange(len(here))
@@ -129,14 +130,14 @@ class Trainer:
         emb, soft, bias = self.params
         for _ in range(times):
             self.step += 1
-            word = _sums(emb[local], who, len(here)) / size
-            mean = _sums(word.astype(np.float32)[w] * share, b, n)
+            word = _sums(emb, local, who, len(here)) / size
+            mean = _sums(word.astype(np.float32), w, b, n, share)
             z = mean @ soft + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             g = (p - hot) * weight[:, None]
-            d_word = _sums((g @ soft.T).astype(np.float32)[b] * share, w, len(here)) / size
-            grads = (_sums(d_word[who], local, len(self.used)) + DECAY * emb, mean.T @ g + DECAY * soft, g.sum(axis=0))
+            d_word = _sums((g @ soft.T).astype(np.float32), b, w, len(here), share) / size
+            grads = (_sums(d_word, who, local, len(self.used)) + DECAY * emb, mean.T @ g + DECAY * soft, g.sum(axis=0))
             for param, grad, (m, q) in zip(self.params, grads, self.moments, strict=True):
                 m += 0.1 * (grad - m)
                 q += 0.01 * (grad * grad - q)
