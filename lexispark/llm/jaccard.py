@@ -142,7 +142,9 @@ def tokens(docs: DataFrame, text: str, frequent: np.ndarray) -> DataFrame:
     return out.repartition(parts, "b")
 
 
-_SHARED = "cls binary, n long, m long, heavy binary, s array<struct<o: bigint, t: bigint>>"
+#: What is added to the order of a frequent shingle, so that it comes after all others.
+_LAST = 1 << 30
+_SHARED = "cls binary, n long, m long, heavy binary, o array<int>, t array<bigint>"
 
 
 def _shared(table: pa.Table) -> pa.Table:
@@ -174,23 +176,24 @@ def _shared(table: pa.Table) -> pa.Table:
     kept = df > 1
     own, t, df = own[kept], t[kept], df[kept]
     heavy = m[order][own]
-    o = np.where(heavy < 0, (1 << 50) - heavy, df)
+    o = np.where(heavy < 0, _LAST - heavy, np.minimum(df, _LAST - 1)).astype(np.int32)
     held = np.unique(own)
     offsets = np.concatenate([np.searchsorted(own, held), [len(own)]]).astype(np.int32)
     k, told_at = len(held), np.flatnonzero(meta)
-    s = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(o, pa.int64()), pa.array(t, pa.int64())], ["o", "t"]))
+    lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (o, t)]
     both = lambda x, kind: pa.chunked_array([table[x].combine_chunks().take(pa.array(told_at)), pa.nulls(k, kind)])
     return pa.table({
         "cls": pa.chunked_array([cls.take(pa.array(told_at)), cls.take(pa.array(order[held]))]), "n": both("n", pa.int64()), "m": both("m", pa.int64()),
-        "heavy": both("heavy", pa.binary()), "s": pa.chunked_array([pa.nulls(len(told_at), s.type), s]),
+        "heavy": both("heavy", pa.binary()), **{c: pa.chunked_array([pa.nulls(len(told_at), x.type), x]) for c, x in zip("ot", lists, strict=True)},
     })
 
 
 def candidates(found: DataFrame) -> DataFrame:
     """(cls, n, prefix, light, heavy) of the classes whose prefix holds a shingle of another class."""
     shared = found.groupBy("b").applyInArrow(_shared, _SHARED)
-    by = shared.groupBy("cls").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.max("heavy").alias("heavy"), F.array_sort(F.flatten(F.collect_list("s"))).alias("s"))
-    light = f"filter(s, x -> x.o < {1 << 50})"
+    by = shared.groupBy("cls").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.max("heavy").alias("heavy"), F.flatten(F.collect_list("o")).alias("o"), F.flatten(F.collect_list("t")).alias("t"))
+    by = by.withColumn("s", F.array_sort(F.arrays_zip("o", "t")))
+    light = f"filter(s, x -> x.o < {_LAST})"
     take = F.expr(f"n - (4 * n + 4) div 5 + 1 - (m - size({light}))")
     by = by.withColumn("take", take).where("take > 0 and size(s) > 0")
     return by.select("cls", "n", F.expr("transform(slice(s, 1, cast(take as int)), x -> x.t)").alias("prefix"), F.expr(f"transform({light}, x -> x.t)").alias("light"), "heavy")
