@@ -109,8 +109,22 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(starts, np.concatenate([[0], np.cumsum(size + 1)]) + 1)
 
 
-def shingle_hashes(texts: list[str], n: int) -> list[np.ndarray]:
-    """For each text the hashes of its ``n``-word shingles in order; of all its words as one, if fewer (but not none)."""
+def shingle_hashes(texts: list[str], n: int, chars: int = 1_000_000) -> list[np.ndarray]:
+    """For each text the hashes of its ``n``-word shingles in order; of all its words as one, if fewer (but not none).
+
+    Texts are hashed in groups of about ``chars`` characters, which bounds the arrays (but for a longer text).
+    """
+    out, group, size = [], [], 0
+    for text in texts:
+        group.append(text)
+        size += len(text)
+        if size >= chars:
+            out += _shingles(group, n)
+            group, size = [], 0
+    return out + _shingles(group, n)
+
+
+def _shingles(texts: list[str], n: int) -> list[np.ndarray]:
     w, first = word_hashes(texts)
     h = np.full(max(0, len(w) - n + 1), n, np.uint64)
     for j in range(n):
@@ -119,7 +133,7 @@ def shingle_hashes(texts: list[str], n: int) -> list[np.ndarray]:
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= n or a == b:
-            out.append(h[a : b - n + 1] if b > a else h[:0])
+            out.append(h[a : b - n + 1].copy() if b > a else h[:0])
         else:
             one = np.full(1, b - a, np.uint64)
             for j in range(a, b):
