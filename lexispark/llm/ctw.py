@@ -31,7 +31,7 @@ from . import common
 
 DEPTH = 5
 #: Bytes of text in a block, about, and of a chunk within it.
-BLOCK, CHUNK = 32_000_000, 2_000_000
+BLOCK, CHUNK = 32_000_000, 1_000_000
 END = b"\xff"
 _HALF = np.log(0.5)
 
