@@ -6,17 +6,19 @@ class. Two classes link when 100 * |intersection| >= 80 * |union|, which asks fo
 1. Classes and frequent shingles: one scan gives each document's class (a 128-bit digest of its set) and, from groups of
    documents, counts of the shingles that repeat within a group. Shingles that these show in a large part of all sets
    are few by arithmetic (their counts sum to no more than all shingles), so they are broadcast.
-2. Document frequencies: every other shingle of a class is dealt by its hash and counted. Shingles of one class only can't
-   be shared and end there; what is left comes back to its class. Frequent shingles stay with their class as a list.
-3. Prefix index: in the order of frequency, two linked classes share one of their first n - T' + 1 shingles, where T' is
-   ceil(0.8 n). Inverted lists of these hold candidates; most classes have none.
+2. Prefixes: shingles are ordered by hash, frequent ones last. Linked classes share at least T' = ceil(0.8 n) shingles,
+   so they share l of their first n - T' + l; l is a tenth of n. Only these prefixes are dealt by hash and counted.
+   Those that another class has as well come back; a class with too few of them to share l has no partner.
+3. Index: among shared shingles of a prefix, in the order of frequency, linked classes meet in one of all but the last
+   l - 1. Inverted lists of these hold candidates. Whole sets are read again for the classes in them alone.
 4. T-occurrence search: a query class is held against blocks of candidates. Short inverted lists of its shingles are
    merged and counted, the longest (DivideSkip) are probed by binary search for those that can still reach T.
 5. Lists aren't expanded into all pairs: each has one leader, chosen by hash, that queries the others. Verified links
    give components; lists that still hold several components are searched again with other leaders, and what then
    remains between components is searched pair by pair, so no link between components is lost.
 
-Shingles are 64-bit hashes: two different shingles of one pair of documents meet with a chance below 1e-12.
+Shingles are 64-bit hashes: two different shingles of one pair of documents meet with a chance below 1e-12. The search
+names a class by 64 bits of its digest; two given classes share them with a chance of 2**-64.
 
 Null, empty and blank texts have no shingles and are linked with nothing; a null key is linked but never names a
 component, whose id is null if it has no other key. Rows repeat as in ``docs``; equal rows are one class. An empty table
@@ -29,6 +31,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,8 +60,18 @@ def needed(n: int) -> int:
     return (4 * n + 4) // 5
 
 
+def common_in_prefix(n: int) -> int:
+    """The l of a set of ``n``; it never falls as n grows."""
+    return max(1, n // 10)
+
+
+def name(cls: bytes) -> int:
+    """The 64 bits that name a class in the search."""
+    return int.from_bytes(cls[:8], "little", signed=True)
+
+
 def classes(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows (key, n, cls) of documents and rows (t, c) of shingles that repeat in a group of documents."""
+    """Rows (key, n, cls, id) of documents and rows (t, c) of shingles that repeat in a group of documents."""
     kind = docs.schema[key].dataType.simpleString()
     arrow = pa.string() if kind == "string" else pa.int64()
 
@@ -70,133 +83,134 @@ def classes(docs: DataFrame, key: str, text: str) -> DataFrame:
             t, c = np.unique(np.concatenate([*once.values(), np.zeros(0, np.uint64)]), return_counts=True)
             t, c = t[c >= 3].view(np.int64), c[c >= 3]
             none = lambda k, kind: pa.nulls(k, kind)
-            names = ["key", "n", "cls", "t", "c"]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, arrow), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()), none(len(keys), pa.int64()), none(len(keys), pa.int64())], names=names)
-            yield pa.RecordBatch.from_arrays([none(len(t), arrow), none(len(t), pa.int64()), none(len(t), pa.binary()), pa.array(t), pa.array(c.astype(np.int64))], names=names)
+            names = ["key", "n", "cls", "id", "t", "c"]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, arrow), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()), pa.array([c and name(c) for c in cls], pa.int64()), none(len(keys), pa.int64()), none(len(keys), pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([none(len(t), arrow), none(len(t), pa.int64()), none(len(t), pa.binary()), none(len(t), pa.int64()), pa.array(t), pa.array(c.astype(np.int64))], names=names)
+
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n long, cls binary, id long, t long, c long")
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n long, cls binary, t long, c long")
 
+#: Kinds of rows (b, kind, id, x, o), each three arrays side by side: shingles x of the prefixes, sizes x of classes,
+#: frequent shingles x of prefixes with their order o, shingles x that several classes share with their frequency o.
+_PREFIX, _SIZE, _OFTEN, _SHARED = range(4)
+_ROWS = "b long, kind int, id array<bigint>, x array<bigint>, o array<bigint>"
+_ARROW = pa.schema([("b", pa.int64()), ("kind", pa.int32()), *((c, pa.list_(pa.int64())) for c in ("id", "x", "o"))])
+#: What is added to the order of a frequent shingle, so that it comes after all others.
+_LAST = 1 << 30
 
-def tokens(docs: DataFrame, text: str, frequent: np.ndarray) -> DataFrame:
-    """The shingles of each class, packed by the range of hashes ``b`` that they fall in.
 
-    Rows (b, cls, ts) hold the shingles that aren't frequent. A class with too few of those for its prefix also has rows
-    of its least frequent others, one each, with m < 0 in their order. One row of a class has n, the count m of the
-    shingles that aren't frequent and the places in ``frequent`` of the others. A task tells of each class once.
-    """
-    spark = docs.sparkSession
-    shared, parts = spark.sparkContext.broadcast(frequent), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # a number for each range that hash partitioning sends to a partition of its own
+def _labels(spark: SparkSession) -> np.ndarray:
+    """A number for each range of hashes that hash partitioning sends to a partition of its own."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     named = spark.range(64 * parts).groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("p")).agg(F.min("id").alias("id")).orderBy("p").collect()
-    label = np.array([r["id"] for r in named], np.int64)
+    return np.array([r["id"] for r in named], np.int64)
+
+
+def _dealt(label: np.ndarray, by: np.ndarray, kind: int, *cols: np.ndarray) -> pa.RecordBatch:
+    """Columns (id, x, o) as one row for each range of the hashes ``by``; within it in the order of id."""
+    place = ((by.view(np.uint64) >> np.uint64(32)) * np.uint64(len(label)) >> np.uint64(32)).astype(np.int64)
+    order = np.lexsort((cols[0], place))
+    place = place[order]
+    cut = np.flatnonzero(np.diff(place, prepend=-1))
+    offsets = pa.array(np.append(cut, len(place)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x.view(np.int64)[order])) for x in cols]
+    lists += [pa.nulls(len(cut), pa.list_(pa.int64()))] * (3 - len(lists))
+    return pa.RecordBatch.from_arrays([pa.array(label[place[cut]]), pa.array(np.full(len(cut), kind, np.int32)), *lists], schema=_ARROW)
+
+
+def _held(table: pa.Table, kind: int, columns: list[str]) -> list[np.ndarray]:
+    """The arrays of the rows of a kind, joined."""
+    rows = table.filter(pa.compute.equal(table["kind"], kind))
+    return [rows[c].combine_chunks().flatten().to_numpy() if rows.num_rows else np.zeros(0, np.int64) for c in columns]
+
+
+def _distinct(*cols: np.ndarray) -> list[np.ndarray]:
+    """Sorted rows of parallel columns, each once."""
+    order = np.lexsort(cols[::-1])
+    cols = [c[order] for c in cols]
+    new = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+    return [c[np.concatenate([np.ones(min(1, len(c)), bool), new])] for c in cols]
+
+
+def tokens(docs: DataFrame, text: str, frequent: np.ndarray, label: np.ndarray) -> DataFrame:
+    """The prefixes and sizes of all classes, dealt by hash into ranges. A task tells of each class once."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
         seen: set[bytes] = set()
         order = np.argsort(shared.value)
         in_order = np.concatenate([shared.value[order], np.full(1, -1).view(np.uint64)])
-        for _, texts in common.rows(batches):
-            t, size, extra_t, extra_m, extra_of, m, n, cls, heavy = [], [], [], [], [], [], [], [], []
+        for _, texts in common.rows(batches, chars=8_000_000):
+            ids, n, light, size, often, of = [], [], [], [], [], []
             for s in sets_of(texts):
                 c = digest(s)
                 if not len(s) or c in seen:
                     continue
                 seen.add(c)
                 at = np.searchsorted(in_order[:-1], s)
-                often = in_order[at] == s
-                often &= at < len(order)
-                rank = np.sort(order[at[often]])
-                light = s[~often]
-                extra = rank[: max(0, len(s) - needed(len(s)) + 1 - len(light))]
-                t.append(light)
-                size.append(len(light))
-                extra_t.append(shared.value[extra])
-                extra_m.append(-1 - extra)
-                extra_of.append(np.full(len(extra), len(n)))
-                m.append(len(light))
+                known = (in_order[at] == s) & (at < len(order))
+                most = len(s) - needed(len(s)) + common_in_prefix(len(s))
+                light.append(s[~known][:most])
+                size.append(len(light[-1]))
+                often.append(np.sort(order[at[known]])[: most - size[-1]])
+                of.append(len(often[-1]))
+                ids.append(name(c))
                 n.append(len(s))
-                cls.append(c)
-                heavy.append(rank.astype(np.uint32).tobytes())
             if not n:
                 continue
-            k, flat, own = len(n), np.concatenate(t), np.repeat(np.arange(len(n)), size)
-            extra_t, extra_of = np.concatenate(extra_t), np.concatenate(extra_of).astype(np.int64)
-            meta_t = np.frombuffer(b"".join(c[:8] for c in cls), np.uint64)
-            place = lambda x: ((x >> np.uint64(32)) * np.uint64(len(label)) >> np.uint64(32)).astype(np.int64)
-            cut = np.flatnonzero(np.diff(own * len(label) + place(flat), prepend=-1))  # sets are sorted, so ranges lie together
-            values = np.concatenate([flat, extra_t, meta_t]).view(np.int64)
-            single = np.arange(len(flat), len(values))
-            offsets = np.concatenate([cut, single, [len(values)]]).astype(np.int32)
-            of = np.concatenate([own[cut], extra_of, np.arange(k)])
-            ms = np.concatenate([np.zeros(len(cut), np.int64), *extra_m, m]).astype(np.int64)
-            last = np.concatenate([np.full(len(cut) + len(extra_t), -1), np.arange(k)])
-            last = pa.array(last, mask=last < 0)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(label[place(values.view(np.uint64)[offsets[:-1]])]), pa.array(cls, pa.binary()).take(pa.array(of)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
-                    pa.array(ms), pa.array(n, pa.int64()).take(last), pa.array(heavy, pa.binary()).take(last),
-                ],
-                names=["b", "cls", "ts", "m", "n", "heavy"],
-            )
-
-    out = docs.select(F.lit(0).alias("key"), F.col(text).alias("text")).mapInArrow(run, "b long, cls binary, ts array<bigint>, m long, n long, heavy binary")
-    return out.repartition(parts, "b")
-
+            ids = np.array(ids, np.int64)
+            flat, often = np.concatenate(light), np.concatenate(often).astype(np.int64)
+            yield _dealt(label, flat, _PREFIX, np.repeat(ids, size), flat)
+            yield _dealt(label, ids, _SIZE, ids, np.array(n, np.int64))
+            if len(often):
+                own = np.repeat(ids, of)
+                yield _dealt(label, own, _OFTEN, own, shared.value[often], often + _LAST)
+
+    return docs.select(F.lit(0).alias("key"), F.col(text).alias("text")).mapInArrow(run, _ROWS)
+
+
+def candidates(found: DataFrame, label: np.ndarray) -> DataFrame:
+    """(cls, n, prefix) of the classes that can have a partner; ``prefix`` holds their shingles in the index."""
+
+    def shared(table: pa.Table) -> pa.Table:
+        t, ids = _distinct(*_held(table, _PREFIX, ["x", "id"]))
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(t)), bool), t[1:] != t[:-1]]))
+        df = np.diff(np.append(first, len(t)))
+        df = np.repeat(df, df)
+        several = df > 1
+        rest = table.filter(pa.compute.not_equal(table["kind"], _PREFIX)).combine_chunks().cast(_ARROW)
+        return pa.Table.from_batches([*rest.to_batches(), _dealt(label, ids[several], _SHARED, ids[several], t[several], df[several])], _ARROW)
+
+    def index(table: pa.Table) -> pa.Table:
+        named, n = _distinct(*_held(table, _SIZE, ["id", "x"]))
+        ids, o, t = _distinct(*(np.concatenate(c) for c in zip(_held(table, _OFTEN, ["id", "o", "x"]), _held(table, _SHARED, ["id", "o", "x"]), strict=True)))
+        starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(ids)), bool), ids[1:] != ids[:-1]]))
+        ends = np.append(starts[1:], len(ids))
+        sizes = n[np.searchsorted(named, ids[starts])]
+        least = np.array([common_in_prefix(needed(x)) for x in sizes.tolist()], np.int64)
+        can = ends - starts >= least
+        stops, starts = (ends - least + 1)[can], starts[can]
+        take = stops - starts
+        at = np.repeat(starts - np.cumsum(take) + take, take) + np.arange(take.sum())
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(take)).astype(np.int32)), pa.array(t[at]))
+        return pa.table({"cls": pa.array(ids[starts]), "n": pa.array(sizes[can]), "prefix": lists})
+
+    back = found.repartition(len(label), "b").groupBy("b").applyInArrow(shared, _ROWS)
+    return back.repartition(len(label), "b").groupBy("b").applyInArrow(index, "cls long, n long, prefix array<bigint>")
+
+
+def sets(docs: DataFrame, key: str, text: str, base: DataFrame, held: DataFrame) -> DataFrame:
+    """(cls, n, light) of the classes of ``held``: their sizes and whole sets, from one document of each."""
+    one = base.where("id is not null").groupBy("id").agg(F.min("key").alias("k")).join(held.select(F.col("cls").alias("id")), "id", "left_semi").select("k")
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    texts = texts.join(one, F.col("key").eqNullSafe(F.col("k")), "left_semi")
 
-#: What is added to the order of a frequent shingle, so that it comes after all others.
-_LAST = 1 << 30
-_SHARED = "cls binary, n long, m long, heavy binary, o array<int>, t array<bigint>"
-
-
-def _shared(table: pa.Table) -> pa.Table:
-    """Of one range: the rows that tell of a class, and of the others the shingles that another class has as well.
+    def run(batches):
+        for _, group in common.rows(batches):
+            light = [s for s in sets_of(group) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([name(digest(s)) for s in light], pa.int64()), pa.array([len(s) for s in light], pa.int64()), pa.array([s.view(np.int64) for s in light], pa.list_(pa.int64()))], names=["cls", "n", "light"])
 
-    ``o`` orders shingles: by frequency, then the frequent ones by their own order. Rows that several tasks made of one
-    class count once.
-    """
-    ts, told = table["ts"].combine_chunks(), table["n"].combine_chunks()
-    meta = told.is_valid().to_numpy(zero_copy_only=False)
-    cls, m = table["cls"].combine_chunks(), table["m"].to_numpy()
-    flat, edge = ts.flatten().to_numpy(), ts.offsets.to_numpy()
-    edge = edge - edge[0]
-    names = np.frombuffer(b"".join(cls.to_pylist()), np.uint64).reshape(-1, 2)
-    rows = np.flatnonzero(~meta)
-    order = rows[np.lexsort((flat[edge[rows]], names[rows, 1], names[rows, 0]))]
-    if len(order):
-        same = (names[order[1:]] == names[order[:-1]]).all(axis=1) & (flat[edge[order[1:]]] == flat[edge[order[:-1]]])
-        order = order[np.concatenate([[True], ~same])]
-    size = np.diff(edge)[order]
-    own = np.repeat(np.arange(len(order)), size)
-    at = np.repeat(edge[order], size) + np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
-    t = flat[at]
-    by = np.argsort(t)
-    new = np.concatenate([t[:1] == t[:1], t[by][1:] != t[by][:-1]]) if len(t) else np.zeros(0, bool)
-    first = np.flatnonzero(new)
-    df = np.zeros(len(t), np.int64)
-    df[by] = np.repeat(np.diff([*first, len(t)]), np.diff([*first, len(t)])) if len(t) else 0
-    kept = df > 1
-    own, t, df = own[kept], t[kept], df[kept]
-    heavy = m[order][own]
-    o = np.where(heavy < 0, _LAST - heavy, np.minimum(df, _LAST - 1)).astype(np.int32)
-    held = np.unique(own)
-    offsets = np.concatenate([np.searchsorted(own, held), [len(own)]]).astype(np.int32)
-    k, told_at = len(held), np.flatnonzero(meta)
-    lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (o, t)]
-    both = lambda x, kind: pa.chunked_array([table[x].combine_chunks().take(pa.array(told_at)), pa.nulls(k, kind)])
-    return pa.table({
-        "cls": pa.chunked_array([cls.take(pa.array(told_at)), cls.take(pa.array(order[held]))]), "n": both("n", pa.int64()), "m": both("m", pa.int64()),
-        "heavy": both("heavy", pa.binary()), **{c: pa.chunked_array([pa.nulls(len(told_at), x.type), x]) for c, x in zip("ot", lists, strict=True)},
-    })
-
-
-def candidates(found: DataFrame) -> DataFrame:
-    """(cls, n, prefix, light, heavy) of the classes whose prefix holds a shingle of another class."""
-    shared = found.groupBy("b").applyInArrow(_shared, _SHARED)
-    by = shared.groupBy("cls").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.max("heavy").alias("heavy"), F.flatten(F.collect_list("o")).alias("o"), F.flatten(F.collect_list("t")).alias("t"))
-    by = by.withColumn("s", F.array_sort(F.arrays_zip("o", "t")))
-    light = f"filter(s, x -> x.o < {_LAST})"
-    take = F.expr(f"n - (4 * n + 4) div 5 + 1 - (m - size({light}))")
-    by = by.withColumn("take", take).where("take > 0 and size(s) > 0")
-    return by.select("cls", "n", F.expr("transform(slice(s, 1, cast(take as int)), x -> x.t)").alias("prefix"), F.expr(f"transform({light}, x -> x.t)").alias("light"), "heavy")
+    return texts.mapInArrow(run, "cls long, n long, light array<bigint>")
 
 
 def overlaps(query: np.ndarray, members: list[np.ndarray], least: np.ndarray) -> np.ndarray:
@@ -230,26 +244,24 @@ def _search(left: pa.Table, right: pa.Table) -> pa.Table:
     """The members of a block that link with its query."""
     a, b = [], []
     if left.num_rows and right.num_rows:
-        # frequent shingles by their place, a number that no hash is likely to have
-        row = lambda t, i: np.unique(np.concatenate([t["light"][i].values.to_numpy().view(np.uint64), np.frombuffer(t["heavy"][i].as_py() or b"", np.uint32).astype(np.uint64)]))
+        row = lambda t, i: t["light"][i].values.to_numpy().view(np.uint64)
         query, n, m = row(left, 0), left["n"][0].as_py(), right["n"].to_numpy()
         members = [row(right, i) for i in range(right.num_rows)]
         least = -(-4 * (n + m) // 9)
         for i in np.flatnonzero(overlaps(query, members, least) >= least):
             a.append(left["a"][0].as_py())
             b.append(right["b"][int(i)].as_py())
-    return pa.table({"u": pa.array(a, pa.binary()), "v": pa.array(b, pa.binary())})
+    return pa.table({"u": pa.array(a, pa.int64()), "v": pa.array(b, pa.int64())})
 
 
-def verify(pairs: DataFrame, held: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The links among ``pairs`` (a, b): each query's candidates in blocks of about ``BLOCK``, each with the query once."""
     pairs = common.materialize(pairs)
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("k"))
-    sets = held.select("cls", "n", "light", "heavy")
     members = pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), "k").alias("s")).join(sets.withColumnRenamed("cls", "b"), "b")
-    members = members.toDF("b", "a", "s", "n", "light", "heavy")  # own names for what both sides have
+    members = members.toDF("b", "a", "s", "n", "light")  # own names for what both sides have
     queries = blocks.select("a", F.explode(F.expr("sequence(0L, k - 1)")).alias("s")).join(sets.withColumnRenamed("cls", "a"), "a")
-    return queries.groupBy("a", "s").cogroup(members.groupBy("a", "s")).applyInArrow(_search, "u binary, v binary")
+    return queries.groupBy("a", "s").cogroup(members.groupBy("a", "s")).applyInArrow(_search, "u long, v long")
 
 
 def _paired(one: DataFrame) -> DataFrame:
@@ -257,7 +269,7 @@ def _paired(one: DataFrame) -> DataFrame:
     return one.where("x.cls <> y.cls and 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)").select(F.expr("least(x.cls, y.cls) as a"), F.expr("greatest(x.cls, y.cls) as b")).distinct()
 
 
-def links(held: DataFrame) -> DataFrame | None:
+def links(held: DataFrame, sets: DataFrame) -> DataFrame | None:
     """(node, label) over the classes that have links; None without any."""
     index = held.selectExpr("cls", "n", "explode(prefix) as t")
     size = held.selectExpr("coalesce(sum(size(prefix)), 0) as n").first()["n"]
@@ -266,6 +278,7 @@ def links(held: DataFrame) -> DataFrame | None:
         lists = index.withColumn("label", F.col("cls")) if labels is None else index.join(labels.select(F.col("node").alias("cls"), F.col("label")), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         open_ = lists.groupBy("t").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("t")
         lists = common.stored(lists.join(open_, "t"))
+        index = lists.select("cls", "n", "t")  # a list of one component stays so
         by = lists.groupBy("t", "label").agg(F.count("*").alias("k")).groupBy("t").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
         rest = by.selectExpr("coalesce(sum((k * k - kk) div 2), 0) as n").first()["n"]
         if not rest:
@@ -274,9 +287,9 @@ def links(held: DataFrame) -> DataFrame | None:
         if last:
             pairs = _paired(lists.alias("x").join(lists.alias("y"), F.expr("x.t = y.t and x.label < y.label and 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)")))
         else:
-            lead = lists.groupBy("t").agg(F.min_by(F.struct("cls", "n", "label"), F.xxhash64("cls", "t", F.lit(turn))).alias("l")).selectExpr("t", "l.cls as cls", "l.n as n", "l.label as label")
+            lead = lists.groupBy("t").agg(F.min_by(F.struct("cls", "n", "label"), F.xxhash64("cls", F.lit(turn))).alias("l")).selectExpr("t", "l.cls as cls", "l.n as n", "l.label as label")
             pairs = _paired(lists.alias("x").join(lead.alias("y"), F.expr("x.t = y.t and x.label <> y.label and 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)")))
-        new = common.materialize(verify(pairs, held))
+        new = common.materialize(verify(pairs, sets))
         edges = new if edges is None else common.materialize(edges.unionByName(new))
         labels = components(edges)
         if last:
@@ -287,15 +300,18 @@ def links(held: DataFrame) -> DataFrame | None:
 def _labelled(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Documents (key, n, cls) and classes (cls, least, label): smallest key and component."""
     told = common.stored(classes(docs, key, text))
-    base = told.where("c is null").select("key", "n", "cls")
+    base = told.where("c is null").select("key", "n", "cls", "id")
     total = base.agg(F.sum("n")).first()[0] or 0
     often = told.where("c is not null").groupBy("t").agg(F.sum("c").alias("c")).where(F.col("c") >= max(FREQUENT, total // MOST_FREQUENT + 1)).orderBy("c", "t")
     frequent = np.array([r["t"] for r in often.collect()], np.int64).view(np.uint64)
-    labels = links(common.stored(candidates(tokens(docs, text, frequent))))
-    by_class = base.where("cls is not null").groupBy("cls").agg(F.min("key").alias("least"))
+    label = _labels(docs.sparkSession)
+    held = common.stored(candidates(tokens(docs, text, frequent, label), label))
+    whole = common.stored(sets(docs, key, text, base, held).dropDuplicates(["cls"]))
+    labels = links(held, whole)
+    by_class = base.where("cls is not null").groupBy("cls", "id").agg(F.min("key").alias("least"))
     if labels is None:
-        return base, by_class.withColumn("label", F.col("cls"))
-    return base, by_class.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        return base, by_class.withColumn("label", F.col("id"))
+    return base, by_class.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
