@@ -77,6 +77,28 @@ def test_passages(spark):
     assert by[3][4][0] == 0 and by[3][3] == (40, 110) and by[3][5] == (200, 270)
 
 
+def test_long_edited_runs_keep_their_exact_part():
+    rnd = random.Random(11)
+    words = [f"u{rnd.randrange(10**6)}" for _ in range(260)]
+    edited = words[:60] + [f"e{i}" if i % 10 == 5 else w for i, w in enumerate(words[60:])]
+    a, b = passages.sequences([" ".join(words), " ".join(edited)])
+    for one, two in ((a, b), (b, a)):
+        (s, e, s2, e2, j), *rest = passages.verify(one, two)
+        assert (s, s2) == (0, 0) and e >= 56 and e2 >= 56 and j >= passages.SIMILAR
+    for seed in range(20):  # against every part of the run from one gap to another
+        rnd = random.Random(seed)
+        words = [f"u{rnd.randrange(10**6)}" for _ in range(300)]
+        edited = [f"e{i}" if rnd.random() < 0.05 else w for i, w in enumerate(words)]
+        a, b = passages.sequences([" ".join(words), " ".join(edited)])
+        same = a == b
+        parts = [(s, e) for s in range(len(a)) for e in range(s + 46, len(a) + 1) if same[s] and same[e - 1] and same[s:e].sum() >= 0.8 * (2 * (e - s) - same[s:e].sum())]
+        parts = [(s, e) for s, e in parts if np.diff(np.flatnonzero(same[s:e])).max() <= passages.GAP]
+        want = {p for p in parts if not any(q != p and q[0] <= p[0] and p[1] <= q[1] for q in parts)}
+        got = passages.verify(a, b)
+        assert {g[:2] for g in got} == {g[2:4] for g in got}
+        assert all(any(g[0] <= s and e <= g[1] for g in got) for s, e in want)
+
+
 def test_compact_windows():
     values = np.array([5, 3, 8, 1, 9, 2, 7], np.uint64)
     for lo, c, hi in passages.compact_windows(values, 2):
