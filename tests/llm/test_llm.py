@@ -99,6 +99,17 @@ def test_long_edited_runs_keep_their_exact_part():
         assert all(any(g[0] <= s and e <= g[1] for g in got) for s, e in want)
 
 
+def test_every_place_of_a_passage_in_either_text(spark):
+    rnd = random.Random(8)
+    text = lambda n: " ".join(f"u{rnd.randrange(10**6)}" for _ in range(n))
+    for _ in range(3):  # which text is looked at first depends on digests
+        shared = text(60)
+        texts = [f"{text(80)} {shared} {text(80)} {shared} {text(80)} {shared} {text(80)}", f"{text(30)} {shared} {text(30)}"]
+        rows = passages.groups(passages.passages(table(spark, texts))).collect()
+        assert sorted((r.doc_id, r.start, r.end) for r in rows) == [(0, 80, 140), (0, 220, 280), (0, 360, 420), (1, 30, 90)]
+        assert {(r.passage_doc_id, r.passage_start) for r in rows} == {(0, 80)}
+
+
 def test_compact_windows():
     values = np.array([5, 3, 8, 1, 9, 2, 7], np.uint64)
     for lo, c, hi in passages.compact_windows(values, 2):
