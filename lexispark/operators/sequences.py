@@ -124,27 +124,35 @@ def diffused_draw(clips: DataFrame, real: DataFrame, share: float, size: str, or
     return dealt.where(F.col(order).isNotNull() & F.col("pool").isNotNull()).select("pool", order, size)
 
 
-def capped(df: DataFrame, caps: dict[str, int], *order: str, group: str) -> DataFrame:
+def capped(df: DataFrame, caps: dict[str, int], *order: str, group: str | None = None) -> DataFrame:
     """Rows in order of which each key of each capped column keeps at most so many; only kept rows count.
 
-    Caps on several columns depend on each other, so a group (a connected component of the keys, or a bucket that shares
-    none with others) is one sequence.
+    Caps on several columns depend on each other, within a ``group`` if there is one, so rows are decided in rounds. A row
+    that is among the first ``cap`` of each of its keys that aren't rejected is kept whatever becomes of the others; a key
+    with ``cap`` such rows rejects all others, which are later. Each round decides at least the first undecided row.
     """
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order), kind="stable")
-        counts: dict[tuple, int] = {}
-        keep = []
-        for row in pdf[list(caps)].itertuples(index=False):
-            held = list(zip(caps, row, strict=True))
-            ok = all(counts.get(k, 0) < caps[k[0]] for k in held)
-            if ok:
-                for k in held:
-                    counts[k] = counts.get(k, 0) + 1
-            keep.append(ok)
-        return pdf[np.array(keep, bool)]
-
-    return df.groupBy(group).applyInPandas(pick, df.schema)
+    by = [group] if group else []
+    turn = lambda *keys: F.row_number().over(W.partitionBy(*by, *keys).orderBy(*order, "__id"))
+    _shared_folder(df)
+    # A combination of keys keeps the first of its rows and then no more.
+    rows = df.withColumn("__id", F.monotonically_increasing_id()).withColumn("__turn", turn(*caps))
+    alive = rows.where(F.col("__turn") <= min(caps.values())).drop("__turn").checkpoint()
+    while True:
+        kept = alive
+        for c, cap in caps.items():
+            first = alive.select(*by, c, *order, "__id").withColumn("__turn", turn(c)).where(F.col("__turn") <= cap)
+            kept = kept.join(first.select("__id"), "__id", "left_semi")
+        kept = kept.checkpoint()
+        left = alive.join(kept.select("__id"), "__id", "left_anti")
+        for c, cap in caps.items():
+            keys = [*by, c]
+            full = kept.groupBy(*keys).count().where(F.col("count") >= cap).select(*(F.col(k).alias(f"__{k}") for k in keys))
+            same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+            left = left.join(full, same, "left_anti")
+        left = left.checkpoint()
+        if left.isEmpty():
+            return kept.drop("__id")
+        alive = kept.unionByName(left)
 
 
 def alerts(df: DataFrame, over: float, cooldown: float, value: str, ts: str, by: str) -> DataFrame:
@@ -162,15 +170,20 @@ def alerts(df: DataFrame, over: float, cooldown: float, value: str, ts: str, by:
     return df.groupBy(by).applyInPandas(pick, df.schema)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, label): the smallest node of each connected component, by min labels that also jump along labels."""
-    spark = edges.sparkSession
+def _shared_folder(df: DataFrame) -> None:
+    """Sees that there is a folder for checkpoints; only a local session that has none gets a temporary one."""
+    spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         import tempfile
 
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexispark-"))
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, label): the smallest node of each connected component, by min labels that also jump along labels."""
+    _shared_folder(edges)
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct().checkpoint()
     now = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")).checkpoint()
     while True:

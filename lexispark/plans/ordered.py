@@ -89,8 +89,8 @@ def w10_passes(spark, d):
 
 @query()
 def w12_two_key_caps(spark, d):
-    df = table(spark, d, "events").select("event_id", "user_id", "event_type", F.lit(0).alias("component"))
-    return Q.capped(df, {"user_id": 20, "event_type": 60}, "event_id", group="component").drop("component")
+    df = table(spark, d, "events").select("event_id", "user_id", "event_type")
+    return Q.capped(df, {"user_id": 20, "event_type": 60}, "event_id")
 
 
 @query("""select event_id from (select event_id, user_id, row_number() over (partition by user_id order by sha256('5|' || event_id), event_id) as r from events) where r <= 2 order by sha256('6|' || event_id), event_id limit 20""")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexispark.functions import align
 from lexispark.operators import gates, sequences, statistics
+from lexispark.plans import registry
 from lexispark.sources import readers, writers
 from lexispark.streaming import journal
 
@@ -47,6 +48,33 @@ def test_caps_count_only_kept_rows(spark):
     assert sorted(r.i for r in out.collect()) == [0, 1, 2, 5]
 
 
+def test_caps_of_a_whole_table_are_decided_in_rounds(spark):
+    rnd = random.Random(4)
+    for caps in ({"s": 3, "t": 5}, {"s": 6, "t": 2}):
+        rows = [(i, rnd.choice([None, *"abcdefgh"]), rnd.choice("uvwxyz")) for i in range(300)]
+        want, held = [], {}
+        for i, s, t in rows:
+            if held.get(("s", s), 0) < caps["s"] and held.get(("t", t), 0) < caps["t"]:
+                want.append(i)
+                for k in (("s", s), ("t", t)):
+                    held[k] = held.get(k, 0) + 1
+        out = sequences.capped(spark.createDataFrame(rows, "i long, s string, t string").repartition(5), caps, "i")
+        assert sorted(r.i for r in out.collect()) == want
+
+
+def test_two_key_caps_of_events(spark):
+    sf = "/root/testdata/sf0.01"
+    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "event_type").orderBy("event_id").collect()
+    want, users, types = [], {}, {}
+    for e in events:
+        if users.get(e.user_id, 0) < 20 and types.get(e.event_type, 0) < 60:
+            want.append(e.event_id)
+            users[e.user_id], types[e.event_type] = users.get(e.user_id, 0) + 1, types.get(e.event_type, 0) + 1
+    out = registry.QUERIES["w12_two_key_caps"](spark, sf)
+    assert sorted(r.event_id for r in out.collect()) == want
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (9, 8), (8, 7), (7, 1)]
     out = {r.node: r.label for r in sequences.components(spark.createDataFrame(edges, "a long, b long")).collect()}
