@@ -353,6 +353,59 @@ def j13_confusable_pairs(spark, d):
     return pairs.select(F.col("a.t").alias("a"), F.col("b.t").alias("b"), F.expr("levenshtein(a.t, b.t, 2)").cast("long").alias("distance")).where("distance >= 0")
 
 
+_STOP = "'the', 'and', 'for', 'with', 'from', 'are', 'into', 'over', 'under', 'per', 'via', 'its'"
+_FOLDS = (("sch", "sh"), ("ph", "f"), ("oe", "o"), ("ue", "u"), ("ae", "e"), ("ee", "e"), ("ck", "k"), ("q", "k"), ("x", "ks"), ("z", "s"), ("y", "i"), ("c", "k"))
+_ENDS = "('s', 'es', 'ic', 'ics', 'ity', 'ities', 'al', 'ally', 'ly', 'ing', 'ed', 'er', 'ers', 'ation', 'ations', 'ion', 'ions', 'ive', 'ism', 'ist', 'ists', 'ness')"
+#: The rule that two sound keys x and y meet, of which s is the shorter one's length; null for none.
+_RULE = """case when x = y then 'same-sound' when s >= 3 and left(x, s) = left(y, s) and abs(length(x) - length(y)) between 1 and 3 then 'prefix'
+when s >= 5 and left(x, greatest(5, cast(floor((7 * s + 9) / 10) as int))) = left(y, greatest(5, cast(floor((7 * s + 9) / 10) as int))) then 'shared-prefix'
+when levenshtein(x, y) <= case when s <= 6 then 1 else 2 end then 'edit' end"""
+
+
+def _inflected(short: str, long: str) -> str:
+    stem = f"left({short}, length({short}) - 1)"
+    return f"((left({long}, length({short})) = {short} and substr({long}, length({short}) + 1) in {_ENDS}) or (right({short}, 1) in ('e', 'y') and left({long}, length({short}) - 1) = {stem} and substr({long}, length({short})) in {_ENDS}))"
+
+
+_UNINFLECTED = f"not case when length(a) <= length(b) then {_inflected('a', 'b')} else {_inflected('b', 'a')} end"
+
+
+def _sound_key(fold, runs) -> str:
+    """SQL of a token's sound key; RE2 has no back references, so runs of a letter are collapsed letter by letter."""
+    key = "t"
+    for old, new in _FOLDS:
+        key = fold(key, old, new)
+    return runs(key)
+
+
+def _runs_by_letter(key: str) -> str:
+    for c in "abcdefghijklmnopqrstuvwxyz":
+        key = f"regexp_replace({key}, '{c}+', '{c}', 'g')"
+    return key
+
+
+_SOUNDS = f"""select t, {_sound_key(lambda k, a, b: f"replace({k}, '{a}', '{b}')", _runs_by_letter)} as k from (select distinct w as t from (select unnest({split(letters('text'))}) as w from benchmark)) where length(t) >= 3 and t not in ({_STOP})"""
+
+
+@query(f"""with k as materialized ({_SOUNDS}), p as (select m.t as a, n.t as b, m.k as x, n.k as y, least(length(m.k), length(n.k)) as s from k m join k n on m.t < n.t)
+select a, b, {_RULE} as rule from p where {_RULE} is not null and {_UNINFLECTED}""")
+def j13_confusable_sounds(spark, d):
+    t = table(spark, d, "benchmark").select(F.explode(T.words(T.letters_norm(F.col("text")))).alias("t")).where(f"length(t) >= 3 and t not in ({_STOP})").distinct()
+    keys = t.withColumn("k", F.expr(_sound_key(lambda k, a, b: f"replace({k}, '{a}', '{b}')", lambda k: f"regexp_replace({k}, '(.)\\\\1+', '$1')")))
+    less = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
+    one = less(F.col("k"))
+    two = F.when(F.length("k") >= 7, F.flatten(F.transform(one, less))).otherwise(F.array().cast("array<string>"))
+    # Keys at an edit distance of n have a string in common after up to n letters are left out of each.
+    near = keys.select("t", "k", F.explode(F.array_distinct(F.concat(F.array("k"), one, two))).alias("on"))
+    begin = keys.select("t", "k", F.explode(F.expr("filter(array(k, left(k, length(k) - 1), left(k, length(k) - 2), left(k, length(k) - 3)), p -> length(p) >= 3)")).alias("on")).distinct()
+    first = keys.where("length(k) >= 5").select("t", "k", F.expr("left(k, 5)").alias("on"))
+    whole = keys.select("t", "k", F.col("k").alias("on"))
+    met = [m.alias("m").join(n.alias("n"), F.expr("m.on = n.on and m.t <> n.t")).select(F.col("m.t").alias("u"), F.col("m.k").alias("ku"), F.col("n.t").alias("v"), F.col("n.k").alias("kv")) for m, n in ((near, near), (begin, whole), (first, first))]
+    pairs = met[0].unionByName(met[1]).unionByName(met[2]).selectExpr("least(u, v) as a", "greatest(u, v) as b", "if(u < v, ku, kv) as x", "if(u < v, kv, ku) as y").distinct()
+    pairs = pairs.withColumn("s", F.expr("least(length(x), length(y))"))
+    return pairs.withColumn("rule", F.expr(_RULE)).where("rule is not null and " + _UNINFLECTED).select("a", "b", "rule")
+
+
 @query("select key as k, event_type, count(*) as n from (select cast(json_extract(props, '$.k') as bigint) % 10 as key, event_type from events) group by all")
 def j16_group_breakdown(spark, d):
     groups = table(spark, d, "events").select("event_type", F.create_map(F.lit("k"), F.from_json("props", "k long")["k"] % 10).alias("m"))
