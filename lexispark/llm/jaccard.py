@@ -11,11 +11,14 @@ class. Two classes link when 100 * |intersection| >= 80 * |union|, which asks fo
    Those that another class has as well come back; a class with too few of them to share l has no partner.
 3. Index: among shared shingles of a prefix, in the order of frequency, linked classes meet in one of all but the last
    l - 1. Inverted lists of these hold candidates. Whole sets are read again for the classes in them alone.
-4. T-occurrence search: a query class is held against blocks of candidates. Short inverted lists of its shingles are
-   merged and counted, the longest (DivideSkip) are probed by binary search for those that can still reach T.
-5. Lists aren't expanded into all pairs: each has one leader, chosen by hash, that queries the others. Verified links
-   give components; lists that still hold several components are searched again with other leaders, and what then
-   remains between components is searched pair by pair, so no link between components is lost.
+4. Candidate groups: classes that share a list are joined, list by list, to groups (nothing is verified yet, and no pairs
+   are made). Groups are small, as a class is in a list only if enough of its prefix is shared. Each group's whole sets
+   go to one task, many groups to a bucket. A group of more than ``GROUP`` shingles is cut into bands of size (linked
+   sizes differ by a factor of 1.25 at most) and each band into blocks by hash; pairs of blocks are searched instead, so
+   memory stays bounded and nothing is lost, at a cost that grows with the square of the blocks.
+5. T-occurrence search: from a class on, each class that is reached asks an inverted index of those not reached yet. Its
+   short lists are merged and counted, the longest (DivideSkip) are probed by binary search for those that can still
+   reach T. The links found span the components of all links.
 
 Shingles are 64-bit hashes: two different shingles of one pair of documents meet with a chance below 1e-12. The search
 names a class by 64 bits of its digest; two given classes share them with a chance of 2**-64.
@@ -37,13 +40,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .components import components
+from .components import components, roots
 
 WORDS = 5
 #: Frequent shingles: in at least FREQUENT sets, and so many that there are fewer than MOST_FREQUENT of them.
 FREQUENT, MOST_FREQUENT = 1000, 200_000
-#: Members of a block of the search, star rounds before what remains is searched by pairs, and pairs by index row.
-BLOCK, ROUNDS, FEW = 256, 4, 4
+#: Shingles of a group of candidates that are searched together, and about those of a bucket of groups.
+GROUP = 2_000_000
 
 
 def sets_of(texts: list[str]) -> list[np.ndarray]:
@@ -213,91 +216,117 @@ def sets(docs: DataFrame, key: str, text: str, base: DataFrame, held: DataFrame)
     return texts.mapInArrow(run, "cls long, n long, light array<bigint>")
 
 
-def overlaps(query: np.ndarray, members: list[np.ndarray], least: np.ndarray) -> np.ndarray:
-    """Overlap of ``query`` with each member that reaches ``least``; others may stay below their true count."""
-    flat = np.concatenate(members)
-    owner = np.repeat(np.arange(len(members)), [len(x) for x in members])
-    at = np.minimum(np.searchsorted(query, flat), len(query) - 1)
-    held = query[at] == flat
-    order = np.argsort(at[held], kind="stable")
-    lists, ids = at[held][order], owner[held][order]
-    size = np.bincount(lists, minlength=len(query))
-    bound = int(least.min())
-    longest = max(1, int(size.max(initial=1)))
-    long = min(bound - 1, int(bound / (0.1 * math.log2(longest + 1) + 1)), len(query))
-    probed = np.argsort(-size, kind="stable")[:long]
-    is_long = np.zeros(len(query), bool)
-    is_long[probed] = True
-    merged = np.sort(ids[~is_long[lists]], kind="stable")  # sorted runs, merged
-    count = np.bincount(merged, minlength=len(members))
-    left = np.flatnonzero(count >= least - long)
-    ends = np.cumsum(size)
-    for k in probed:
-        run = ids[ends[k] - size[k] : ends[k]]
-        if len(run) and len(left):
-            p = np.minimum(np.searchsorted(run, left), len(run) - 1)
-            count[left] += run[p] == left
-    return count
-
-
-def _search(left: pa.Table, right: pa.Table) -> pa.Table:
-    """The members of a block that link with its query."""
+class Index:
+    """Inverted lists of the sets with the numbers ``of``, for T-occurrence search by DivideSkip."""
+
+    def __init__(self, sets: list[np.ndarray], of: np.ndarray):
+        flat = np.concatenate([sets[i] for i in of])
+        order = np.argsort(flat, kind="stable")
+        self.owner = np.repeat(of, [len(sets[i]) for i in of])[order]
+        self.token, self.start = np.unique(flat[order], return_index=True)
+        self.end = np.append(self.start[1:], len(flat))
+        self.held = len(of)
+
+    def search(self, query: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Numbers of the sets whose overlap with ``query`` reaches their ``least`` (by number)."""
+        at = np.searchsorted(self.token, query)
+        at = at[self.token[np.minimum(at, len(self.token) - 1)] == query]
+        bound = needed(len(query))
+        if len(at) < bound:
+            return np.zeros(0, np.int64)
+        size = self.end[at] - self.start[at]
+        at = at[np.argsort(-size, kind="stable")]
+        long = min(bound - 1, int(bound / (0.1 * math.log2(int(size.max()) + 1) + 1)))
+        start, size = self.start[at[long:]], np.sort(size)[::-1][long:]
+        merged = np.sort(self.owner[np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())], kind="stable")  # sorted runs, merged
+        left, count = np.unique(merged, return_counts=True)
+        left, count = left[count >= least[left] - long], count[count >= least[left] - long]
+        for k in at[:long]:
+            if not len(left):
+                break
+            run = self.owner[self.start[k] : self.end[k]]
+            count += run[np.minimum(np.searchsorted(run, left), len(run) - 1)] == left
+        return left[count >= least[left]]
+
+
+def spanning(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between ``sets``, by number, that span the components of all their links."""
+    n = np.array([len(s) for s in sets])
+    open_, out = np.ones(len(sets), bool), []
+    index = Index(sets, np.arange(len(sets)))
+    for seed in range(len(sets)):
+        todo = [seed] if open_[seed] else []
+        open_[seed] = False
+        while todo:
+            i = todo.pop()
+            left = int(open_.sum())
+            if not left:
+                return out
+            if 4 * left < 3 * index.held:
+                index = Index(sets, np.flatnonzero(open_))
+            least = np.where(open_, -(-4 * (n + n[i]) // 9), len(sets[i]) + 1)
+            found = index.search(sets[i], least)
+            open_[found] = False
+            out += [(i, j) for j in found.tolist()]
+            todo += found.tolist()
+    return out
+
+
+def _search(table: pa.Table) -> pa.Table:
+    """The links that span each group of a bucket."""
     a, b = [], []
-    if left.num_rows and right.num_rows:
-        row = lambda t, i: t["light"][i].values.to_numpy().view(np.uint64)
-        query, n, m = row(left, 0), left["n"][0].as_py(), right["n"].to_numpy()
-        members = [row(right, i) for i in range(right.num_rows)]
-        least = -(-4 * (n + m) // 9)
-        for i in np.flatnonzero(overlaps(query, members, least) >= least):
-            a.append(left["a"][0].as_py())
-            b.append(right["b"][int(i)].as_py())
+    order = table["g"].to_numpy().argsort(kind="stable")
+    table = table.take(pa.array(order)).combine_chunks()
+    g, cls, light = table["g"].to_numpy(), table["cls"].to_numpy(), table["light"].chunk(0)
+    flat, offset = light.values.to_numpy().view(np.uint64), light.offsets.to_numpy()
+    edge = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
+    for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        ids = cls[x:y]
+        for i, j in spanning([flat[offset[k] : offset[k + 1]] for k in range(x, y)]):
+            a.append(ids[i])
+            b.append(ids[j])
     return pa.table({"u": pa.array(a, pa.int64()), "v": pa.array(b, pa.int64())})
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links among ``pairs`` (a, b): each query's candidates in blocks of about ``BLOCK``, each with the query once."""
-    pairs = common.materialize(pairs)
-    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("k"))
-    members = pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), "k").alias("s")).join(sets.withColumnRenamed("cls", "b"), "b")
-    members = members.toDF("b", "a", "s", "n", "light")  # own names for what both sides have
-    queries = blocks.select("a", F.explode(F.expr("sequence(0L, k - 1)")).alias("s")).join(sets.withColumnRenamed("cls", "a"), "a")
-    return queries.groupBy("a", "s").cogroup(members.groupBy("a", "s")).applyInArrow(_search, "u long, v long")
-
-
-def _paired(one: DataFrame) -> DataFrame:
-    """Distinct (a, b) whose sizes allow a link."""
-    return one.where("x.cls <> y.cls and 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)").select(F.expr("least(x.cls, y.cls) as a"), F.expr("greatest(x.cls, y.cls) as b")).distinct()
-
-
-def links(held: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """(node, label) over the classes that have links; None without any."""
-    index = held.selectExpr("cls", "n", "explode(prefix) as t")
-    size = held.selectExpr("coalesce(sum(size(prefix)), 0) as n").first()["n"]
-    edges = labels = None
-    for turn in range(ROUNDS + 1):
-        lists = index.withColumn("label", F.col("cls")) if labels is None else index.join(labels.select(F.col("node").alias("cls"), F.col("label")), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        open_ = lists.groupBy("t").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("t")
-        lists = common.stored(lists.join(open_, "t"))
-        index = lists.select("cls", "n", "t")  # a list of one component stays so
-        by = lists.groupBy("t", "label").agg(F.count("*").alias("k")).groupBy("t").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
-        rest = by.selectExpr("coalesce(sum((k * k - kk) div 2), 0) as n").first()["n"]
-        if not rest:
-            break
-        last = turn == ROUNDS or rest <= FEW * size + 10_000
-        if last:
-            pairs = _paired(lists.alias("x").join(lists.alias("y"), F.expr("x.t = y.t and x.label < y.label and 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)")))
-        else:
-            lead = lists.groupBy("t").agg(F.min_by(F.struct("cls", "n", "label"), F.xxhash64("cls", F.lit(turn))).alias("l")).selectExpr("t", "l.cls as cls", "l.n as n", "l.label as label")
-            pairs = _paired(lists.alias("x").join(lead.alias("y"), F.expr("x.t = y.t and x.label <> y.label and 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)")))
-        new = common.materialize(verify(pairs, sets))
-        edges = new if edges is None else common.materialize(edges.unionByName(new))
-        labels = components(edges)
-        if last:
-            break
-    return labels
-
-
-def _labelled(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+def _candidate_groups(held: DataFrame, label: np.ndarray) -> DataFrame:
+    """(node, label): classes of ``held`` that share lists, directly or through others."""
+
+    def deal(batches):
+        for batch in batches:
+            lists = batch.column("prefix")
+            t, cls = lists.flatten().to_numpy(), batch.column("cls").to_numpy()
+            if len(t):
+                yield _dealt(label, t, _PREFIX, np.repeat(cls, pa.compute.list_value_length(lists).to_numpy()), t)
+
+    def join(table: pa.Table) -> pa.Table:
+        t, cls = _distinct(*_held(table, _PREFIX, ["x", "id"]))
+        nodes, at = np.unique(cls, return_inverse=True)
+        first = np.concatenate([np.ones(min(1, len(t)), bool), t[1:] != t[:-1]])
+        lead = np.maximum.accumulate(np.where(first, np.arange(len(t)), 0))
+        root = roots(at, at[lead], len(nodes))
+        on = root != np.arange(len(nodes))
+        return pa.table({"u": pa.array(nodes[on]), "v": pa.array(nodes[root[on]])})
+
+    dealt = held.mapInArrow(deal, _ROWS).repartition(len(label), "b")
+    return components(dealt.groupBy("b").applyInArrow(join, "u long, v long"))
+
+
+def links(held: DataFrame, sets: DataFrame, label: np.ndarray, group: int = GROUP) -> DataFrame:
+    """(node, label) over the classes that have links."""
+    groups = common.stored(held.select(F.col("cls").alias("node"), "n").join(_candidate_groups(held, label), "node"))
+    sizes = groups.groupBy("label").agg(F.sum("n").alias("w"))
+    members = groups.join(sizes, "label").selectExpr("node as cls", "label", "w", "floor(ln(n) / ln(1.25D)) as band", "ceil(2 * w / %d) as k" % group)
+    small = members.where(F.col("w") <= group).selectExpr("cls", "label as g")
+    blocks = members.where(F.col("w") > group).selectExpr("cls", "label", "k", "pmod(xxhash64(cls), k) as s", "explode(array(band, band + 1)) as band")
+    blocks = blocks.selectExpr("*", "explode(sequence(0L, k - 1)) as o").selectExpr("cls", "xxhash64(label, band, least(s, o), greatest(s, o)) as g")
+    asked = common.stored(small.unionByName(blocks))
+    total = asked.join(groups.select(F.col("node").alias("cls"), "n"), "cls").agg(F.sum("n")).first()[0] or 0
+    buckets = max(len(label), total // group + 1)
+    found = asked.join(sets, "cls").select(F.pmod(F.xxhash64("g"), F.lit(buckets)).alias("b"), "g", "cls", "light")
+    return components(found.groupBy("b").applyInArrow(_search, "u long, v long"))
+
+
+def _labelled(docs: DataFrame, key: str, text: str, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
     """Documents (key, n, cls) and classes (cls, least, label): smallest key and component."""
     told = common.stored(classes(docs, key, text))
     base = told.where("c is null").select("key", "n", "cls", "id")
@@ -307,16 +336,14 @@ def _labelled(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFram
     label = _labels(docs.sparkSession)
     held = common.stored(candidates(tokens(docs, text, frequent, label), label))
     whole = common.stored(sets(docs, key, text, base, held).dropDuplicates(["cls"]))
-    labels = links(held, whole)
+    labels = links(held, whole, label, group)
     by_class = base.where("cls is not null").groupBy("cls", "id").agg(F.min("key").alias("least"))
-    if labels is None:
-        return base, by_class.withColumn("label", F.col("id"))
     return base, by_class.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
     """(key, n_shingles, component_id) for each row of ``docs``."""
-    base, by_class = _labelled(docs, key, text)
+    base, by_class = _labelled(docs, key, text, group)
     least = by_class.groupBy("label").agg(F.min("least").alias("least"))
     by_class = by_class.drop("least").join(least, "label").select("cls", "least")
     linked = base.where("cls is not null").join(by_class, "cls").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))

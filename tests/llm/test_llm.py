@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexispark.llm import chat, common, ctw, decontaminate, jaccard, media, packing, passages, registry, secrets, toxicity, wordpiece
+from lexispark.llm.components import roots
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -58,11 +59,34 @@ def test_jaccard_join(spark):
     docs = table(spark, texts).withColumn("n", F.lit(1)).withColumn("cls", F.lit("x"))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs).collect()}
     assert got == {i: (len(s), label[i]) for i, s in enumerate(sets)}
+    blocks = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs, group=100).collect()}  # every group is cut into pairs of blocks
+    assert blocks == got
     kept = {r.doc_id for r in jaccard.unique(table(spark, texts)).collect()}
     assert kept == {i for i, s in enumerate(sets) if not s or label[i] == i}
     assert jaccard.join(docs.limit(0)).count() == 0
 
 
+def test_links_of_a_family_whose_copies_are_partly_linked():
+    rnd = random.Random(2)
+    words = [f"v{i}" for i in range(100)]
+    sets = []
+    for _ in range(150):
+        copy = list(words)
+        for _ in range(rnd.randint(0, 5)):
+            copy[rnd.randrange(len(copy))] = f"e{rnd.random()}"
+        sets.append(jaccard.sets_of([" ".join(copy)])[0])
+    label = {i: {i} for i in range(len(sets))}
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both) and label[a] is not label[b]:
+            label[a] |= label[b]
+            for x in label[b]:
+                label[x] = label[a]
+    found = jaccard.spanning(sets)
+    root = roots(np.array([a for a, _ in found]), np.array([b for _, b in found]), len(sets))
+    assert 2 < len(set(root.tolist())) and root.tolist() == [min(label[i]) for i in range(len(sets))]
+
+
 def test_passages(spark):
     rnd = random.Random(5)
     text = lambda n: " ".join(f"u{rnd.randrange(10**6)}" for _ in range(n))
