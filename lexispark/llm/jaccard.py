@@ -47,6 +47,8 @@ WORDS = 5
 FREQUENT, MOST_FREQUENT = 1000, 200_000
 #: Shingles of a group of candidates that are searched together, and about those of a bucket of groups.
 GROUP = 2_000_000
+#: Classes that a task remembers, so as to tell of each once; told again, a class changes nothing.
+SEEN = 500_000
 
 
 def sets_of(texts: list[str]) -> list[np.ndarray]:
@@ -149,6 +151,8 @@ def tokens(docs: DataFrame, text: str, frequent: np.ndarray, label: np.ndarray)
                 c = digest(s)
                 if not len(s) or c in seen:
                     continue
+                if len(seen) >= SEEN:
+                    seen.clear()
                 seen.add(c)
                 at = np.searchsorted(in_order[:-1], s)
                 known = (in_order[at] == s) & (at < len(order))

@@ -93,7 +93,7 @@ def test_passages(spark):
     shared = text(70)
     texts = [None, "", text(100), f"{text(40)} {shared} {text(90)}", f"{shared} {text(30)}", f"{text(200)} {shared}", text(60)]
     texts += [texts[2], f"{text(20)} {' '.join(shared.split()[:30])}"]
-    rows = passages.groups(passages.passages(table(spark, texts))).collect()
+    rows = passages.groups(table(spark, texts)).collect()
     by = {}
     for r in rows:
         by.setdefault(r.passage_doc_id, {})[r.doc_id] = (r.start, r.end)
@@ -129,11 +129,44 @@ def test_every_place_of_a_passage_in_either_text(spark):
     for _ in range(3):  # which text is looked at first depends on digests
         shared = text(60)
         texts = [f"{text(80)} {shared} {text(80)} {shared} {text(80)} {shared} {text(80)}", f"{text(30)} {shared} {text(30)}"]
-        rows = passages.groups(passages.passages(table(spark, texts))).collect()
+        rows = passages.groups(table(spark, texts)).collect()
         assert sorted((r.doc_id, r.start, r.end) for r in rows) == [(0, 80, 140), (0, 220, 280), (0, 360, 420), (1, 30, 90)]
         assert {(r.passage_doc_id, r.passage_start) for r in rows} == {(0, 80)}
 
 
+@pytest.mark.parametrize("size", [2, 4, 12, 50])
+def test_near_copies_of_a_passage_are_one_group(spark, size):
+    rnd = random.Random(size)
+    text = lambda n: [f"u{rnd.randrange(10**7)}" for _ in range(n)]
+    texts, family = [], []
+    for _ in range(96 // size):
+        base, made = text(120), []
+        for _ in range(size):
+            copy = list(base)
+            for _ in range(rnd.randint(1, 2)):
+                copy[rnd.randrange(120)] = f"e{rnd.random()}"
+            texts.append(" ".join(text(rnd.randint(10, 60)) + copy + text(rnd.randint(10, 60))))
+            made.append((len(texts) - 1, shingles(" ".join(copy))))
+        family.append(made)
+    label = {}
+    for r in passages.groups(table(spark, texts)).collect():
+        label.setdefault(r.doc_id, set()).add((r.passage_doc_id, r.passage_start))
+    pairs = [(a, b) for made in family for (a, x), (b, y) in itertools.combinations(made, 2) if 100 * len(x & y) >= 80 * len(x | y)]
+    seen = sum(bool(label.get(a, set()) & label.get(b, set())) for a, b in pairs)
+    assert seen >= 0.97 * len(pairs), (seen, len(pairs))
+
+
+def test_passages_of_repeated_rows_and_equal_words(spark):
+    rnd = random.Random(4)
+    shared = " ".join(f"u{rnd.randrange(10**6)}" for _ in range(80))
+    rows = [(1, shared), (1, shared), (1, shared), (2, f"start {shared}"), (2, f"start {shared}"), (None, shared), (3, "same " * 30_000), (4, "same " * 29_000)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], DOCS)
+    got = sorted((r.doc_id, r.start, r.end, r.passage_doc_id) for r in passages.groups(docs).collect())
+    assert got[:5] == [(1, 0, 80, 1)] * 3 + [(2, 0, 81, 1)] * 2
+    assert len(passages.compact_windows(np.full(40_000, 7, np.uint64), 46)) < 900
+    assert passages.groups(docs.limit(0)).count() == 0
+
+
 def test_compact_windows():
     values = np.array([5, 3, 8, 1, 9, 2, 7], np.uint64)
     for lo, c, hi in passages.compact_windows(values, 2):
