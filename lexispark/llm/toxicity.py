@@ -40,13 +40,17 @@ def words(text: str) -> list[bytes]:
     return [w for x in text.lower().encode().split() if (w := x.strip(_STRIP))]
 
 
-def subwords(vocab: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+def subwords(vocab: list[bytes], buckets: int = BUCKETS, words_at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """(word number, bucket) pairs: each word and its n-grams."""
-    if not vocab:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    parts = [_subwords(vocab[i : i + words_at_once], i, buckets) for i in range(0, len(vocab), words_at_once)]
+    none = np.zeros(0, np.int32)
+    return np.concatenate([none, *(p[0] for p in parts)]), np.concatenate([none, *(p[1] for p in parts)])
+
+
+def _subwords(vocab: list[bytes], start: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     flat = np.frombuffer(b"".join(b"<" + w + b">" for w in vocab), np.uint8).astype(np.uint64)
     size = np.array([len(w) + 2 for w in vocab])
-    owner = np.repeat(np.arange(len(vocab), dtype=np.int32), size)
+    owner = np.repeat(np.arange(start, start + len(vocab), dtype=np.int32), size)
     first = np.concatenate([[0], np.cumsum(size)])[:-1]
     left = np.repeat(first + size, size) - np.arange(len(flat))  # bytes from here to the word's end
     who, what = [], []
@@ -57,12 +61,11 @@ def subwords(vocab: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np
             h = h * np.uint64(0x100000001B3) + flat[at + j]
         who.append(owner[at])
         what.append((common.mix(h) % np.uint64(buckets)).astype(np.int32))
-    longest = int(size.max())
     whole = np.full(len(vocab), 77, np.uint64)
-    for j in range(longest):
+    for j in range(int(size.max())):
         at = np.flatnonzero(size > j)
         whole[at] = whole[at] * np.uint64(0x100000001B3) + flat[first[at] + j]
-    who.append(np.arange(len(vocab), dtype=np.int32))
+    who.append(np.arange(start, start + len(vocab), dtype=np.int32))
     what.append((common.mix(whole) % np.uint64(buckets)).astype(np.int32))
     return np.concatenate(who), np.concatenate(what)
 
@@ -91,9 +94,15 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(best + self.bias, -40, 40)))
 
 
-def _sums(values: np.ndarray, at: np.ndarray, groups: np.ndarray, n: int, share: np.ndarray | float = 1.0) -> np.ndarray:
-    """Sums by group of the rows ``at`` of ``values`` times ``share``, one column at a time."""
-    return np.stack([np.bincount(groups, values[:, d][at] * share, n) for d in range(values.shape[1])], axis=1)
+def _sums(values: np.ndarray, at: np.ndarray, groups: np.ndarray, n: int, share: np.ndarray | None = None, rows: int = 500_000) -> np.ndarray:
+    """Sums by group of the rows ``at`` of ``values`` times ``share``, a column and some rows at a time."""
+    out = np.zeros((n, values.shape[1]))
+    for i in range(0, len(at), rows):
+        part = slice(i, i + rows)
+        for d in range(values.shape[1]):
+            x = values[:, d][at[part]]
+            out[:, d] += np.bincount(groups[part], x if share is None else x * share[part], n)
+    return out
 
 
 class Trainer:
@@ -103,12 +112,15 @@ class Trainer:
         rng = np.random.default_rng(seed)
         self.buckets, self.span, self.vocab = buckets, span, vocab
         who, what = subwords(vocab, buckets)
-        held = np.concatenate([np.unique(x) for x in ids])
-        texts = np.bincount(what, np.bincount(held, minlength=len(vocab))[who], buckets)
-        common_ = texts[what] >= MIN_TEXTS  # a bucket that a few texts hold says nothing of others
+        held = np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=len(vocab)).astype(np.float64)
+        texts = _sums(held[:, None], who, what, buckets)[:, 0]
+        common_ = (texts >= MIN_TEXTS)[what]  # a bucket that a few texts hold says nothing of others
         self.size = np.maximum(np.bincount(who, minlength=len(vocab)), 1)[:, None]
-        self.who, what = who[common_], what[common_]
-        self.used, self.local = np.unique(what, return_inverse=True)
+        self.used = np.flatnonzero(texts >= MIN_TEXTS)
+        place = np.full(buckets, -1, np.int32)
+        place[self.used] = np.arange(len(self.used))
+        self.who, self.local = who[common_], place[what[common_]]
+        del who, what, common_
         self.params = [rng.normal(0, 0.01, (len(self.used), dim)), rng.normal(0, 0.3, (dim, 2)), np.zeros(2)]
         self.moments = [(np.zeros_like(x), np.zeros_like(x)) for x in self.params]
         self.step = 0
@@ -122,10 +134,12 @@ class Trainer:
         count = np.concatenate([c for _, c in sets]).astype(np.float32)
         share = (count / np.bincount(b, count, n)[b]).astype(np.float32)
         del sets, count
-        place = np.full(v, -1)
+        place = np.full(v, -1, np.int32)
         place[here] = np.arange(len(here))
-        mine = place[self.who] >= 0
-        who, local, size = place[self.who[mine]], self.local[mine], self.size[here]
+        who, local, size = place[self.who], self.local, self.size[here]
+        if len(here) < v:
+            mine = who >= 0
+            who, local = who[mine], local[mine]
         hot = np.eye(2)[target]
         emb, soft, bias = self.params
         for _ in range(times):
@@ -146,7 +160,7 @@ class Trainer:
     def word_logits(self) -> np.ndarray:
         """Of the words that it was made with."""
         logit = self.params[0] @ (self.params[1][:, 1] - self.params[1][:, 0])
-        return np.bincount(self.who, logit[self.local], len(self.vocab)) / self.size[:, 0]
+        return _sums(logit[:, None], self.local, self.who, len(self.vocab))[:, 0] / self.size[:, 0]
 
     def model(self) -> Model:
         logit = np.zeros(self.buckets)
