@@ -6,7 +6,8 @@ decision at each point of the byte has a context tree over the preceding ``DEPTH
 has a Krichevsky-Trofimov estimate from the zeros and ones that followed its context in training; a node's weighted
 probability is half that estimate's and half the product of its children's, so all depths are mixed by how well they
 coded the training data. The model's probability of a byte in its context follows from these weights alone, so it is
-computed once for each distinct context and byte.
+computed once for each distinct context and byte; with the end byte, a text of n bytes has n + 1 of them, over which
+``bits_per_byte`` is its mean code length.
 
 Everything about the corpus goes through Spark: texts are dealt into blocks of bounded size; each block sends its
 distinct (context, byte) and words with their training counts, these are summed over blocks, the trees are built in
@@ -34,6 +35,7 @@ DEPTH = 5
 BLOCK, CHUNK = 32_000_000, 1_000_000
 END = b"\xff"
 _HALF = np.log(0.5)
+LOG10_2 = np.log10(2.0)
 
 
 def tokens(text: str) -> list[bytes]:
@@ -83,22 +85,27 @@ def decisions(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (1 << k) | (x >> (8 - k)), (x >> (7 - k)) & 1
 
 
-def build(g: np.ndarray, counts: np.ndarray, top: int, depth: int = DEPTH) -> tuple[Level, np.ndarray]:
-    """The level ``top`` and, for each of the sorted ``g`` and decision, the mixed probability from that depth down.
+def build(g: np.ndarray, counts: np.ndarray, top: int, depth: int = DEPTH) -> tuple[list[Level], np.ndarray]:
+    """Each decision's level ``top`` and, for each of the sorted ``g``, its mixed probability from that depth down.
 
-    The deepest nodes of one decision lie in the order of ``g``; each level above comes from the nodes below it.
+    The eight decisions have trees of their own, so they are built one after the other.
     """
-    place, bit = decisions(g)
-    ctx, at, keys, base = g >> 8, np.empty(bit.shape, np.int32), [], 0
+    n, made, q = counts.astype(float), [], np.empty((8, len(g)))
     for k in range(8):
-        node = (ctx << 8) | place[k]
-        new = np.concatenate([node[:1] >= 0, node[1:] != node[:-1]])
-        at[k] = np.cumsum(new) - 1 + base
-        keys.append(node[new])
-        base += len(keys[-1])
-    at, bit = at.ravel(), bit.ravel().astype(bool)
-    n = np.broadcast_to(counts, (8, len(g))).ravel().astype(float)
-    levels, parents = [Level(np.concatenate(keys), np.bincount(at, n * ~bit, base), np.bincount(at, n * bit, base), None)], []
+        level, q[k] = _build(g, n, k, top, depth)
+        made.append(level)
+    return made, q
+
+
+def _build(g: np.ndarray, n: np.ndarray, k: int, top: int, depth: int) -> tuple[Level, np.ndarray]:
+    """The deepest nodes of a decision lie in the order of ``g``; each level above comes from the nodes below it."""
+    bit = (g >> (7 - k) & 1).astype(bool)
+    node = (g >> 8 << 8) | (1 << k) | ((g & 255) >> (8 - k))
+    new = np.concatenate([node[:1] >= 0, node[1:] != node[:-1]])
+    at = (np.cumsum(new) - 1).astype(np.int32)
+    keys = node[new]
+    del node, new
+    levels, parents = [Level(keys, np.bincount(at, n * ~bit, len(keys)), np.bincount(at, n * bit, len(keys)), None)], []
     for d in range(depth - 1, top - 1, -1):
         last = levels[-1]
         keys, parent = np.unique(((last.keys >> 8 & ((1 << 8 * d) - 1)) << 8) | (last.keys & 255), return_inverse=True)
@@ -108,7 +115,7 @@ def build(g: np.ndarray, counts: np.ndarray, top: int, depth: int = DEPTH) -> tu
     for level, parent in zip(levels, [*parents, None], strict=True):
         q = level.predict(at, bit, q)
         at = at if parent is None else parent[at]
-    return levels[-1], q.reshape(8, -1)
+    return levels[-1], q
 
 
 def _tree(table: pa.Table) -> pa.Table:
@@ -117,15 +124,16 @@ def _tree(table: pa.Table) -> pa.Table:
     order = np.argsort(g)
     g, c = g[order], c[order]
     pa.default_memory_pool().release_unused()
-    level, q = build(g, c, 2)
+    levels, q = build(g, c, 2)
+    keys, zeros, ones, log = (np.concatenate([getattr(x, v) for x in levels]) for v in ("keys", "zeros", "ones", "log"))
     none = lambda n, kind: pa.nulls(n, kind)
-    n, m = len(g), len(level.keys)
+    n, m = len(g), len(keys)
     packed = pa.FixedSizeListArray.from_arrays(pa.array(q.T.ravel()), 8).cast(pa.list_(pa.float64()))
     one = lambda a, b: pa.chunked_array([a, b])
     return pa.table({
         "g": one(pa.array(g), none(m, pa.int64())), "q": one(packed, none(m, pa.list_(pa.float64()))),
-        "node": one(none(n, pa.int64()), pa.array(level.keys & 0xFFFF)),
-        **{k: one(none(n, pa.float64()), pa.array(v)) for k, v in (("zeros", level.zeros), ("ones", level.ones), ("log", level.log))},
+        "node": one(none(n, pa.int64()), pa.array(keys & 0xFFFF)),
+        **{k: one(none(n, pa.float64()), pa.array(v)) for k, v in (("zeros", zeros), ("ones", ones), ("log", log))},
     })
 
 
@@ -191,7 +199,7 @@ def _count(table: pa.Table) -> pa.Table:
 
 
 def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK) -> DataFrame:
-    """(key, n_tokens, n_known, train_tokens, base_score, score) for each row; ``train`` says which rows are learned from."""
+    """(key, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for each row; ``train`` says which are learned from."""
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     arrow = pa.string() if kind == "string" else pa.int64()
@@ -205,7 +213,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     # at most 256 * 255 rows: the byte before and the place within the byte
     rows = trees.where("node is not null").groupBy("node").agg(F.sum("zeros"), F.sum("ones"), F.sum("log")).collect()
     if not rows:
-        return source.select(F.col("key").alias(key), *(F.lit(0).cast(t).alias(c) for c, t in (("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double"))))
+        return source.select(F.col("key").alias(key), *(F.lit(0).cast(t).alias(c) for c, t in (("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double"), ("bits_per_byte", "double"))))
     top = spark.sparkContext.broadcast(Top(*(np.array(c, t) for c, t in zip(zip(*rows, strict=True), (np.int64, float, float, float), strict=True))))
 
     def finish(batches):
@@ -231,7 +239,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
         order = np.argsort(keys)
         keys, logs = keys[order], logs[order]
         base = dict(zip(values["w"].filter(pa.array(~mine)).to_pylist(), v[~mine].tolist(), strict=True))
-        out, scores, parts, size = [], [], [], 0
+        out, scores, parts, sizes, size = [], [], [], [], 0
 
         def flush() -> None:
             # contexts and bytes in order, each with the number of its text in the low 16 bits: equal ones lie together
@@ -245,7 +253,8 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
         for k, text in zip(texts["key"].to_pylist(), texts["text"], strict=True):
             w = tokens(text.as_py())
             parts.append((grams(b" ".join(w)).astype(np.uint64) << np.uint64(16)) | np.uint64(len(parts)))
-            size += len(parts[-1])
+            sizes.append(len(parts[-1]))
+            size += sizes[-1]
             if size > CHUNK or len(parts) == 1 << 16:
                 flush()
                 size = 0
@@ -253,12 +262,12 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
             out.append((k, len(w) + 1, int((c > 0).sum()) + (n_train > 0), n, float(c.sum() + end - norm * (len(w) + 1))))
         if parts:
             flush()
-        out = [(*o, x) for o, x in zip(out, scores, strict=True)]
-        types = (arrow, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        cols = zip(*out, strict=True) if out else [[]] * 6
-        return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["key", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        out = [(*o, x, -x / (n * LOG10_2)) for o, x, n in zip(out, scores, sizes, strict=True)]
+        types = (arrow, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+        cols = zip(*out, strict=True) if out else [[]] * 7
+        return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["key", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
 
-    scored = source.select("block", "key", "text").groupBy("block").cogroup(need.groupBy("block")).applyInArrow(measure, f"key {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scored = source.select("block", "key", "text").groupBy("block").cogroup(need.groupBy("block")).applyInArrow(measure, f"key {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
     return scored.withColumnRenamed("key", key)
 
 
@@ -266,6 +275,6 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every document by the model of those whose crc32 of the key leaves another rest than 2 by 7."""
     docs, held_out = common.table(spark, sf_dir, "documents"), common.crc_mod(F.col("doc_id"), 7, 2)
     scored = score(docs, ~held_out)
-    return scored.select("doc_id", common.crc_mod(F.col("doc_id"), 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", common.crc_mod(F.col("doc_id"), 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
