@@ -371,7 +371,8 @@ def unique(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     schema = docs.select("*", F.lit(None).cast("binary").alias("__cls")).schema
     told = docs.mapInArrow(run, schema)
-    kept = told.where("__cls is not null").alias("d").join(winners.alias("w"), F.col(f"d.{key}").eqNullSafe(F.col("w.__key")) & (F.col("d.__cls") == F.col("w.__cls")), "left_semi")
+    # texts are dealt by key and class at any size, which the removal of repeated rows uses as well
+    kept = told.where("__cls is not null").alias("d").join(winners.hint("merge").alias("w"), F.col(f"d.{key}").eqNullSafe(F.col("w.__key")) & (F.col("d.__cls") == F.col("w.__cls")), "left_semi")
     kept = kept.dropDuplicates([key, "__cls"])
     return kept.unionByName(told.where("__cls is null")).select(*cols)
 

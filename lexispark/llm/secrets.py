@@ -57,15 +57,16 @@ def _matches(kind: str, pattern: str) -> Column:
 
 
 def parts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, base, weak): the base spans and the weak candidates of each row, in order."""
-    out = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    """(doc, row, key, base, weak): each row and the base spans and weak candidates of its text, in order."""
+    out = docs.select(F.struct("*").alias("doc"), F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     value = f"length(regexp_extract(substring(text, cast(s.start as int) + 1, cast(s.stop - s.start as int)), {_quoted(BASE['assign'][0])}, 1))"
-    out = out.select("key", "text", *(_matches(k, p).alias(f"m_{k}") for k, p in (_SCAN | WEAK).items()))
+    out = out.select("doc", "key", "text", *(_matches(k, p).alias(f"m_{k}") for k, p in (_SCAN | WEAK).items()))
     out = out.withColumn("m_assign", F.expr(f"transform(m_assign, s -> struct(s, {value} as n))"))
     none = f"cast(array() as array<{_SPAN}>)"
     base = f"array_sort(concat(transform(filter(m_assign, x -> x.n >= {BASE['assign'][1]}), x -> x.s), m_access, m_hex, {none}))"
     short = f"transform(filter(m_assign, x -> x.n between {SHORT[0]} and {SHORT[1]}), x -> struct(x.s.start as start, {KINDS.index('secret')} as ord, 'secret' as kind, x.s.stop as stop))"
-    return out.select("key", "text", F.expr(base).alias("base"), F.expr(f"array_sort(array_distinct(concat({short}, m_secret, m_identifier, m_endpoint, {none})))").alias("weak"))
+    row = F.sha2(F.concat_ws(":", F.coalesce(F.col("key").cast("string"), F.lit("")), "text"), 256).alias("row")
+    return out.select("doc", row, "key", F.expr(base).alias("base"), F.expr(f"array_sort(array_distinct(concat({short}, m_secret, m_identifier, m_endpoint, {none})))").alias("weak"))
 
 
 def _role(kind: str) -> str:
@@ -91,26 +92,30 @@ def link(found: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:
     """(key, base, linked) for each row of ``docs``: base spans and linked weak candidates as (start, ord, kind, stop)."""
-    found = common.stored(parts(docs, key, text).select(F.sha2(F.concat_ws(":", F.coalesce(F.col("key").cast("string"), F.lit("")), "text"), 256).alias("row"), "key", "base", "weak"))
+    found = common.stored(parts(docs, key, text).drop("doc"))
     # Equal rows share ``row`` and so each gets all of their links: sets make them one.
     return link(found, scope).select(F.col("key").alias(key), "base", "linked")
 
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every base and linked span of its text replaced by ``mark``; a length column follows its text."""
-    keyed = common.stored(parts(docs, key, text).select(F.sha2(F.concat_ws(":", F.coalesce(F.col("key").cast("string"), F.lit("")), "text"), 256).alias("row"), "base", "weak").where("size(base) + size(weak) > 0").distinct())
-    spans = link(keyed).selectExpr("row as __row", "array_sort(concat(base, linked)) as __spans").where("size(__spans) > 0")
+    """``docs`` with every base and linked span of its text replaced by ``mark``; a length column follows its text.
+
+    Only rows with weak candidates and a complement are shuffled.
+    """
+    found = common.stored(parts(docs, key, text).drop("key"))
+    told = link(found).select("doc", F.expr(f"doc.`{text}`").alias("text"), F.expr("array_sort(concat(base, linked))").alias("__spans"))
     merged = """aggregate(__spans, cast(array() as array<struct<a: bigint, b: bigint>>), (acc, s) ->
         if(size(acc) > 0 and element_at(acc, -1).b >= s.start,
            concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).a as a, greatest(element_at(acc, -1).b, s.stop) as b))),
            concat(acc, array(struct(s.start as a, s.stop as b)))))"""
-    body = f"""concat(array_join(transform(__cuts, (c, i) -> concat(substring({text}, cast(if(i = 0, 0L, __cuts[i - 1].b) as int) + 1, cast(c.a - if(i = 0, 0L, __cuts[i - 1].b) as int)), '{mark}')), ''),
-        substring({text}, cast(element_at(__cuts, -1).b as int) + 1))"""
-    row = F.sha2(F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))), 256)
-    out = docs.withColumn("__row", row).join(spans, "__row", "left").withColumn("__cuts", F.expr(merged))
-    out = out.withColumn("__new", F.expr(f"if(__spans is null, {text}, {body})"))
-    changed = {text: F.col("__new")} | ({"n_chars": F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("__new").cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
-    return out.select(*(changed.get(c, F.col(c)).alias(c) for c in docs.columns))
+    body = f"""concat(array_join(transform(__cuts, (c, i) -> concat(substring(text, cast(if(i = 0, 0L, __cuts[i - 1].b) as int) + 1, cast(c.a - if(i = 0, 0L, __cuts[i - 1].b) as int)), '{mark}')), ''),
+        substring(text, cast(element_at(__cuts, -1).b as int) + 1))"""
+    plain = F.expr("size(__spans) = 0")
+    out = told.withColumn("__cuts", F.expr(merged)).withColumn("__new", F.when(plain, F.col("text")).otherwise(F.expr(body)))
+    changed = {text: F.col("__new")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(plain, F.col("doc.n_chars")).otherwise(F.length("__new").cast(docs.schema["n_chars"].dataType))
+    return out.select(*(changed.get(c, F.col("doc")[c]).alias(c) for c in docs.columns))
 
 
 def _listed(spans: str) -> str:
