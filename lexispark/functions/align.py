@@ -75,16 +75,20 @@ def wer(errors: Column, n: Column, hyp_words: Column) -> tuple[Column, Column]:
 
 
 def longest(tokens: list, most: int = 6) -> tuple[int, int]:
-    """(repeats, n) of the longest run in which an n-gram repeats at once; the smallest n of ties; (1, 1) without any."""
+    """(repeats, n) of the longest run in which an n-gram repeats at once, the smallest n of ties; (0, 0) of nothing.
+
+    A place repeats if its token is the one n places before. m such places in a row are m // n further copies.
+    """
     x = np.unique(np.array(tokens, dtype=object).astype(str), return_inverse=True)[1] if len(tokens) else np.zeros(0, int)
-    best = (1 if len(x) else 0, 1)
-    for n in range(1, min(most, len(x) // 2) + 1):
-        same = np.concatenate([[0], (x[n:] == x[:-n]).astype(int), [0]])
-        edge = np.flatnonzero(np.diff(same))
-        run = (edge[1::2] - edge[::2]).max(initial=0)
-        if run // n + 1 > best[0]:
-            best = (int(run // n + 1), n)
-    return best
+    runs = {n: 0 for n in range(1, min(most, len(x) // 2) + 1)}
+    for n in runs:
+        place = np.arange(len(x) - n)
+        broken = np.where(x[n:] == x[:-n], -1, place)
+        runs[n] = int((place - np.maximum.accumulate(broken)).max())
+    copies = {n: m // n + 1 for n, m in runs.items()}
+    if not any(c > 1 for c in copies.values()):
+        return (1, 1) if len(x) else (0, 0)
+    return max((c, -n) for n, c in copies.items())[0], min(n for n, c in copies.items() if c == max(copies.values()))
 
 
 @F.pandas_udf(_struct(repeats=_INT, n=_INT))
@@ -120,14 +124,17 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+#: English number words.
 _ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
-_TENS = "_ _ twenty thirty forty fifty sixty seventy eighty ninety".split()
+_TENS = "none ten twenty thirty forty fifty sixty seventy eighty ninety".split()
 
 
 def cardinal(n: int) -> str:
-    """An integer in English words."""
+    """An integer in English words; from 10**15 digit by digit."""
     if n < 0:
         return "minus " + cardinal(-n)
+    if n >= 10**15:
+        return " ".join(_ONES[int(c)] for c in str(n))
     if n < 20:
         return _ONES[n]
     if n < 100:

@@ -43,8 +43,11 @@ def grams(words: Column, n: int = 8) -> Column:
 
 
 def gram_hashes(words: Column, n: int = 8) -> Column:
-    """``grams`` as 64-bit hashes, for joins at scale."""
-    return F.transform(grams(words, n), lambda g: F.xxhash64(g))
+    """A 64-bit hash for each of ``grams``, for joins at scale: words are hashed once, grams from their words' hashes."""
+    at = lambda h: F.sequence(F.lit(0), F.size(h) - n)
+    hashed = lambda h: F.transform(at(h), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(n))))
+    none = F.array().cast("array<bigint>")
+    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.when(F.size(h) >= n, hashed(h)).otherwise(none))
 
 
 def jaccard(a: Column, b: Column) -> Column:

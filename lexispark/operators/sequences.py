@@ -64,10 +64,14 @@ def every_kth(df: DataFrame, n: int, *order: str) -> DataFrame:
 
 
 def ranked(df: DataFrame, *order: str) -> DataFrame:
-    """``df`` with a global ``rank`` from 0: ranks within the parts of a total order, after the sizes of the parts before."""
+    """``df`` with a global ``rank`` from 0: ranks within the parts of a total order, after the sizes of the parts before.
+
+    The parts are stored once: their bounds are sampled, so to cut twice could give other parts.
+    """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+    _shared_folder(df)
+    cut = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()).checkpoint()
     sizes = cut.groupBy("__part").agg(F.count("*").alias("__n"))
     before = sizes.select("__part", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     inner = F.row_number().over(W.partitionBy("__part").orderBy(*order)) - 1

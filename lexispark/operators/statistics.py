@@ -115,3 +115,15 @@ def upper_bound(successes: int, n: int, level: float = 0.95) -> float:
 def schedule(step, warmup: int, total: int, decay: int, peak: float):
     """Warm-up, stable, linear decay."""
     return F.when(step < warmup, peak * (step + 1) / warmup).when(step < total - decay, F.lit(peak)).otherwise(F.greatest(peak * (total - step) / decay, F.lit(0.0)))
+
+
+#: Cumulative probabilities of a Poisson variable of mean 1.
+POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975)
+
+
+def poisson_sql(unit: str, rep: str, engine: str = "spark") -> str:
+    """SQL of a unit's weight in a bootstrap replicate: a Poisson draw by hash, the same wherever the rows are."""
+    cases = "case " + " ".join(f"when x < {c} then {k}" for k, c in enumerate(POISSON)) + f" else {len(POISSON)} end"
+    if engine == "duck":
+        return f"[{cases} for x in [('0x' || substr(md5({unit} || ':' || {rep}), 1, 7))::bigint / 268435456.0]][1]"
+    return f"transform(array(cast(conv(substr(md5(concat({unit}, ':', {rep})), 1, 7), 16, 10) as bigint) / 268435456.0D), x -> {cases})[0]"

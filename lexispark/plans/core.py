@@ -83,15 +83,21 @@ def sk4_content_hash(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum(digest).alias("content"))
 
 
-@query("select conv_id, turn, count(*) as n from conversations group by all having count(*) > 1")
+@query("select l_partkey, l_suppkey, count(*) as n from lineitem group by all having count(*) > 1")
 def sk5_duplicate_ids(spark, d):
-    return G.duplicates(table(spark, d, "conversations"), "conv_id", "turn")
+    return G.duplicates(table(spark, d, "lineitem"), "l_partkey", "l_suppkey")
 
 
-@query("select doc_id, lang, source, n_chars, 'left' as side from documents where false")
+_CHANGED = "case when doc_id in (select doc_id from labels where toxic = 1) then n_chars + 1 else n_chars end"
+
+
+@query(f"""with a as (select doc_id, lang, source, n_chars from documents), b as (select doc_id, lang, source, {_CHANGED} as n_chars from documents)
+select *, 'left' as side from (from a except all from b) union all select *, 'right' from (from b except all from a)""")
 def sk7_freeze_difference(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
-    return G.same_rows(docs, docs.orderBy("doc_id"))
+    toxic = table(spark, d, "labels").where("toxic = 1").select("doc_id", F.lit(1).alias("more")).distinct()
+    written = docs.join(toxic, "doc_id", "left").select("doc_id", "lang", "source", (F.col("n_chars") + F.coalesce("more", F.lit(0))).alias("n_chars"))
+    return G.same_rows(docs, written)
 
 
 @query(f"select doc_id, lang, source, n_chars, {norm('text')} as text from documents")
@@ -627,8 +633,7 @@ def a39_array_stats(spark, d):
 
 @query("select l_returnflag, coalesce(l_linestatus, 'both') as label_set, count(*) as n from lineitem group by grouping sets ((l_returnflag, l_linestatus), (l_returnflag)) having count(*) >= 5")
 def a40_harm_cells(spark, d):
-    table(spark, d, "lineitem").createOrReplaceTempView("lexispark_cells")
-    out = spark.table("lexispark_cells").groupingSets([["l_returnflag", "l_linestatus"], ["l_returnflag"]], "l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+    out = table(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.grouping_id().alias("level")).where("level < 3")
     return out.where("n >= 5").select("l_returnflag", F.coalesce("l_linestatus", F.lit("both")).alias("label_set"), "n")
 
 

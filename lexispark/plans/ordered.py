@@ -35,9 +35,9 @@ def w3_equal_runs(spark, d):
     return g.groupBy("user_id", "event_type", "g").agg(F.count("*").alias("n")).groupBy("user_id").agg(F.max("n").alias("run"))
 
 
-@query("select conv_id, turn, expected from (select conv_id, turn, row_number() over (partition by conv_id order by turn) - 1 as expected from conversations) where turn <> expected")
+@query("select l_orderkey, l_linenumber, expected from (select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey order by l_linenumber) - 1 as expected from lineitem) where l_linenumber <> expected")
 def w4_positions(spark, d):
-    return G.positions(table(spark, d, "conversations"), "conv_id", "turn").select("conv_id", "turn", "expected")
+    return G.positions(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", "expected")
 
 
 @query("select event_id, cast(floor(event_id / 128) as bigint) as pool from events")
@@ -154,10 +154,14 @@ def w25_batch_lookup(spark, d):
     return cut.join(served, ["pool", "batch"]).select("doc_id", "served_at", "pos")
 
 
-@query("select doc_id, lang, source, 'left' as side from documents where false")
+@query(_CUT + """, t as (select pool, batch, count(*) as n from r group by all), o2 as (select doc_id, n_chars as s, doc_id // 64 as pool from documents)
+select pool, count(*) as batches, cast(sum(n) as bigint) as clips from t where pool < (select count(distinct doc_id // 64) // 2 from documents) group by pool""")
 def w26_plan_prefix(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "lang", "source")
-    return G.same_rows(docs.where("doc_id < 64"), docs.where("doc_id div 64 < 1"))
+    """The plan of the first half of the pools, made alone; its SQL takes the plan of all and keeps that part."""
+    sized = _sized(spark, d)
+    half = sized.select("pool").distinct().count() // 2
+    short = Q.greedy_cut(sized.where(F.col("pool") < half), 20_000, "s", "doc_id", "pool")
+    return short.groupBy("pool").agg(F.count_distinct("batch").alias("batches"), F.count("*").alias("clips"))
 
 
 @query("""select source, case when r <= 0.7 * n then 'train' when r <= 0.85 * n then 'dev' else 'test' end as part from (select source, row_number() over (order by sha256('p|' || source), source) as r, count(*) over () as n from (select distinct source from documents))""")

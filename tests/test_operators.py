@@ -35,11 +35,12 @@ def test_alignment_is_least_and_ties_are_ordered():
 
 def test_longest_repeat():
     assert align.longest(list("ababab")) == (3, 2) and align.longest(list("aaaa")) == (4, 1)
-    assert align.longest([]) == (0, 1) and align.longest(list("abc")) == (1, 1)
+    assert align.longest([]) == (0, 0) and align.longest(list("abc")) == (1, 1)
 
 
 def test_cardinal():
     assert align.cardinal(1_200_021) == "one million two hundred thousand twenty one" and align.cardinal(0) == "zero"
+    assert align.cardinal(10**15) == "one" + " zero" * 15
 
 
 def test_caps_count_only_kept_rows(spark):
@@ -133,3 +134,11 @@ def test_streamed_journal(spark, tmp_path):
     assert spark.table("firsts").count() == 5
     journal.run_once(stream, lambda df: df.groupBy("id").agg(F.count("*").alias("n")), str(tmp_path / "out"), str(tmp_path / "c2")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("n")).first()[0] == 10
+
+
+def test_ranks_of_a_large_table_with_other_columns(spark):
+    df = spark.range(300_000).selectExpr("xxhash64(id) as h", "id", "repeat('x', 20) as payload")
+    got = sequences.ranked(df, "h", "id").agg(F.count_distinct("rank"), F.max("rank"), F.count("*")).first()
+    assert tuple(got) == (300_000, 299_999, 300_000)
+    first = sequences.ranked(df, "h", "id").where("rank < 3").orderBy("rank").select("id").collect()
+    assert first == df.orderBy("h", "id").limit(3).select("id").collect()
