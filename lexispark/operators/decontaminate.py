@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .sequences import stored
 
 GRAM, BOILERPLATE, SHARE = 8, 100, 0.5
 
@@ -26,14 +27,14 @@ def gram_rows(df: DataFrame, key: str, norm: str = "norm", n: int = GRAM) -> Dat
 
 
 def probe(training: DataFrame, held: DataFrame, rec: str, utt: str, n: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(held-out grams by utterance, training recordings that have them)."""
-    wanted = gram_rows(held, utt, n=n)
-    return wanted, gram_rows(training, rec, n=n).join(wanted.select("gram").distinct(), "gram", "left_semi")
+    """(held-out grams by utterance, training recordings that have them), stored: all texts are cut into grams once."""
+    wanted = stored(gram_rows(held, utt, n=n))
+    return wanted, stored(gram_rows(training, rec, n=n).join(wanted.select("gram").distinct(), "gram", "left_semi"))
 
 
-def contained(training: DataFrame, held: DataFrame, rec: str, utt: str, n: int = GRAM, most_df: int = BOILERPLATE, share: float = SHARE, boilerplate: DataFrame | None = None) -> DataFrame:
+def contained(training: DataFrame, held: DataFrame, rec: str, utt: str, n: int = GRAM, most_df: int = BOILERPLATE, share: float = SHARE, boilerplate: DataFrame | None = None, probed: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(rec, utt, matched, n_grams) of each contained utterance. ``boilerplate``: a given table of grams instead of counts."""
-    wanted, found = probe(training, held, rec, utt, n)
+    wanted, found = probed or probe(training, held, rec, utt, n)
     if boilerplate is None:
         boilerplate = found.groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") > most_df).select("gram")
     wanted = wanted.join(boilerplate, "gram", "left_anti")
@@ -44,8 +45,8 @@ def contained(training: DataFrame, held: DataFrame, rec: str, utt: str, n: int =
 
 def report(training: DataFrame, held: DataFrame, rec: str, utt: str, n: int = GRAM, most_df: int = BOILERPLATE, share: float = SHARE) -> DataFrame:
     """One row: utterances checked, too short for a gram, of boilerplate only, contained; and recordings denied."""
-    hits = contained(training, held, rec, utt, n, most_df, share).select(rec, utt)
-    wanted, found = probe(training, held, rec, utt, n)
+    wanted, found = probed = probe(training, held, rec, utt, n)
+    hits = contained(training, held, rec, utt, n, most_df, share, probed=probed).select(rec, utt)
     common = found.groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") > most_df).select("gram")
     left = wanted.join(common, "gram", "left_anti").select(utt).distinct().withColumn("__left", F.lit(True))
     state = held.select(utt, (F.size(T.words(F.col("norm"))) < n).alias("short")).join(left, utt, "left")

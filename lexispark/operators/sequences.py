@@ -70,8 +70,7 @@ def ranked(df: DataFrame, *order: str) -> DataFrame:
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    _shared_folder(df)
-    cut = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()).checkpoint()
+    cut = stored(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
     sizes = cut.groupBy("__part").agg(F.count("*").alias("__n"))
     before = sizes.select("__part", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     inner = F.row_number().over(W.partitionBy("__part").orderBy(*order)) - 1
@@ -185,6 +184,12 @@ def _shared_folder(df: DataFrame) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexispark-"))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the checkpoint folder, for what several plans read."""
+    _shared_folder(df)
+    return df.checkpoint()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label): the smallest node of each connected component, by min labels that also jump along labels."""
     _shared_folder(edges)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -338,8 +340,15 @@ signed as (select doc_id, [{", ".join(f"list_min([(x * {a} + {b}) % {_PRIME} for
 def _signatures(docs):
     grams = F.array_distinct(T.grams(T.words(T.simple_norm(F.col("text"))), 5))
     hashed = docs.select("doc_id", F.transform(grams, lambda g: F.conv(F.substring(F.md5(g), 1, 7), 16, 10).cast("long")).alias("h")).where(F.size("h") > 0)
-    least = lambda a, b: F.array_min(F.transform("h", lambda x: (x * a + b) % _PRIME))
-    return hashed.select("doc_id", F.array(*(least(a, b) for a, b in _HASHES)).alias("signature"))
+    a, b = (np.array(x, np.int64)[:, None] for x in zip(*_HASHES, strict=True))
+
+    def least(batches):
+        for batch in batches:
+            rows = batch.column("h")
+            minima = [((a * rows[i].values.to_numpy() + b) % _PRIME).min(axis=1) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(minima, pa.list_(pa.int64()))], names=["doc_id", "signature"])
+
+    return hashed.mapInArrow(least, "doc_id long, signature array<bigint>")
 
 
 @query(f"with {_SIGNED} select doc_id, signature from signed")
@@ -355,7 +364,8 @@ where len(list_intersect(x.s, y.s)) >= 0.7 * (len(x.s) + len(y.s) - len(list_int
 def j14_minhash_bands(spark, d):
     """Each document against the first of each of its bands, verified; a band of k gives k pairs, so the first stands for its copies."""
     docs = table(spark, d, "documents")
-    bands = _signatures(docs).select("doc_id", F.posexplode(F.array(*(F.array_join(F.slice("signature", 3 * b + 1, 3), ",") for b in range(_BANDS)))).alias("band", "key"))
+    bands = Q.stored(_signatures(docs)).select("doc_id", "signature", F.explode(F.sequence(F.lit(0), F.lit(_BANDS - 1))).alias("band"))
+    bands = bands.select("doc_id", "band", F.array_join(F.expr(f"slice(signature, {_ROWS} * band + 1, {_ROWS})"), ",").alias("key"))
     lead = bands.groupBy("band", "key").agg(F.min("doc_id").alias("a"))
     pairs = bands.join(lead, ["band", "key"]).where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
     sets = docs.select("doc_id", F.array_distinct(T.gram_hashes(T.words(T.simple_norm(F.col("text"))), 5)).alias("s"))
