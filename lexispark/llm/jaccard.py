@@ -210,7 +210,7 @@ def sets(docs: DataFrame, key: str, text: str, base: DataFrame, held: DataFrame)
     """(cls, n, light) of the classes of ``held``: their sizes and whole sets, from one document of each."""
     one = base.where("id is not null").groupBy("id").agg(F.min("key").alias("k")).join(held.select(F.col("cls").alias("id")), "id", "left_semi").select("k")
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    texts = texts.join(one, F.col("key").eqNullSafe(F.col("k")), "left_semi")
+    texts = texts.join(one.hint("merge"), F.col("key").eqNullSafe(F.col("k")), "left_semi")  # alike at any size
 
     def run(batches):
         for _, group in common.rows(batches):
