@@ -43,6 +43,15 @@ def contained(training: DataFrame, held: DataFrame, rec: str, utt: str, n: int =
     return matched.join(need, utt).where(F.col("matched") >= F.ceil(F.col("n_grams") * share)).select(rec, utt, "matched", "n_grams")
 
 
+def sentences_held(made: DataFrame, corpus: DataFrame, key: str, rec: str, n: int = GRAM, share: float = SHARE) -> DataFrame:
+    """(key, n_grams, found, contained): every sentence, and whether ``share`` of its grams occur anywhere in the corpus."""
+    wanted, found = probe(corpus, made, rec, key, n)
+    seen = found.select("gram").distinct().withColumn("__seen", F.lit(1))
+    told = wanted.join(seen, "gram", "left").groupBy(key).agg(F.count("*").alias("n_grams"), F.count("__seen").alias("found"))
+    out = made.select(key).join(told, key, "left").select(key, *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_grams", "found")))
+    return out.withColumn("contained", (F.col("n_grams") > 0) & (F.col("found") >= F.col("n_grams") * share))
+
+
 def report(training: DataFrame, held: DataFrame, rec: str, utt: str, n: int = GRAM, most_df: int = BOILERPLATE, share: float = SHARE) -> DataFrame:
     """One row: utterances checked, too short for a gram, of boilerplate only, contained; and recordings denied."""
     wanted, found = probed = probe(training, held, rec, utt, n)

@@ -15,6 +15,14 @@ def duration_drop_reason(d: Column, lo: float = 1.0, hi: float = 30.0) -> Column
     return F.when(bad, "empty_audio").when(d < lo, "too_short").when(d > hi, "too_long")
 
 
+def teacher_drop_reason(seconds: Column, said: Column, human: Column, rate: Column, infinite: Column, lo: float = 1.0, hi: float = 30.0, most: float = 0.5) -> Column:
+    """Duration out of bounds, then nothing said, then too far from a human text, where there is one; null keeps."""
+    far = (F.length(F.trim(human)) > 0) & (infinite | (rate > most))
+    empty = F.length(F.trim(F.coalesce(said, F.lit("")))) == 0
+    outside = seconds.isNull() | ~seconds.between(lo, hi)
+    return F.when(outside, "duration_out_of_range").when(empty, "empty_teacher_text").when(far, "teacher_human_wer_gt_0.5")
+
+
 def first_reason(reasons: dict[str, Column]) -> Column:
     """The name of the first condition that holds, or null."""
     return F.coalesce(*(F.when(c, F.lit(name)) for name, c in reasons.items()))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -31,3 +31,38 @@ def run_once(stream: DataFrame, batch: Callable[[DataFrame], DataFrame], path: s
         batch(df).withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class ExcessiveRejection(RuntimeError):
+    """More rows of a stream are rejected than its limit allows."""
+
+
+def counters(spark, path: str) -> DataFrame:
+    """(reason, n) of everything that was consumed: each epoch's counts are a partition, written after its rows."""
+    return spark.read.parquet(f"{path}/counters").groupBy("reason").agg(F.sum("n").alias("n"))
+
+
+def guarded(stream: DataFrame, reason: str, path: str, checkpoint: str, most: float = 0.5, least: int = 1000):
+    """Writes the rows without a ``reason`` to ``path``/rows and counts by reason to ``path``/counters, epoch by epoch.
+
+    Stops with ExcessiveRejection once at least ``least`` rows were read and more than the share ``most`` of them were
+    rejected. The totals are read from the counters, so that a restart goes on from the last epoch consumed; an epoch
+    that is run again replaces its own partitions.
+    """
+
+    def put(df: DataFrame, epoch: int, name: str) -> None:
+        out = df.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        out.partitionBy("epoch").parquet(f"{path}/{name}")
+
+    def write(df: DataFrame, epoch: int) -> None:
+        put(df.where(F.col(reason).isNull()).drop(reason), epoch, "rows")
+        seen = Observation(f"epoch {epoch}")
+        told = df.groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+        put(told.observe(seen, F.sum("n").alias("n")), epoch, "counters")
+        if not seen.get["n"]:
+            return
+        total = counters(df.sparkSession, path).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("reason") != "kept", F.col("n")).otherwise(0)).alias("bad")).first()
+        if total["n"] >= least and total["bad"] > most * total["n"]:
+            raise ExcessiveRejection(f"{total['bad']} of {total['n']} rows rejected")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
