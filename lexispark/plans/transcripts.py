@@ -92,3 +92,10 @@ def d5_generated_sentences(spark, d):
     made = table(spark, d, "benchmark").select("item_id", T.simple_norm(F.col("text")).alias("norm"))
     corpus = table(spark, d, "documents").select("doc_id", T.simple_norm(F.col("text")).alias("norm"))
     return D.sentences_held(made, corpus, "item_id", "doc_id")
+
+
+@query(f"select doc_id, count(gram) as n_grams from documents left join {_grams_sql('documents', 'doc_id')} using (doc_id) group by 1")
+def x4_gram_hashes(spark, d):
+    """Distinct hashes of 8 words in order: as many as there are distinct grams."""
+    hashes = F.array_distinct(T.gram_hashes(T.words(T.simple_norm(F.col("text")))))
+    return table(spark, d, "documents").select("doc_id", F.size(hashes).cast("long").alias("n_grams"))
