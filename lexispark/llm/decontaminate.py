@@ -145,16 +145,16 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     return texts.select("row", "key").join(merged, "row").drop("row").withColumnRenamed("key", key)
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", one_in: int = 20, text: str = "text", width: int = WIDTH) -> DataFrame:
+def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", one_in: int = 20, text: str = "text", width: int = WIDTH, most_chars: int = MOST_CHARS) -> DataFrame:
     """``docs`` without contamination, other columns unchanged.
 
     ``documents`` drops a row of whose words at least one in ``one_in`` is hit; ``spans`` keeps every row and cuts the
-    hit words out of its text.
+    hit words out of its text. A benchmark beyond ``most_chars`` is scanned in blocks, as by ``find``, with the same rows.
     """
     if mode not in ("documents", "spans"):
         raise ValueError(mode)
-    if (benchmark.agg(F.sum(F.length("text"))).first()[0] or 0) > MOST_CHARS:
-        raise ValueError("remove() takes a benchmark within the broadcast bound; use find() and join beyond it")
+    if (benchmark.agg(F.sum(F.length("text"))).first()[0] or 0) > most_chars:
+        return _remove_in_blocks(docs, benchmark, mode, one_in, text, width, most_chars)
     items = [tuple(r) for r in benchmark.select("item_id", "text").collect()]
     shared = docs.sparkSession.sparkContext.broadcast(items)
     at = docs.columns.index(text)
@@ -179,6 +179,30 @@ def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", one_i
     return docs.mapInArrow(run, docs.schema)
 
 
+def _remove_in_blocks(docs: DataFrame, benchmark: DataFrame, mode: str, one_in: int, text: str, width: int, most_chars: int) -> DataFrame:
+    """``remove`` by ``find``'s hits, joined back on a row number that is stored with the rows."""
+    numbered = common.materialize(docs.select(F.monotonically_increasing_id().alias("__row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc")))
+    texts = numbered.select("__row", F.col(f"__doc.`{text}`").alias("text"))
+    found = find(texts, benchmark, key="__row", width=width, most_chars=most_chars)
+    n_hit = F.expr("aggregate(hits, 0L, (acc, x) -> x - acc)")  # runs in order: the alternating sum is their length
+    if mode == "documents":
+        bad = found.select("__row", "n_words", n_hit.alias("n")).where((F.col("n") > 0) & (one_in * F.col("n") >= F.col("n_words")))
+        return numbered.join(bad.select("__row"), "__row", "left_anti").select("__doc.*")
+
+    def run(batches):
+        for batch in batches:
+            new = []
+            for t, hits, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                marked = np.zeros(n, bool)
+                for a, b in zip(hits[::2], hits[1::2], strict=True):
+                    marked[a:b] = True
+                new.append(cut(t, marked) if hits else t)
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()), batch.column(3)], names=["__text", "__doc"])
+
+    joined = numbered.join(found, "__row").select(F.col(f"__doc.`{text}`").alias("__text"), "hits", "n_words", "__doc")
+    return joined.mapInArrow(run, f"__text string, __doc {docs.schema.simpleString()}").select(*(F.col("__text").alias(c) if c == text else F.col(f"__doc.`{c}`").alias(c) for c in docs.columns))
+
+
 def cut(text: str, marked: np.ndarray) -> str:
     """The text without its marked words (what stands between two of them goes as well)."""
     data = text.encode()

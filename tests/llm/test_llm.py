@@ -182,6 +182,10 @@ def test_decontamination(spark):
     blocks = {r.doc_id: (r.n_words, list(r.hits), list(r["items"])) for r in decontaminate.find(table(spark, texts), bench, most_chars=40).collect()}
     assert blocks == got
     assert {r.doc_id for r in decontaminate.remove(table(spark, texts), bench).collect()} == {0, 1, 4}
+    for mode in ("documents", "spans"):  # a benchmark beyond the bound gives the same rows
+        docs = table(spark, [*texts, texts[2]])
+        whole, parts = (sorted(map(str, decontaminate.remove(docs, bench, mode, most_chars=n).collect())) for n in (1000, 40))
+        assert whole == parts
 
 
 def test_packing(spark):
