@@ -99,3 +99,24 @@ def collapse(tokens: Column, blank: str = "_") -> Column:
 def salted(salt: str, *cols: str) -> Column:
     """The hash by which salted ranks and sides are decided, as hex digits."""
     return F.sha2(F.concat_ws("|", F.lit(salt), *(F.col(c).cast("string") for c in cols)), 256)
+
+
+#: Signs of a label and what they become, in the mapping's first two versions and in its third.
+QUOTES_AND_DASHES = {"'": "‘’‚‛′", '"': "“”„‟″", "-": "‐‑‒–—―−"}
+DROPPED, BLANKED = '"*', "()[]{}_"
+SPOKEN_SIGNS = {";": ",", "&": " and ", "+": " plus ", "=": " equals ", "@": " at ", "°": " degrees ", "§": " section "}
+
+
+def label_text(nfkc: Column, version: int = 3) -> Column:
+    """The stored text of a label in Unicode's compatibility form: ASCII quotes and dashes; from version 3 on signs are said
+    or dropped, white space is single and none stands before a mark (but before a decimal's point it may)."""
+    if version not in (1, 2, 3):
+        raise ValueError(f"unknown version {version}")
+    curly = "".join(QUOTES_AND_DASHES.values())
+    text = F.translate(nfkc, curly, "".join(k * len(v) for k, v in QUOTES_AND_DASHES.items()))
+    if version == 3:
+        text = F.translate(text, BLANKED + DROPPED, " " * len(BLANKED))
+        for sign, said in SPOKEN_SIGNS.items():
+            text = F.replace(text, F.lit(sign), F.lit(said))
+        text = F.regexp_replace(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), r" ([,?!:]|\.(?!\d))", "$1")
+    return F.trim(text)

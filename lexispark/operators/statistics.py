@@ -127,3 +127,31 @@ def poisson_sql(unit: str, rep: str, engine: str = "spark") -> str:
     if engine == "duck":
         return f"[{cases} for x in [('0x' || substr(md5({unit} || ':' || {rep}), 1, 7))::bigint / 268435456.0]][1]"
     return f"transform(array(cast(conv(substr(md5(concat({unit}, ':', {rep})), 1, 7), 16, 10) as bigint) / 268435456.0D), x -> {cases})[0]"
+
+
+def variance_components(df: DataFrame, row: str, column: str, value: str, floor: float = 0.0) -> DataFrame:
+    """(sigma_row, sigma_column, sigma_noise) of a complete two-way table, by moments; what isn't above ``floor`` is 0.
+
+    Means are sums by key and the residuals come from one join each, so the table's cells stay spread.
+    """
+    r = df.groupBy(row).agg(F.avg(value).alias("__r"))
+    c = df.groupBy(column).agg(F.avg(value).alias("__c"))
+    whole = df.agg(F.avg(value).alias("__m"), F.count_distinct(row).alias("__nr"), F.count_distinct(column).alias("__nc"))
+    cells = df.join(r, row).join(c, column).join(F.broadcast(whole))
+    n_r, n_c = F.max("__nr"), F.max("__nc")
+    # each row's mean occurs once for each column, so sums over cells hold the factor already
+    ms_r = F.sum(F.pow(F.col("__r") - F.col("__m"), 2)) / (n_r - 1)
+    ms_c = F.sum(F.pow(F.col("__c") - F.col("__m"), 2)) / (n_c - 1)
+    ms_e = F.sum(F.pow(F.col(value) - F.col("__r") - F.col("__c") + F.col("__m"), 2)) / ((n_r - 1) * (n_c - 1))
+    above = lambda x: F.when(x > floor, x).otherwise(F.lit(0.0))
+    return cells.agg(above(F.sqrt(ms_r / n_c)).alias("sigma_row"), above(F.sqrt(ms_c / n_r)).alias("sigma_column"), above(F.sqrt(ms_e)).alias("sigma_noise"))
+
+
+def power_law(points: DataFrame, x: str, y: str) -> DataFrame:
+    """(n, exponent, factor, withheld, predicted, off): y = factor * x ** exponent by least squares of the logarithms of all
+    points but the one of the greatest x, and how far the fit is off there."""
+    last = points.agg(F.max(F.struct(x, y)).alias("l")).select(F.col(f"l.{x}").alias("lx"), F.col(f"l.{y}").alias("ly"))
+    logs = points.join(F.broadcast(last)).where(F.col(x) < F.col("lx")).select("lx", "ly", F.ln(x).alias("a"), F.ln(y).alias("b"))
+    fit = logs.groupBy("lx", "ly").agg(F.count("*").alias("n"), F.regr_slope("b", "a").alias("exponent"), F.exp(F.regr_intercept("b", "a")).alias("factor"))
+    predicted = F.col("factor") * F.pow("lx", "exponent")
+    return fit.select("n", "exponent", "factor", F.col("ly").alias("withheld"), predicted.alias("predicted"), (predicted / F.col("ly") - 1).alias("off"))

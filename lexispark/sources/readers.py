@@ -47,3 +47,25 @@ def transcripts(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\r?\n").alias("l"))
     spoken = F.filter("l", lambda x: ~x.rlike(r"^\s*\d*\s*$") & ~x.contains("-->"))
     return lines.select("file", F.trim(F.regexp_replace(F.array_join(spoken, " "), "<[^>]*>", "")).alias("text"))
+
+
+def nested(spark: SparkSession, path: str, *fields: str) -> DataFrame:
+    """Only these nested fields of a Parquet table (``a.b`` as ``a_b``): the scan reads no other leaf."""
+    return spark.read.parquet(path).select(*(F.col(f).alias(f.replace(".", "_")) for f in fields))
+
+
+def utterance_lists(spark: SparkSession, root: str) -> DataFrame:
+    """(id, text, file) of all ``*.trans.txt`` below a folder: lines of an id, a space and a text; a line without text is an error."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.trans.txt").text(root)
+    parts = F.split(F.trim("value"), " ", 2)
+    text = F.when(F.size(parts) == 2, parts[1]).otherwise(F.raise_error(F.concat(F.lit("no text: "), "value")))
+    return lines.where(F.trim("value") != "").select(parts[0].alias("id"), text.alias("text"), F.col("_metadata.file_path").alias("file"))
+
+
+def interval_tiers(spark: SparkSession, path: str) -> DataFrame:
+    """(file, tier, start, end, text) of the intervals of long-form TextGrid files; doubled quotes stand for one."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", r"item \[\d+\]:").alias("tiers"))
+    tiers = whole.select("file", F.explode(F.expr("slice(tiers, 2, size(tiers))")).alias("t")).select("file", F.regexp_extract("t", r'name = "([^"]*)"', 1).alias("tier"), "t")
+    found = tiers.select("file", "tier", F.explode(F.expr(r"""regexp_extract_all(t, 'intervals \\[\\d+\\]:\\s+xmin = [0-9.]+\\s+xmax = [0-9.]+\\s+text = "(?:[^"]|"")*"', 0)""")).alias("x"))
+    number = lambda name: F.regexp_extract("x", rf"{name} = ([0-9.]+)", 1).cast("double")
+    return found.select("file", "tier", number("xmin").alias("start"), number("xmax").alias("end"), F.replace(F.regexp_extract("x", '(?s)text = "(.*)"', 1), F.lit('""'), F.lit('"')).alias("text"))

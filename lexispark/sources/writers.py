@@ -36,3 +36,14 @@ def refilter(df: DataFrame, path: str, **columns: Column) -> None:
 def content_hash(df: DataFrame, *columns: str) -> DataFrame:
     """(n, content): the same for the same rows in any order."""
     return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64(*columns).cast("decimal(38,0)")), F.lit(0)).alias("content"))
+
+
+def report(df: DataFrame, path: str, title: str, most: int = 10_000) -> str:
+    """A Markdown table of an aggregate's rows, written as one text file; a table of more than ``most`` rows is refused."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows")
+    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    lines = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "| " + " | ".join("---" for _ in df.columns) + " |", *("| " + " | ".join(map(cell, r)) + " |" for r in rows)]
+    df.sparkSession.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(path)
+    return "\n".join(lines)
