@@ -47,13 +47,22 @@ def hash_side(share: float, salt: str, key: str) -> Column:
     return F.substring(salted(salt, key), 1, 16) < limit
 
 
-def until_target(df: DataFrame, target: int, size: str, *order) -> DataFrame:
-    """Rows in order until their sizes reach the target, the one that crosses it included.
+def running(df: DataFrame, value: str, name: str, *order) -> DataFrame:
+    """``df`` with ``name``: the sum of a number over all rows before one in a total order.
 
-    For a table of groups (small by its nature): the running sum is one ordered window.
+    Sums run within range parts of the order, which are stored once, and start from the sums of the parts before.
     """
-    before = F.coalesce(F.sum(size).over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn("__before", before).where(F.col("__before") < target).drop("__before")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = stored(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    upto = lambda w: F.coalesce(F.sum(value).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = cut.groupBy("__part").agg(F.sum(value).alias(value)).select("__part", upto(W.orderBy("__part")).alias("__before"))  # a row for each part
+    inner = cut.withColumn(name, upto(W.partitionBy("__part").orderBy(*order)))
+    return inner.join(F.broadcast(before), "__part").withColumn(name, F.col(name) + F.col("__before")).drop("__part", "__before")
+
+
+def until_target(df: DataFrame, target: int, size: str, *order) -> DataFrame:
+    """Rows in order until their sizes reach the target, the one that crosses it included."""
+    return running(df, size, "__sum", *order).where(F.col("__sum") < target).drop("__sum")
 
 
 def every_kth(df: DataFrame, n: int, *order: str) -> DataFrame:
@@ -119,12 +128,19 @@ def diffused_draw(clips: DataFrame, real: DataFrame, share: float, size: str, or
     A clip is taken while got + d / 2 <= target; what is over or short is carried to the next pool. As the carry only
     moves the target to the running sum of targets, a clip's pool follows from running sums of both sides.
     """
-    w = W.orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    at = clips.select(order, size, (F.coalesce(F.sum(size).over(w), F.lit(0)) + F.col(size) / 2).alias("v"), F.lit(None).alias("pool"))
-    pools = real.select(F.lit(None).alias(order), F.lit(None).alias(size), F.sum(F.col("real") * share).over(W.orderBy("pool")).alias("v"), "pool")
-    after = W.orderBy("v", F.col(order).isNull()).rowsBetween(W.currentRow, W.unboundedFollowing)
-    dealt = at.unionByName(pools).withColumn("pool", F.first("pool", ignorenulls=True).over(after))
-    return dealt.where(F.col(order).isNotNull() & F.col("pool").isNotNull()).select("pool", order, size)
+    at = running(clips.select(order, size), size, "v", order).select(order, size, (F.col("v") + F.col(size) / 2).alias("v"), F.lit(None).alias("pool"))
+    goals = running(real.select("pool", (F.col("real") * share).alias("goal")), "goal", "v", "pool")
+    pools = goals.select(F.lit(None).alias(order), F.lit(None).alias(size), (F.col("v") + F.col("goal")).alias("v"), "pool")
+    # a clip's pool is the first whose running target isn't less: the next one in its range part, or in the parts after
+    both = at.unionByName(pools).withColumn("last", F.col(order).isNull().cast("int"))
+    parts = int(clips.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = stored(both.repartitionByRange(parts, "v", "last").withColumn("__part", F.spark_partition_id()))
+    firsts = cut.where("last = 1").groupBy("__part").agg(F.min_by("pool", "v").alias("__first"))
+    each = cut.select("__part").distinct().join(firsts, "__part", "left")
+    after = each.select("__part", F.first("__first", ignorenulls=True).over(W.orderBy("__part").rowsBetween(1, W.unboundedFollowing)).alias("__after"))  # a row for each part
+    inside = F.first("pool", ignorenulls=True).over(W.partitionBy("__part").orderBy("v", "last").rowsBetween(W.currentRow, W.unboundedFollowing))
+    dealt = cut.withColumn("__inside", inside).where("last = 0").join(F.broadcast(after), "__part")
+    return dealt.select(F.coalesce("__inside", "__after").alias("pool"), order, size).where("pool is not null")
 
 
 def capped(df: DataFrame, caps: dict[str, int], *order: str, group: str | None = None) -> DataFrame:

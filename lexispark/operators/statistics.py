@@ -155,3 +155,56 @@ def power_law(points: DataFrame, x: str, y: str) -> DataFrame:
     fit = logs.groupBy("lx", "ly").agg(F.count("*").alias("n"), F.regr_slope("b", "a").alias("exponent"), F.exp(F.regr_intercept("b", "a")).alias("factor"))
     predicted = F.col("factor") * F.pow("lx", "exponent")
     return fit.select("n", "exponent", "factor", F.col("ly").alias("withheld"), predicted.alias("predicted"), (predicted / F.col("ly") - 1).alias("off"))
+
+
+def pareto(df: DataFrame, key: str, *dims: str) -> DataFrame:
+    """Keys of the rows that no other row matches in every dimension and exceeds in one.
+
+    Each task first leaves out what its own rows dominate, so only the fronts of tasks are compared with each other; a row
+    with a null is left out.
+    """
+
+    def front(batches):
+        held = None
+        for pdf in batches:
+            pdf = pdf.dropna(subset=list(dims))
+            held = pdf if held is None else pd.concat([held, pdf])
+            x = held[list(dims)].to_numpy(float)
+            order, kept = np.lexsort(x.T)[::-1], np.zeros((0, len(dims)))  # what dominates a row comes before it
+            stays = []
+            for i in order:
+                if not ((kept >= x[i]).all(axis=1) & (kept > x[i]).any(axis=1)).any():
+                    stays.append(i)
+                    kept = np.vstack([kept, x[i]])
+            held = held.iloc[stays]
+        if held is not None:
+            yield held
+
+    p = df.select(key, *dims).mapInPandas(front, df.select(key, *dims).schema)
+    no_less = " and ".join(f"q.`{c}` >= p.`{c}`" for c in dims)
+    more = " or ".join(f"q.`{c}` > p.`{c}`" for c in dims)
+    return p.alias("p").join(p.alias("q"), F.expr(f"{no_less} and ({more})"), "left_anti").select(key)
+
+
+def set_identity(df: DataFrame, by: str, key: str) -> DataFrame:
+    """(by, identity): SHA-256 of each group's sorted keys, a line each. Keys stream through the hash, none is held."""
+    import hashlib
+
+    def digest(batches):
+        now, state = None, None
+        for pdf in batches:
+            out = []
+            for group, part in pdf.groupby(by, sort=False, dropna=False):
+                body = "\n".join(part[key].astype(str))
+                if state is not None and group == now:
+                    state.update(("\n" + body).encode())
+                else:
+                    if state is not None:
+                        out.append((now, state.hexdigest()))
+                    now, state = group, hashlib.sha256(body.encode())
+            yield pd.DataFrame(out, columns=[by, "identity"])
+        if state is not None:
+            yield pd.DataFrame([(now, state.hexdigest())], columns=[by, "identity"])
+
+    rows = df.select(by, key).where(F.col(by).isNotNull() & F.col(key).isNotNull()).repartition(F.col(by)).sortWithinPartitions(by, key)
+    return rows.mapInPandas(digest, f"`{by}` {df.schema[by].dataType.simpleString()}, identity string")

@@ -598,13 +598,12 @@ def a32_trapezoid(spark, d):
 select k from p where not exists (select 1 from p q where q.a >= p.a and q.b >= p.b and q.c >= p.c and (q.a > p.a or q.b > p.b or q.c > p.c))""")
 def a33_pareto(spark, d):
     p = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.count("*").alias("a"), F.sum("l_quantity").alias("b"), F.max("l_tax").alias("c"))
-    return p.alias("p").join(p.alias("q"), F.expr("q.a >= p.a and q.b >= p.b and q.c >= p.c and (q.a > p.a or q.b > p.b or q.c > p.c)"), "left_anti").select("k")
+    return S.pareto(p, "k", "a", "b", "c")
 
 
 @query("select source, sha256(string_agg(cast(doc_id as varchar), chr(10) order by doc_id)) as identity from documents group by source")
 def a34_set_identity(spark, d):
-    ids = F.transform(F.array_sort(F.collect_list("doc_id")), lambda i: i.cast("string"))
-    return table(spark, d, "documents").groupBy("source").agg(F.sha2(F.array_join(ids, "\n"), 256).alias("identity"))
+    return S.set_identity(table(spark, d, "documents"), "source", "doc_id")
 
 
 @query("select count(distinct text) as contents, (select cast(sum(n) as bigint) from (select max(n_chars) as n from documents group by text)) as size from documents")

@@ -167,8 +167,9 @@ def w26_plan_prefix(spark, d):
 @query("""select source, case when r <= 0.7 * n then 'train' when r <= 0.85 * n then 'dev' else 'test' end as part from (select source, row_number() over (order by sha256('p|' || source), source) as r, count(*) over () as n from (select distinct source from documents))""")
 def w27_three_way_split(spark, d):
     groups = table(spark, d, "documents").select("source").distinct()
-    r, n = F.row_number().over(W.orderBy(T.salted("p", "source"), "source")), F.count("*").over(W.partitionBy())
-    return groups.select("source", F.when(r <= 0.7 * n, "train").when(r <= 0.85 * n, "dev").otherwise("test").alias("part"))
+    ranks = Q.ranked(groups.withColumn("h", T.salted("p", "source")), "h", "source").select("source", (F.col("rank") + 1).alias("r"))
+    parts = ranks.join(F.broadcast(groups.agg(F.count("*").alias("n"))))  # one row
+    return parts.select("source", F.expr("case when r <= 0.7 * n then 'train' when r <= 0.85 * n then 'dev' else 'test' end").alias("part"))
 
 
 @query("""select doc_id, (i - 1) % 3 as engine, (row_number() over (partition by (i - 1) % 3 order by lang, i) - 1) % 5 as voice from (select doc_id, lang, row_number() over (partition by lang order by sha256('e|' || lang || '|' || doc_id), doc_id) as i from documents)""")

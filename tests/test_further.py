@@ -190,3 +190,21 @@ def test_readers_and_report(spark, tmp_path):
     assert text.splitlines()[-1] == "| a\\|b | 1 |" and "\n".join(r[0] for r in spark.read.text(f"{tmp_path}/report").collect()) == text
     with pytest.raises(ValueError):
         writers.report(spark.range(3), f"{tmp_path}/more", "More", most=2)
+
+
+def test_sums_and_fronts_over_parts(spark):
+    import hashlib
+
+    from lexispark.operators import sequences
+
+    rnd = np.random.default_rng(3)
+    df = spark.range(20_000, numPartitions=7).select("id", (F.xxhash64("id") % 1000 + 1000).alias("s"), F.concat(F.lit("x"), "id").alias("payload"))
+    rows = sorted((r.id, r.s) for r in df.collect())
+    before = dict(zip((i for i, _ in rows), np.cumsum([0, *(s for _, s in rows)])[:-1].tolist(), strict=True))
+    assert {r.id: r.v for r in sequences.running(df, "s", "v", "id").collect()} == before
+    x = rnd.integers(0, 30, (500, 3))
+    points = spark.createDataFrame([(i, *map(int, p)) for i, p in enumerate(x)], "k int, a int, b int, c int").repartition(5)
+    front = {i for i, p in enumerate(x) if not any((q >= p).all() and (q > p).any() for q in x)}
+    assert {r.k for r in statistics.pareto(points, "k", "a", "b", "c").collect()} == front
+    got = {r.g: r.identity for r in statistics.set_identity(df.withColumn("g", F.col("id") % 3), "g", "id").collect()}
+    assert got == {g: hashlib.sha256("\n".join(str(i) for i in range(g, 20_000, 3)).encode()).hexdigest() for g in range(3)}
