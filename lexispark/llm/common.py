@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,3 +141,49 @@ def _shingles(texts: list[str], n: int) -> list[np.ndarray]:
                 one = one * np.uint64(_P) + w[j]
             out.append(mix(one))
     return out
+
+
+def slices(batch: pa.RecordBatch, size: int, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch in which ``column`` (string or binary) holds about ``size`` bytes, a longer value alone."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, "right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
+def integer_vectors(df: DataFrame, key: str, vector: str, scale: int, keep: list[str] | None = None) -> DataFrame:
+    """(key, x, *keep): x holds floor(scale * component) of each vector of finite components, as longs.
+
+    Null vectors and those with a null, NaN or infinite component go. A product beyond a long becomes the nearest long.
+    Only vectors of the most frequent length stay (of lengths equally frequent, the greater), as no other fits them; an
+    empty vector never stays.
+    """
+    if len({key, vector, *(keep or [])}) < 2 + len(keep or []):
+        raise ValueError("key, vector and kept columns must differ")
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+    x = F.transform(vector, lambda x: F.floor(x.cast("double") * scale))
+    good = df.where(F.col(vector).isNotNull() & finite & (F.size(vector) > 0)).select(F.col(key).alias("key"), x.alias("x"), *[F.col(c).alias(f"keep{n}") for n, c in enumerate(keep or [])])
+    usual = good.groupBy(F.size("x").alias("width")).count().orderBy(F.desc("count"), F.desc("width")).first()
+    return good.where(F.size("x") == (usual["width"] if usual else 0))
+
+
+def reach(x: np.ndarray) -> int:
+    """Greatest absolute value, 0 for none; numpy's own would overflow for the least long."""
+    return max(int(x.max()), -int(x.min())) if x.size else 0
+
+
+def matrices(batches: Iterator[pa.RecordBatch], column: int, values: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """(rows, their equally long lists of longs as a matrix) in parts of about ``values`` numbers."""
+    for batch in batches:
+        if batch.num_rows:
+            step = max(1, values // len(batch.column(column)[0]))
+            for a in range(0, batch.num_rows, step):
+                part = batch.slice(a, step)
+                yield part, part.column(column).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+
+
+def summed(partial: DataFrame, keys: list[str], values: str, width: int) -> list:
+    """Rows of ``keys`` and the sums of the places of the array ``values``: partial sums of tasks, added up by Spark."""
+    return partial.groupBy(*keys).agg(*[F.sum(F.get(values, F.lit(j))).alias(f"s{j}") for j in range(width)]).collect()

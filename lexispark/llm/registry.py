@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, ctw, decontaminate, jaccard, media, packing, passages, secrets, toxicity, wordpiece
+from . import bpe, chat, ctw, decontaminate, jaccard, media, packing, passages, secrets, toxicity, vectorcodes, whitening, wordpiece
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,9 @@ QUERIES = {
         media.op8_media_columns,
         packing.op9_best_fit_packing,
         ctw.op10_lm_scoring,
+        vectorcodes.op11_vector_codes,
+        bpe.op12_byte_bpe,
+        whitening.op13_embedding_whitening,
     )
 }
-ORACLE: dict[str, str] = {"op2_secret_scans": secrets.ORACLE, "op7_chat_formatting": chat.ORACLE}
+ORACLE: dict[str, str] = {"op2_secret_scans": secrets.ORACLE, "op7_chat_formatting": chat.ORACLE, "op11_vector_codes": vectorcodes.ORACLE}
