@@ -184,8 +184,8 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     """The same by brute force over all entries: distances from inner products, exact in doubles at this scale."""
     steps = [
-        "kept as materialized (select vec_id, label, list_transform(embedding, v -> cast(floor(1024 * cast(v as double)) as bigint)) as x, row_number() over () as r from embeddings"
-        " where embedding is not null and len(list_filter(embedding, v -> v is null or not isfinite(v))) = 0)",
+        "kept as materialized (select vec_id, label, list_transform(embedding, lambda v: cast(floor(1024 * cast(v as double)) as bigint)) as x, row_number() over () as r from embeddings"
+        " where embedding is not null and len(list_filter(embedding, lambda v: v is null or not isfinite(v))) = 0)",
         "part as materialized (select r, p, x[p * (len(x) // 4) + 1 : (p + 1) * (len(x) // 4)] as x from kept, range(4) as t(p))",
         "first as (select r, row_number() over (order by vec_id) - 1 as e from kept qualify e < 256)",
         "book0 as materialized (select p, e, x as c from part join first using (r))",
