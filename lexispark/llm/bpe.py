@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-from array import array
 from bisect import bisect_right
 from collections.abc import Iterable
 
@@ -38,13 +37,22 @@ PAIRS = 1_000_000
 _loaded: dict = {}
 
 
+def _places(made: np.ndarray) -> dict[int, list[int]]:
+    """Places by the rank at them, in order; -1 stands for none."""
+    at = np.argsort(made, kind="stable")
+    at = at[np.searchsorted(made[at], 0) :]
+    ranks, heads = np.unique(made[at], return_index=True)
+    return {r: p.tolist() for r, p in zip(ranks.tolist(), np.split(at, heads[1:]), strict=True)} if len(at) else {}
+
+
 class Merges:
     """A vocabulary of byte strings with ranks, and the pairs of tokens that make a token."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.strings = {r: s for s, r in ranks.items()}
-        self.single = [ranks[bytes([b])] for b in range(256)]
+        self.single = np.array([ranks[bytes([b])] for b in range(256)])
+        self.bytes_make = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)])
         self.pairs: dict[tuple[int, int], int] = {}
 
     def makes(self, left: int, right: int) -> int:
@@ -58,7 +66,7 @@ class Merges:
 
     def alone(self, word: bytes) -> list[int]:
         """Ids of one match, the leftmost pair of the lowest rank merged first."""
-        ids = [self.single[b] for b in word]
+        ids = self.single[list(word)].tolist()
         while len(ids) > 1:
             made = [self.makes(a, b) for a, b in zip(ids, ids[1:], strict=False)]
             rank = min((r for r in made if r >= 0), default=-1)
@@ -70,40 +78,48 @@ class Merges:
 
     def replay(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each match (none of them empty)."""
-        line = b"".join(words)
-        starts = np.cumsum([0, *map(len, words)]).tolist()
-        token = array("i", map(self.single.__getitem__, line))
-        after, before = array("i", range(1, len(line) + 1)), array("i", range(-1, len(line) - 1))
-        for a in starts[:-1]:
-            before[a] = -1
-        for a in starts[1:]:
-            after[a - 1] = -1
-        makes = self.makes
-        index: dict[int, list[int]] = {}
-        for at, to in enumerate(after):
-            if to >= 0 and (rank := makes(token[at], token[to])) >= 0:
-                index.setdefault(rank, []).append(at)
-        queue, odd = sorted(index), set()
+        line = np.frombuffer(b"".join(words), np.uint8)
+        starts = np.cumsum([0, *map(len, words)])
+        first = self.bytes_make[line[:-1], line[1:]]
+        first[starts[1:-1] - 1] = -1
+        after, before = np.arange(1, len(line) + 1), np.arange(-1, len(line) - 1)
+        before[starts[:-1]], after[starts[1:] - 1] = -1, -1
+        token, after, before, starts = self.single[line].tolist(), after.tolist(), before.tolist(), starts.tolist()
+        index = _places(first)
+        queue, odd, pairs, makes = sorted(index), set(), self.pairs, self.makes
         while queue:
             rank = heapq.heappop(queue)
             for at in sorted(index.pop(rank)):
                 to = after[at]
-                if token[at] < 0 or to < 0 or makes(token[at], token[to]) != rank:
+                if to < 0 or (pairs.get((token[at], token[to])) or makes(token[at], token[to])) != rank:
                     continue
-                token[at], token[to] = rank, -1
-                after[at] = then = after[to]
+                then, prior = after[to], before[at]
+                token[at], token[to], after[at], after[to] = rank, -1, then, -1
                 if then >= 0:
                     before[then] = at
-                for left, right in ((before[at], at), (at, then)):
-                    if left < 0 or right < 0 or (new := makes(token[left], token[right])) < 0:
-                        continue
-                    if new < rank:
+                    new = pairs.get((rank, token[then]))
+                    if new is None:
+                        new = makes(rank, token[then])
+                    if new > rank:
+                        if new in index:
+                            index[new].append(at)
+                        else:
+                            index[new] = [at]
+                            heapq.heappush(queue, new)
+                    elif new >= 0:
+                        odd.add(bisect_right(starts, at) - 1)
+                if prior >= 0:
+                    new = pairs.get((token[prior], rank))
+                    if new is None:
+                        new = makes(token[prior], rank)
+                    if new > rank:
+                        if new in index:
+                            index[new].append(prior)
+                        else:
+                            index[new] = [prior]
+                            heapq.heappush(queue, new)
+                    elif new >= 0:
                         odd.add(bisect_right(starts, at) - 1)
-                    elif new in index:
-                        index[new].append(left)
-                    else:
-                        index[new] = [left]
-                        heapq.heappush(queue, new)
         out = [[t for t in token[a:b] if t >= 0] for a, b in zip(starts, starts[1:], strict=False)]
         for n in odd:
             out[n] = self.alone(words[n])
@@ -122,8 +138,8 @@ class Merges:
         for name in matches:
             word = name.encode()
             whole = self.ranks.get(word)
-            if whole is not None:
-                out[name] = whole.to_bytes(4, "little")
+            if whole is not None or not word:
+                out[name] = whole.to_bytes(4, "little") if word else b""
                 continue
             names.append(name)
             words.append(word)
@@ -163,13 +179,13 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks: str
         for batch in batches:
             for part in common.slices(batch, SLICE):
                 cut = [find(t or "") for t in part.column(1).to_pylist()]
-                distinct = set().union(*cut) - {""}
+                distinct = set().union(*cut)
                 fresh = distinct - known.keys()
                 if len(known) + len(fresh) > MATCHES or letters > LETTERS:
                     known, fresh, letters = {}, distinct, 0
                 letters += sum(map(len, fresh))
                 known |= vocabulary.encode(fresh)
-                ids = [b"".join([known[m] for m in c if m]) for c in cut]
+                ids = [b"".join(map(known.__getitem__, c)) for c in cut]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=["key", "n_tokens", "ids"])
 
     schema = f"key {docs.schema[key].dataType.simpleString()}, n_tokens long, ids binary"
@@ -185,7 +201,7 @@ def decode(encoded: DataFrame, ids: str = "ids", ranks: str | None = None, name:
         strings = merges(path).strings
         for batch in batches:
             for part in common.slices(batch, 4 * SLICE, at):
-                out = [None if v is None else b"".join([strings[i] for i in np.frombuffer(v, "<u4").tolist()]) for v in part.column(at).to_pylist()]
+                out = [None if v is None else b"".join(map(strings.__getitem__, np.frombuffer(v, "<u4").tolist())) for v in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*columns, name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*columns).schema) + f", `{name}` binary"
