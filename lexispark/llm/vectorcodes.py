@@ -14,7 +14,7 @@ Null vectors and those with a null or non-finite component are left out, as are
 (``common.integer_vectors``). With fewer vectors than entries the codebook has as many entries as there are vectors.
 Repeated rows count as often as they occur; rows of equal keys seed the codebook in order of their vectors and null keys
 come last. An empty table gives an empty result. A width that the parts don't divide gives the first parts one more.
-Components so large that sums of squares leave 64 bits are worked on as Python integers; an error beyond a long becomes
+Integers are worked on as doubles while those hold every sum exactly, and as Python integers beyond that; an error beyond a long becomes
 the greatest long, a label's sum beyond it null. Columns other than those named aren't read.
 """
 
@@ -33,7 +33,7 @@ from . import common
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 FEW, SALTS = 100_000, 64
 #: Rows whose distances to all entries are held at once.
-ROWS = 1024
+ROWS = 256
 _MOST = (1 << 63) - 1
 
 
@@ -44,34 +44,34 @@ def borders(width: int, parts: int) -> list[tuple[int, int]]:
 
 def nearest(x: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of and squared distance to the nearest entry of ``book`` for each row of ``x``, ties to the lower index."""
-    reach = common.reach(x) + common.reach(book)
-    if x.shape[1] == 0:
+    if x.size == 0:
         return np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
-    if reach * reach * x.shape[1] > _MOST:
-        x, book = x.astype(object), book.astype(object)
+    reach = common.reach(x) + common.reach(book)
+    kind = np.float64 if reach * reach * x.shape[1] < 1 << 53 else object
     order = np.argsort(-book.astype(float).var(axis=0), kind="stable")
-    x, book = np.ascontiguousarray(x[:, order]), np.ascontiguousarray(book[:, order])
-    index, distance = np.empty(len(x), np.int64), np.empty(len(x), x.dtype)
-    for a in range(0, len(x), ROWS):
-        index[a : a + ROWS], distance[a : a + ROWS] = _search(x[a : a + ROWS], book)
-    return index, distance
+    x, book = x[:, order].astype(kind), book[:, order].astype(kind)
+    found = [_search(x[a : a + ROWS], book) for a in range(0, len(x), ROWS)]
+    index, distance = np.concatenate([i for i, _ in found]), np.concatenate([d for _, d in found])
+    return index, distance if kind is object else distance.astype(np.int64)
 
 
 def _search(x: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    first = x[:, :1] - book[:, 0]
-    first *= first
+    """The first half of the dimensions in one product for all entries, then one at a time for those still alive."""
+    half = x.shape[1] // 2
+    a, b = x[:, :half], book[:, :half]
+    first = (a * a).sum(axis=1)[:, None] + ((b * b).sum(axis=1) - 2 * (a @ b.T))
     best = ((x - book[first.argmin(axis=1)]) ** 2).sum(axis=1)
     row, entry = np.nonzero(first <= best[:, None])
     sums = first[row, entry]
-    for d in range(1, x.shape[1]):
+    for d in range(half, x.shape[1]):
         step = x[row, d] - book[entry, d]
         sums = sums + step * step
-        if d & (d + 1) == 0:  # after 2, 4, 8, .. dimensions the closest so far is completed
-            heads, low = _lowest(row, sums)
+        if d == (half + x.shape[1]) // 2:  # the closest so far is completed
+            _, low = _lowest(row, sums)
             best = np.minimum(best, ((x - book[entry[low]]) ** 2).sum(axis=1))
         alive = sums <= best[row]
         row, entry, sums = row[alive], entry[alive], sums[alive]
-    heads, low = _lowest(row, sums)
+    _, low = _lowest(row, sums)
     return entry[low], sums[low]
 
 
