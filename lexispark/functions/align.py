@@ -126,7 +126,7 @@ def nfkc(text: pd.Series) -> pd.Series:
 
 #: English number words.
 _ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
-_TENS = "none ten twenty thirty forty fifty sixty seventy eighty ninety".split()
+_TENS = ["", "", *"twenty thirty forty fifty sixty seventy eighty ninety".split()]
 
 
 def cardinal(n: int) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import align
 from ..functions import cleaning as C
+from ..functions import respelling as Y
 from ..functions import text as T
 from ..operators import decontaminate as D
 from ..operators import duplicates as N
@@ -126,14 +127,14 @@ def f6_label_text(spark, d):
 def x19_table_replacement(spark, d):
     """British spellings and contractions replaced in whole turns."""
     rules = {"colour": "color", "per cent": "%", "gonna": "going to", "que la": "que la", "on the": "upon the", "the": "ye", "’tis": "it is", "'tis": "it is"}
-    return table(spark, d, "conversations").select("conv_id", "turn", C.table_replacer(rules)("text").alias("x")).select("conv_id", "turn", "x.*")
+    return table(spark, d, "conversations").select("conv_id", "turn", Y.table_replacer(rules)("text").alias("x")).select("conv_id", "turn", "x.*")
 
 
 @query()
 def x23_punctuation_transfer(spark, d):
     """Each text without its marks and capitals gets them back from itself: what the rule can restore."""
     bare = F.lower(F.regexp_replace("text", "[.,?!:;]", ""))
-    short = table(spark, d, "conversations").select("conv_id", "turn", C.punctuation_transfer(bare, F.col("text")).alias("x"))
+    short = table(spark, d, "conversations").select("conv_id", "turn", Y.punctuation_transfer(bare, F.col("text")).alias("x"))
     return short.select("conv_id", "turn", "x.*")
 
 

@@ -50,7 +50,16 @@ def x9_alignment_steps(spark, d):
     return _pairs(spark, d).select("conv_id", "turn", F.posexplode(align.alignment("ref", "hyp")).alias("step", "x")).select("conv_id", "turn", "step", "x.*")
 
 
-@query()
+#: Word edit distance: a row of the cost table for each word of the reference, the running minimum of each row by slices.
+RATE_SQL = f"""t as (select conv_id, turn, {split(norm('text'))} as w from conversations),
+p as materialized (select a.conv_id, a.turn, a.w as r, b.w as h from t a join t b on b.conv_id = a.conv_id and b.turn = a.turn + 1),
+f as (select conv_id, turn, 0 as i, range(len(h) + 1) as line from p
+union all select conv_id, turn, i + 1, list_transform(range(1, len(u) + 1), lambda k: list_min(u[1:k]) + k) from (select conv_id, turn, i,
+list_transform(range(1, len(h) + 2), lambda j: case when j = 1 then i + 1 else least(line[j] + 1, line[j - 1] + case when h[j - 1] = r[i + 1] then 0 else 1 end) end - j) as u from f join p using (conv_id, turn) where i < len(r))),
+e as (select conv_id, turn, line[len(line)] as errors, len(r) as words, len(h) as said from f join p using (conv_id, turn) where i = len(r))"""
+
+
+@query(f"with recursive {RATE_SQL} select conv_id, turn, case when words > 0 then errors / words when said = 0 then 0.0 end as wer, words = 0 and said > 0 as infinite from e")
 def x12_utterance_rate(spark, d):
     e = _pairs(spark, d).withColumn("e", align.edit_counts("ref", "hyp"))
     rate, infinite = align.wer(F.expr("e.s + e.d + e.i"), T.n_words(F.col("ref")), T.n_words(F.col("hyp")))

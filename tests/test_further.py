@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexispark.functions import cleaning as C
+from lexispark.functions import respelling as Y
 from lexispark.functions import text as T
 from lexispark.operators import duplicates, greedy, statistics
 from lexispark.sources import readers, writers
@@ -77,13 +78,13 @@ def edited(spark, udf, *rows):
 
 
 def test_rewriting(spark):
-    swap = C.table_replacer({"colour": "color", "colour bar": "color bar", "goin'": "going", "'tis": "it is", "per cent": "%"})
+    swap = Y.table_replacer({"colour": "color", "colour bar": "color bar", "goin'": "going", "'tis": "it is", "per cent": "%"})
     got = edited(spark, swap, ("Colour bars, COLOUR bar; discolour",), ("he's goin' on",), ("'he is goin' she said",), ("'Tis so, ten per cent",), (None,))
     assert got == [("Color bars, Color bar; discolour", 2), ("he's going on", 1), ("'he is goin' she said", 0), ("It is so, ten %", 2), (None, 0)]
     say = C.pronouncer({"sql": "sequel", "http": None})
     assert edited(spark, say, ("SQL over HTTPs by the FBI, XIV times; UPSs",)) == [("sequel over aitch tee tee pees by the ef bee eye, XIV times; you pee esses", 4)]
     rows = [("it rains he said and left", "It rains. He said, and left!"), ("one two three", "four, five. six?"), ("a e.g b", "a e.g. b"), ("same. here", "same, here"), ("x", None)]
-    assert edited(spark, C.punctuation_transfer, *rows) == [("it rains. He said, and left!", 4), ("one two three", 0), ("a e.g b", 0), ("same. here", 0), ("x", 0)]
+    assert edited(spark, Y.punctuation_transfer, *rows) == [("it rains. He said, and left!", 4), ("one two three", 0), ("a e.g b", 0), ("same. here", 0), ("x", 0)]
     text = spark.createDataFrame([("“A” – b ;  (c) & 5°  .5 !",)], "t string")
     a, b = text.select(T.label_text(F.col("t")), T.label_text(F.col("t"), 1)).first()
     assert a == "A - b, c and 5 degrees .5!" and b == '"A" - b ;  (c) & 5°  .5 !'
