@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cleaned, core, further, ordered, transcripts, wider  # noqa: F401  (registers its queries)
+from . import cleaned, core, further, ordered, streams, transcripts, wider  # noqa: F401  (registers its queries)
 
 QUERIES, ORACLE = core.QUERIES, core.ORACLE
 FLAGSHIP = QUERIES["d1_denylist"]
