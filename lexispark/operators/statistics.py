@@ -129,6 +129,25 @@ def poisson_sql(unit: str, rep: str, engine: str = "spark") -> str:
     return f"transform(array(cast(conv(substr(md5(concat({unit}, ':', {rep})), 1, 7), 16, 10) as bigint) / 268435456.0D), x -> {cases})[0]"
 
 
+def crossed_bootstrap(df: DataFrame, clip: str, replicate: str, value: str, draws: int = 200, most: int = 1000) -> DataFrame:
+    """(draw, statistic): the median over clips of their means over replicates, both drawn anew; draw -1 is the sample itself.
+
+    A clip's and a replicate's weights in a draw are two independent draws by hash, so nothing is joined for resampling: a clip's
+    means of all draws come from its own short array of replicates, and medians count each mean by its clip's weight. There may
+    be ``most`` replicates, which are the inner, short dimension; more are refused. Draws in which a side has no weight are null.
+    """
+    cells = df.where(F.col(value).isNotNull()).groupBy(F.col(clip).cast("string").alias("c"), F.col(replicate).cast("string").alias("r")).agg(F.avg(value).alias("v"))
+    by_clip = cells.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("r", "v"))).alias("cells"))
+    by_clip = by_clip.withColumn("cells", F.when(F.size("cells") <= most, F.col("cells")).otherwise(F.raise_error(F.lit(f"more than {most} replicates"))))
+    rows = by_clip.withColumn("b", F.explode(F.expr(f"sequence(-1L, {draws - 1}L)")))
+    draw = lambda unit: f"if(b < 0, 1, {poisson_sql(unit, 'cast(b as string)')})"
+    one = draw("concat('r', x.r)")
+    mean = f"try_divide(aggregate(cells, 0.0D, (a, x) -> a + {one} * x.v), aggregate(cells, 0.0D, (a, x) -> a + {one}))"
+    rows = rows.select("b", F.expr(mean).alias("m"), F.expr(f"cast({draw("concat('c', c)")} as long)").alias("w"))
+    drawn = rows.groupBy("b").agg(F.percentile(F.when(F.col("w") > 0, F.col("m")), F.lit(0.5), F.greatest("w", F.lit(1))).alias("statistic"))
+    return drawn.withColumnRenamed("b", "draw")
+
+
 def variance_components(df: DataFrame, row: str, column: str, value: str, floor: float = 0.0) -> DataFrame:
     """(sigma_row, sigma_column, sigma_noise) of a complete two-way table, by moments; what isn't above ``floor`` is 0.
 
