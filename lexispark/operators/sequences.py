@@ -5,6 +5,8 @@ What depends on one key only is a window; what carries state from row to row run
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,9 +26,27 @@ def conflicts(df: DataFrame, key: str, content: str, *order: str) -> DataFrame:
     return df.withColumn("__first", F.first(content).over(w)).where(F.col("__first") != F.col(content)).drop("__first")
 
 
+def numbered(df: DataFrame, block: Column, *order, by: list[str], name: str) -> DataFrame:
+    """``df`` with places from 0 in ``order`` within each group of ``by`` (nulls are a group), counted by blocks.
+
+    ``block`` cuts a group along its order, so that no task sees a whole group; the places before a block are the sum of the
+    sizes of the blocks before it, a row for each block.
+    """
+    cut = df.withColumn("__block", block)
+    keys = [*by, "__block"]
+    sizes = cut.groupBy(*keys).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy(*by).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], before.alias("__before"))
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    inner = F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1
+    out = cut.withColumn("__inner", inner).join(sizes, reduce(lambda a, b: a & b, same))
+    return out.withColumn(name, F.col("__inner") + F.col("__before")).drop("__block", "__inner", "__before", *(f"__k{i}" for i in range(len(keys))))
+
+
 def hash_shuffle(df: DataFrame, salt: str, key: str, *by: str) -> DataFrame:
     """A seeded order within each group, ``place`` from 1: the order of salted hashes, whatever the partitioning."""
-    return df.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(salted(salt, *by, key), key)))
+    rows = df.withColumn("__hash", salted(salt, *by, key))
+    return numbered(rows, F.substring("__hash", 1, 3), "__hash", key, by=list(by), name="place").withColumn("place", F.col("place") + 1).drop("__hash")
 
 
 def hash_sample(df: DataFrame, k: int, salt: str, key: str) -> DataFrame:

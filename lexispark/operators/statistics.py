@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .sequences import running, stored
+
 
 def clusters(df: DataFrame, by: str, cluster: str, words: str, **errors: str) -> DataFrame:
     """(set, cluster, words, one column of errors for each model): what the bootstraps draw from."""
@@ -48,7 +50,7 @@ def paired_bootstrap(table: DataFrame, by: str, cluster: str, a: str, b: str, re
 def auroc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the ROC curve, ties counting half: from counts by score, so equal scores meet in partial sums."""
     by = df.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n"))
-    run = by.withColumn("below", F.coalesce(F.sum("n").over(W.orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    run = running(by, "n", "below", score)
     return run.agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auroc"))
 
 
@@ -179,8 +181,8 @@ def power_law(points: DataFrame, x: str, y: str) -> DataFrame:
 def pareto(df: DataFrame, key: str, *dims: str) -> DataFrame:
     """Keys of the rows that no other row matches in every dimension and exceeds in one.
 
-    Each task first leaves out what its own rows dominate, so only the fronts of tasks are compared with each other; a row
-    with a null is left out.
+    Each task leaves out what its own rows dominate, and the fronts of eight tasks are merged by one, again and again, so that
+    the last task holds no more than the result and what seven others left. A row with a null is left out.
     """
 
     def front(batches):
@@ -199,10 +201,13 @@ def pareto(df: DataFrame, key: str, *dims: str) -> DataFrame:
         if held is not None:
             yield held
 
-    p = df.select(key, *dims).mapInPandas(front, df.select(key, *dims).schema)
-    no_less = " and ".join(f"q.`{c}` >= p.`{c}`" for c in dims)
-    more = " or ".join(f"q.`{c}` > p.`{c}`" for c in dims)
-    return p.alias("p").join(p.alias("q"), F.expr(f"{no_less} and ({more})"), "left_anti").select(key)
+    p = df.select(key, *dims)
+    p = stored(p.mapInPandas(front, p.schema))
+    parts = p.select(F.spark_partition_id().alias("part")).distinct().count()
+    while parts > 1:
+        parts = -(-parts // 8)
+        p = stored(p.coalesce(parts).mapInPandas(front, p.schema))
+    return p.select(key)
 
 
 def set_identity(df: DataFrame, by: str, key: str) -> DataFrame:

@@ -175,8 +175,8 @@ def w27_three_way_split(spark, d):
 @query("""select doc_id, (i - 1) % 3 as engine, (row_number() over (partition by (i - 1) % 3 order by lang, i) - 1) % 5 as voice from (select doc_id, lang, row_number() over (partition by lang order by sha256('e|' || lang || '|' || doc_id), doc_id) as i from documents)""")
 def w29_round_robin(spark, d):
     i = Q.hash_shuffle(table(spark, d, "documents"), "e", "doc_id", "lang").withColumn("engine", (F.col("place") - 1).cast("long") % 3)
-    voice = (F.row_number().over(W.partitionBy("engine").orderBy("lang", "place")) - 1).cast("long") % 5
-    return i.select("doc_id", "engine", voice.alias("voice"))
+    v = Q.numbered(i, F.struct("lang", F.expr("place div 65536")), "lang", "place", by=["engine"], name="v")
+    return v.select("doc_id", "engine", (F.col("v").cast("long") % 5).alias("voice"))
 
 
 # Sorts, set operations

@@ -16,15 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import salted
 from ..operators import gates
-
-
-def _numbered(df: DataFrame, block, *order, by: list[str], name: str) -> DataFrame:
-    """Places from 0 within ``by``, counted by blocks of the order so that no task sees a whole group."""
-    cut = df.withColumn("__block", block)
-    sizes = cut.groupBy(*by, "__block").agg(F.count("*").alias("__n"))
-    before = sizes.select(*by, "__block", F.coalesce(F.sum("__n").over(W.partitionBy(*by).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    inner = F.row_number().over(W.partitionBy(*by, "__block").orderBy(*order)) - 1
-    return cut.withColumn("__inner", inner).join(before, [*by, "__block"]).withColumn(name, F.col("__inner") + F.col("__before")).drop("__block", "__inner", "__before")
+from ..operators.sequences import numbered
 
 
 def mixed(items: DataFrame, shares: DataFrame, source: str, key: str, n: int, salt: str = "mix", block: int = 65_536) -> DataFrame:
@@ -42,12 +34,12 @@ def mixed(items: DataFrame, shares: DataFrame, source: str, key: str, n: int, sa
     draws = spark.range(n).select(F.col("id").alias("draw"), unit.alias("u"))
     chosen = draws.join(F.broadcast(bounds), F.expr("u >= lo and u < hi")).select("draw", source)
     counted = items.groupBy(source).agg(F.count("*").alias("__size"))
-    turns = _numbered(chosen, F.expr(f"draw div {block}"), "draw", by=[source], name="__turn").join(F.broadcast(counted), source)
+    turns = numbered(chosen, F.expr(f"draw div {block}"), "draw", by=[source], name="__turn").join(F.broadcast(counted), source)
     turns = turns.select("draw", source, F.expr("__turn div __size").alias("pass"), F.expr("__turn % __size").alias("__place"))
     passes = turns.groupBy(source).agg(F.max("pass").alias("__last"))
     each = items.select(source, key).join(F.broadcast(passes), source).withColumn("pass", F.explode(F.expr("sequence(0L, __last)"))).drop("__last")
     each = each.withColumn("__hash", salted(salt, "pass", source, key))
-    placed = _numbered(each, F.substring("__hash", 1, 3), "__hash", key, by=[source, "pass"], name="__place")
+    placed = numbered(each, F.substring("__hash", 1, 3), "__hash", key, by=[source, "pass"], name="__place")
     return turns.join(placed, [source, "pass", "__place"]).select("draw", source, "pass", key)
 
 
@@ -55,7 +47,7 @@ def slot_shuffled(df: DataFrame, file: str, key: str, slots: int, salt: str = "s
     """``turn`` and ``place``: files in seeded order, ``slots`` open at a time, the rows of one turn in seeded order."""
     files = df.select(file).distinct().withColumn("turn", F.expr(f"(row_number() over (order by sha2(concat_ws('|', '{salt}', cast(`{file}` as string)), 256), `{file}`) - 1) div {slots}"))
     rows = df.join(files, file).withColumn("__hash", salted(salt, "turn", key))
-    return _numbered(rows, F.substring("__hash", 1, 3), "__hash", key, by=["turn"], name="place").drop("__hash")
+    return numbered(rows, F.substring("__hash", 1, 3), "__hash", key, by=["turn"], name="place").drop("__hash")
 
 
 class ResumeMismatch(ValueError):
