@@ -66,11 +66,15 @@ def covered(text: Column, allowed: str = "[ -~]") -> Column:
     return F.coalesce(text.rlike(f"^(?:{allowed})*$"), F.lit(False))
 
 
+#: Letters that are written for others of the same sound, in the order in which they are replaced.
+SOUND_FOLDS = (("sch", "sh"), ("ph", "f"), ("oe", "o"), ("ue", "u"), ("ae", "e"), ("ee", "e"), ("ck", "k"), ("q", "k"), ("x", "ks"), ("z", "s"), ("y", "i"), ("c", "k"))
+
+
 def sound_key(word: Column) -> Column:
     """Letters that sound alike folded together, doubled ones once."""
-    key = F.regexp_replace(F.lower(word), "ph", "f")
-    key = F.translate(F.regexp_replace(key, "ck", "k"), "cqzy", "kksi")
-    return F.regexp_replace(key, r"(.)\1+", "$1")
+    for old, new in SOUND_FOLDS:
+        word = F.replace(word, F.lit(old), F.lit(new))
+    return F.regexp_replace(word, r"(.)\1+", "$1")
 
 
 def singular(word: Column) -> Column:
@@ -120,3 +124,18 @@ def label_text(nfkc: Column, version: int = 3) -> Column:
             text = F.replace(text, F.lit(sign), F.lit(said))
         text = F.regexp_replace(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), r" ([,?!:]|\.(?!\d))", "$1")
     return F.trim(text)
+
+
+def recording(id_: Column) -> Column:
+    """The recording that an id (``source:rest``) belongs to, by the source's own way of numbering parts; an id without a
+    source stops the job."""
+    source, rest = F.substring_index(id_, ":", 1), F.regexp_replace(id_, "^[^:]*:", "")
+    but = lambda sep, n: F.when(F.size(F.split(rest, sep)) > n, F.array_join(F.slice(F.split(rest, sep), F.lit(1), F.size(F.split(rest, sep)) - n), sep)).otherwise(F.substring_index(rest, sep, 1))
+    part = (
+        F.when(source.startswith("yodas"), but("_", 4))
+        .when(source.isin("librispeech", "med-osce"), F.substring_index(rest, "-", 1))
+        .when(source == "voxpopuli", F.substring_index(rest, "_", 1))
+        .when(source == "ami", F.substring_index(rest, "_", 3))
+        .otherwise(but("_", 1))
+    )
+    return F.when(id_.contains(":"), F.concat(source, F.lit(":"), part)).when(id_.isNotNull(), F.raise_error(F.concat(F.lit("no source in "), id_)).cast("string"))

@@ -232,3 +232,41 @@ def set_identity(df: DataFrame, by: str, key: str) -> DataFrame:
 
     rows = df.select(by, key).where(F.col(by).isNotNull() & F.col(key).isNotNull()).repartition(F.col(by)).sortWithinPartitions(by, key)
     return rows.mapInPandas(digest, f"`{by}` {df.schema[by].dataType.simpleString()}, identity string")
+
+
+def harm_screen(spans: DataFrame, group: str, label_set: str, original: str, cleaned: str, least: int, exempt=None) -> DataFrame:
+    """(group, label_set, aligned, original, cleaned, judged, harm, disabled): changed spans by group and label set, and pooled as
+    ``both``.
+
+    A cell of at least ``least`` spans is judged; it shows harm if the original matched more often than the cleaned text. A group
+    with any such cell is disabled, unless it is ``exempt`` (a condition on the group). Null counts as no match.
+    """
+    hit = lambda c: F.count_if(F.coalesce(F.col(c), F.lit(False))).alias(c)
+    cells = spans.groupBy(group, label_set).agg(F.count("*").alias("aligned"), hit(original), hit(cleaned))
+    pooled = cells.groupBy(group).agg(*(F.sum(c).alias(c) for c in ("aligned", original, cleaned))).withColumn(label_set, F.lit("both"))
+    every = cells.unionByName(pooled).withColumn("judged", F.col("aligned") >= least)
+    every = every.withColumn("harm", F.col("judged") & (F.col(original) > F.col(cleaned)))
+    any_ = F.max("harm").over(W.partitionBy(group))  # a row for each label set
+    told = any_ if exempt is None else any_ & ~exempt
+    return every.withColumn("disabled", told).withColumnsRenamed({original: "original", cleaned: "cleaned"})
+
+
+def exposure(tape: DataFrame, domain: str, key: str, size: str, order: list[str], batch: int) -> DataFrame:
+    """(domain, presentations, size, unique_ids, padded): what a tape presents of each domain; ``padded`` is the size of all its
+    batches of ``batch`` rows in ``order``, each row as long as the batch's longest, and the same for every domain."""
+    from .sequences import ranked
+
+    batches = ranked(tape.select(size, *order), *order).groupBy(F.expr(f"rank div {batch}")).agg((F.max(size) * F.count("*")).alias("p"))
+    padded = batches.agg(F.sum("p").alias("padded"))  # one row
+    by_key = tape.groupBy(domain, key).agg(F.count("*").alias("n"), F.sum(size).alias("s"))
+    out = by_key.groupBy(domain).agg(F.sum("n").alias("presentations"), F.sum("s").alias("size"), F.count("*").alias("unique_ids"))
+    return out.crossJoin(F.broadcast(padded))
+
+
+def token_rates(df: DataFrame, by: str, tokens: str, seconds: str, frames: float) -> DataFrame:
+    """Tokens a second as ratio of sums and as mean of ratios, and the share of rows with more tokens than whole nominal frames."""
+    more = F.when(F.col(tokens) > F.floor(F.col(seconds) * frames), 1.0).otherwise(0.0)
+    return df.groupBy(by).agg(
+        F.count("*").alias("clips"), F.round(F.try_divide(F.sum(tokens), F.sum(seconds)), 9).alias("tokens_per_second"),
+        F.round(F.avg(F.try_divide(F.col(tokens), F.col(seconds))), 9).alias("mean_rate"), F.round(F.avg(more), 9).alias("over_frames"),
+    )

@@ -76,13 +76,16 @@ def _asked(turns):
 _OFFERS = " ".join(f"when '{m}' then {[x.removesuffix('*') for x in ms] + ['cant']}" for ms in _SETS.values() for m in ms if not m.endswith("*")).replace("'cant'", "'can''t tell'")
 
 
-@query(f"""with t as (select conv_id, turn, text, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+(?:[''.][\\p{{L}}\\p{{N}}]+)*|[^\\p{{L}}\\p{{N}}]+') as tokens from conversations),
+DECIDED_SQL = f"""with t as (select conv_id, turn, text, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+(?:[''.][\\p{{L}}\\p{{N}}]+)*|[^\\p{{L}}\\p{{N}}]+') as tokens from conversations),
 u as (select conv_id, turn, text, unnest(tokens) as token, generate_subscripts(tokens, 1) as i from t),
 p as (select *, coalesce(sum(length(token)) over (partition by conv_id, turn order by i rows between unbounded preceding and 1 preceding), 0)::int as start from u),
 o as (select conv_id, turn, text, start, start + length(token)::int as stop, token as original, case lower(token) {_OFFERS} end as options from p where lower(token) in ('the', 'la', 'de', 'du')),
 k as (select *, sha256(concat_ws(chr(31), 'spelling', text, start::varchar, stop::varchar, array_to_string(options, chr(31)))) as key from o),
-w as (select *, list_transform(range(len(options)), lambda i: pow(('0x' || substr(key, 1 + 2 * i::int, 2))::int::double, {_WEIGHTS})) as p from k)
-select conv_id, turn, start, stop, original, key, case when list_sum(p) > 0 and list_position(p, list_max(p)) < len(options) and list_max(p) / list_sum(p) >= 0.9 then options[list_position(p, list_max(p))] end as chosen from w""")
+w as (select *, list_transform(range(len(options)), lambda i: pow(('0x' || substr(key, 1 + 2 * i::int, 2))::int::double, {_WEIGHTS})) as p from k),
+decided as (select *, list_position(p, list_max(p)) as best, case when list_sum(p) > 0 and list_position(p, list_max(p)) < len(options) and list_max(p) / list_sum(p) >= 0.9 then options[list_position(p, list_max(p))] end as chosen from w)"""
+
+
+@query(f"{DECIDED_SQL} select conv_id, turn, start, stop, original, key, chosen from decided")
 def x24_span_decisions(spark, d):
     """Places where a spelling is open, and what the stored answers decide for them."""
     asked = _asked(table(spark, d, "conversations"))

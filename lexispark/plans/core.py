@@ -166,7 +166,12 @@ def f7_coverage(spark, d):
     return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(T.covered(F.col("text"), "[ -~\\n]")).alias("covered"))
 
 
-@query()
+@query(f"""with x as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from ({WORDS_SQL})), n as (select doc_id, len(w) as size from ({WORDS_SQL})),
+l as (select doc_id, i, word, {", ".join(f"lag(word, {k}) over o as l{k}" for k in range(1, 7))} from x window o as (partition by doc_id order by i)),
+m as ({" union all ".join(f"select doc_id, i, {k} as n from l where word = l{k}" for k in range(1, 7))}),
+r as (select doc_id, n, count(*) // n + 1 as copies from (select doc_id, n, i - row_number() over (partition by doc_id, n order by i) as g from m) group by doc_id, n, g),
+b as (select doc_id, max(copies) as repeats, arg_min(n, (-copies, n)) as n from r where copies > 1 group by 1)
+select doc_id, coalesce(repeats, least(size, 1))::int as repeats, coalesce(b.n, least(size, 1))::int as n from n left join b using (doc_id)""")
 def f8_longest_repeat(spark, d):
     return words(spark, d).select("doc_id", align.longest_repeat("w").alias("r")).select("doc_id", "r.repeats", "r.n")
 
@@ -360,7 +365,7 @@ def j13_confusable_pairs(spark, d):
 
 
 _STOP = "'the', 'and', 'for', 'with', 'from', 'are', 'into', 'over', 'under', 'per', 'via', 'its'"
-_FOLDS = (("sch", "sh"), ("ph", "f"), ("oe", "o"), ("ue", "u"), ("ae", "e"), ("ee", "e"), ("ck", "k"), ("q", "k"), ("x", "ks"), ("z", "s"), ("y", "i"), ("c", "k"))
+_FOLDS = T.SOUND_FOLDS
 _ENDS = "('s', 'es', 'ic', 'ics', 'ity', 'ities', 'al', 'ally', 'ly', 'ing', 'ed', 'er', 'ers', 'ation', 'ations', 'ion', 'ions', 'ive', 'ism', 'ist', 'ists', 'ness')"
 #: The rule that two sound keys x and y meet, of which s is the shorter one's length; null for none.
 _RULE = """case when x = y then 'same-sound' when s >= 3 and left(x, s) = left(y, s) and abs(length(x) - length(y)) between 1 and 3 then 'prefix'

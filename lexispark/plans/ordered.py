@@ -12,7 +12,7 @@ from ..operators import filters as R
 from ..operators import gates as G
 from ..operators import sequences as Q
 from ..operators import statistics as S
-from .core import _FOUND, _GRAMS, _HITS, WORDS_SQL, _corpus, letters, norm, query, split, table, words
+from .core import _FOUND, _GRAMS, _HITS, WORDS_SQL, _corpus, _runs_by_letter, _sound_key, letters, norm, query, split, table, words
 
 # Windows and ordered selections
 
@@ -280,7 +280,8 @@ def x8_edit_counts(spark, d):
     return both.withColumn("e", align.edit_counts("t", "h")).select("conv_id", "turn", "e.s", "e.d", "e.i", rate.alias("wer"), infinite.alias("infinite"))
 
 
-@query()
+@query(f"""with x as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from ({WORDS_SQL})), l as (select doc_id, word, lag(word) over (partition by doc_id order by i) as before from x)
+select doc_id, case when before in ('of', 'in', 'and') then before || ' the' else 'the' end as phrase, count(*) as n from l where word = 'the' group by all""")
 def x13_phrase_match(spark, d):
     phrases = ["of the", "the", "in the", "and the"]
     found = words(spark, d).select("doc_id", F.explode(align.phrase_matcher(phrases)("w")).alias("m"))
@@ -299,8 +300,9 @@ def x16_density(spark, d):
     return table(spark, d, "documents").where("n_chars > 0").select("doc_id", F.round(1000.0 * F.regexp_count("text", F.lit("the")) / F.col("n_chars"), 9).alias("density"), cls.alias("class"))
 
 
-@query()
+@query(f"""select t as word, {_sound_key(lambda k, a, b: f"replace({k}, '{a}', '{b}')", _runs_by_letter)} as key from (select distinct w as t from (select unnest({split(letters('text'))}) as w from benchmark))""")
 def x29_sound_keys(spark, d):
+    """The key by which pairs of confusable terms meet."""
     w = table(spark, d, "benchmark").select(F.explode(T.words(T.letters_norm(F.col("text")))).alias("word")).distinct()
     return w.select("word", T.sound_key(F.col("word")).alias("key"))
 

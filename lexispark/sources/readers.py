@@ -69,3 +69,10 @@ def interval_tiers(spark: SparkSession, path: str) -> DataFrame:
     found = tiers.select("file", "tier", F.explode(F.expr(r"""regexp_extract_all(t, 'intervals \\[\\d+\\]:\\s+xmin = [0-9.]+\\s+xmax = [0-9.]+\\s+text = "(?:[^"]|"")*"', 0)""")).alias("x"))
     number = lambda name: F.regexp_extract("x", rf"{name} = ([0-9.]+)", 1).cast("double")
     return found.select("file", "tier", number("xmin").alias("start"), number("xmax").alias("end"), F.replace(F.regexp_extract("x", '(?s)text = "(.*)"', 1), F.lit('""'), F.lit('"')).alias("text"))
+
+
+def markup(spark: SparkSession, path: str) -> DataFrame:
+    """(file, text) of files with markup: tags become spaces, white space is single."""
+    whole = spark.read.text(path, wholetext=True)
+    text = F.trim(F.regexp_replace(F.regexp_replace("value", "<[^>]*>", " "), r"(?U)\s+", " "))
+    return whole.select(F.col("_metadata.file_path").alias("file"), text.alias("text"))

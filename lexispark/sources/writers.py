@@ -47,3 +47,38 @@ def report(df: DataFrame, path: str, title: str, most: int = 10_000) -> str:
     lines = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "| " + " | ".join("---" for _ in df.columns) + " |", *("| " + " | ".join(map(cell, r)) + " |" for r in rows)]
     df.sparkSession.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(path)
     return "\n".join(lines)
+
+
+def sized(df: DataFrame, path: str, plain: list[str], group_bytes: int = 16 << 20) -> None:
+    """Parquet with row groups of about ``group_bytes`` and no dictionary for the columns that hardly repeat."""
+    out = df.write.option("compression", "zstd").option("parquet.block.size", group_bytes)
+    for c in plain:
+        out = out.option(f"parquet.enable.dictionary#{c}", "false")
+    out.parquet(path)
+
+
+def cache(df: DataFrame, path: str, by: str, **derived: Column) -> list:
+    """Builds a text cache by shards and returns those written now: rows with ``derived`` columns go to ``path``/shards, a
+    partition for each value of ``by``, and, once those are whole, a marker (number of rows, sum of their hashes) to
+    ``path``/done.
+
+    A shard with a marker is left alone; one whose marker's content is no longer what its source gives is refused, and one
+    without is written anew. Null values of ``by`` are a shard of their own.
+    """
+    spark = df.sparkSession
+    rows = df.withColumns(derived)
+    content = rows.groupBy(by).agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*sorted(rows.columns)).cast("decimal(38,0)")).cast("string").alias("content"))
+    try:
+        done = spark.read.parquet(f"{path}/done").select(F.col(by).alias("__by"), F.col("rows").alias("__rows"), F.col("content").alias("__content"))
+        have = content.join(done, F.col(by).eqNullSafe(F.col("__by")), "left")
+    except AnalysisException:
+        have = content.withColumns({"__by": F.lit(None), "__rows": F.lit(None), "__content": F.lit(None)})
+    have = have.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else have
+    gates.expect_empty(have.where((F.col("__rows") != F.col("rows")) | (F.col("__content") != F.col("content"))).select(by), "shards whose source has changed")
+    fresh = have.where(F.col("__rows").isNull()).select(by, "rows", "content")
+    todo = [r[0] for r in fresh.select(by).collect()]  # a value for each shard
+    if todo:
+        wanted = fresh.select(F.col(by).alias("__by"))
+        shards(rows.join(wanted, F.col(by).eqNullSafe(F.col("__by")), "left_semi").withColumn("shard", F.col(by)), f"{path}/shards", "shard")
+        fresh.write.mode("append").parquet(f"{path}/done")
+    return todo
