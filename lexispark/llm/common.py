@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -55,6 +56,11 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def arrow_type(df: DataFrame, column: str) -> pa.DataType:
+    """The Arrow type in which Spark hands a column to tasks and takes it back."""
+    return to_arrow_type(df.schema[column].dataType)
+
+
 def rows(batches: Iterator[pa.RecordBatch], most: int = 2048, chars: int = 2_000_000) -> Iterator[tuple[list, list]]:
     """(keys, texts) of small bounded groups of rows from batches of (key, text); null text is empty."""
     for batch in batches:

@@ -202,7 +202,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     """(key, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for each row; ``train`` says which are learned from."""
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
-    arrow = pa.string() if kind == "string" else pa.int64()
+    arrow = common.arrow_type(docs, key)
     source = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
     told = source.agg(F.sum(F.octet_length("text")), F.sum(F.col("train").cast("long"))).first()
     n_blocks, n_train = max(1, -(-(told[0] or 0) // block_bytes)), told[1] or 0

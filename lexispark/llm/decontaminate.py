@@ -1,9 +1,10 @@
 """Benchmark decontamination: word windows of test items looked up in every training text.
 
 Words are runs of digits, letters and non-ASCII characters after folding A-Z. A window is ``width`` consecutive words of
-an item; an item of fewer words, but not none, is one window. The distinct windows are a hash set that is broadcast when
-the benchmark has at most ``most_chars`` characters; a larger benchmark is never sent whole: it is scanned in blocks of
-that size, each a broadcast of its own, and the hits are merged by row. A hit in the hash set is verified word by word.
+an item; an item of fewer words, but not none, is one window. The distinct windows are a hash set of flat arrays, built once and
+broadcast, when the benchmark has at most ``most_chars`` characters (some 6 bytes for each of them, and the vocabulary); a
+larger one is gathered and sent in blocks of that size, one at a time, and the hits are merged by row. A hit in the hash set
+is verified word by word. Texts are scanned in slices, so that a very long text bounds memory.
 
 Null and empty texts have no words and no hits; an item without an id marks words but is not listed; repeated items
 count once per id; an empty benchmark or table gives no hits. Rows repeat as they do in ``docs``, and columns with
@@ -13,6 +14,7 @@ clashing names don't matter because only key and text are read.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -34,29 +36,51 @@ def words(text: str) -> list[bytes]:
 
 
 class Windows:
-    """The distinct windows of some items, by length, as sorted hashes with their word numbers and item numbers."""
+    """The distinct windows of some items as arrays: by length, sorted hashes, where each window stands first in the items' words,
+    and the numbers of the items that hold it. Built once, sent to the tasks as they are."""
 
     def __init__(self, items: list[tuple], width: int = WIDTH):
         self.width, self.vocab, self.ids = width, {}, sorted({str(i) for i, _ in items if i is not None})
         place = {x: n for n, x in enumerate(self.ids)}
-        seen: dict[int, dict[tuple, set]] = {}
-        for item, text in items:
-            w = [self.vocab.setdefault(x, len(self.vocab) + 1) for x in words(text or "")]
-            n = min(width, len(w))
-            for i in range(len(w) - n + 1 if w else 0):
-                seen.setdefault(n, {}).setdefault(tuple(w[i : i + n]), set()).update([place[str(item)]] if item is not None else [])
+        vocab = self.vocab
+        flat = [np.fromiter((vocab.setdefault(x, len(vocab) + 1) for x in words(text or "")), np.uint32) for _, text in items]
+        size = np.array([len(w) for w in flat], np.int64)
+        first = np.concatenate([[0], np.cumsum(size)])
+        self.flat = np.concatenate([*flat, np.zeros(0, np.uint32)])
+        owner = np.array([-1 if i is None else place[str(i)] for i, _ in items], np.int64)
         self.by_length = []
-        for n, found in sorted(seen.items()):
-            tokens = np.array(list(found), np.uint64).reshape(-1, n)
-            h = self._hash([tokens[:, j] for j in range(n)])
-            order = np.argsort(h, kind="stable")
-            self.by_length.append((n, h[order], tokens[order], [sorted(x) for x in np.array([*found.values(), None], object)[:-1][order]]))
+        for n in np.unique(np.minimum(size[size > 0], width)).tolist():
+            of = np.flatnonzero(np.minimum(size, width) == n)
+            count = size[of] - n + 1
+            start = np.repeat(first[:-1][of] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+            self.by_length.append(self._grouped(n, start, np.repeat(owner[of], count)))
+
+    def _grouped(self, n: int, start: np.ndarray, owner: np.ndarray) -> tuple:
+        """(n, hashes, starts, edges, owners, alike): an entry for each distinct window, up to ``alike`` of them with one hash."""
+        h = self._hash([self.flat[start + j] for j in range(n)])
+        order = np.lexsort((owner, h))
+        h, start, owner = h[order], start[order], owner[order]
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        other = np.zeros(len(h), bool)
+        for j in range(n):
+            other[1:] |= ~new[1:] & (self.flat[start[1:] + j] != self.flat[start[:-1] + j])
+        if other.any():  # different windows of one hash: put equal ones together
+            order = np.lexsort((owner, *(self.flat[start + j] for j in range(n)), h))
+            h, start, owner = h[order], start[order], owner[order]
+            for j in range(n):
+                new[1:] |= self.flat[start[1:] + j] != self.flat[start[:-1] + j]
+            new[1:] |= h[1:] != h[:-1]
+        again = ~new & (owner == np.concatenate([[-2], owner[:-1]]))
+        keep = ~again & (owner >= 0)
+        edges = np.concatenate([[0], np.cumsum(keep)])[np.append(np.flatnonzero(new), len(h))]
+        alike = int(np.unique(h[new], return_counts=True)[1].max())
+        return n, h[new], start[new].astype(np.int64), edges, owner[keep].astype(np.int32), alike
 
     @staticmethod
     def _hash(columns: list[np.ndarray]) -> np.ndarray:
         h = np.zeros(len(columns[0]), np.uint64)
         for c in columns:
-            h = h * _BASE + c
+            h = h * _BASE + c.astype(np.uint64)
         return common.mix(h)
 
     def scan(self, texts: list[str]):
@@ -71,7 +95,7 @@ class Windows:
         delta = np.zeros(len(ids) + 1, np.int64)
         items: dict[int, set] = {}
         unknown = np.concatenate([[0], np.cumsum(ids == 0)])
-        for n, hashes, tokens, owners in self.by_length:
+        for n, hashes, starts, edges, owners, alike in self.by_length:
             if len(ids) < n:
                 continue
             at = np.flatnonzero(unknown[n:] == unknown[:-n])
@@ -79,42 +103,44 @@ class Windows:
                 continue
             h = self._hash([ids[at + j] for j in range(n)])
             lo = np.searchsorted(hashes, h)
-            for step in range(int(np.unique(hashes, return_counts=True)[1].max())):  # equal hashes, if ever, follow one another
+            for step in range(alike):  # equal hashes, if ever, follow one another
                 k = np.minimum(lo + step, len(hashes) - 1)
                 hit = (hashes[k] == h) & (lo + step < len(hashes))
-                hit[hit] = (tokens[k[hit]] == ids[at[hit][:, None] + np.arange(n)]).all(axis=1)
+                hit[hit] = (self.flat[starts[k[hit]][:, None] + np.arange(n)] == ids[at[hit][:, None] + np.arange(n)]).all(axis=1)
                 np.add.at(delta, at[hit], 1)
                 np.add.at(delta, at[hit] + n, -1)
                 for doc, w in set(zip((np.searchsorted(first, at[hit], "right") - 1).tolist(), k[hit].tolist(), strict=True)):
-                    items.setdefault(doc, set()).update(owners[w])
+                    items.setdefault(doc, set()).update(owners[edges[w] : edges[w + 1]].tolist())
         marked = np.cumsum(delta)[:-1] > 0
         for d, (at, n) in enumerate(zip(first, size, strict=True)):
             yield split[d], marked[at : at + n], sorted(items.get(d, ()))
 
 
-def _blocks(benchmark: DataFrame, key: str, text: str, most: int) -> list[list[tuple]]:
-    """Items in blocks of at most ``most`` characters each (or of one item)."""
-    out, size = [[]], 0
+def _blocks(benchmark: DataFrame, key: str, text: str, most: int) -> Iterator[list[tuple]]:
+    """Items in blocks of at most ``most`` characters each (or of one item), one block at a time."""
+    block, size = [], 0
     for item, body in benchmark.select(key, text).toLocalIterator():
         if size and size + len(body or "") > most:
-            out, size = [*out, []], 0
-        out[-1].append((item, body))
+            yield block
+            block, size = [], 0
+        block.append((item, body))
         size += len(body or "")
-    return out
+    if block:
+        yield block
 
 
 def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WIDTH, most_chars: int = MOST_CHARS) -> DataFrame:
     """(key, n_words, hits, items) for each row: hits are the runs of hit words as (first, end), items the ids found."""
     kind = docs.schema[key].dataType.simpleString()
-    arrow = pa.string() if kind == "string" else pa.int64()
+    arrow = common.arrow_type(docs, key)
     size = benchmark.agg(F.sum(F.length(item_text))).first()[0] or 0
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def scan(block: list[tuple]) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        shared = docs.sparkSession.sparkContext.broadcast(Windows(block, width))
 
         def run(batches):
-            windows = Windows(shared.value, width)
+            windows = shared.value
             for keys, texts in common.rows(batches):
                 n, hits, items = [], [], []
                 for w, marked, found in windows.scan(texts):
@@ -156,11 +182,11 @@ def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", one_i
     if (benchmark.agg(F.sum(F.length("text"))).first()[0] or 0) > most_chars:
         return _remove_in_blocks(docs, benchmark, mode, one_in, text, width, most_chars)
     items = [tuple(r) for r in benchmark.select("item_id", "text").collect()]
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    shared = docs.sparkSession.sparkContext.broadcast(Windows(items, width))
     at = docs.columns.index(text)
 
     def run(batches):
-        windows = Windows(shared.value, width)
+        windows = shared.value
         for batch in batches:
             texts = [x.as_py() for x in batch.column(at)]
             keep, new = [], []

@@ -78,7 +78,7 @@ def name(cls: bytes) -> int:
 def classes(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Rows (key, n, cls, id) of documents and rows (t, c) of shingles that repeat in a group of documents."""
     kind = docs.schema[key].dataType.simpleString()
-    arrow = pa.string() if kind == "string" else pa.int64()
+    arrow = common.arrow_type(docs, key)
 
     def run(batches):
         for keys, texts in common.rows(batches, chars=8_000_000):

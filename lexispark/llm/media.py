@@ -5,8 +5,8 @@ The writer filters rows with Up and splits the zlib stream over IDAT chunks; the
 undoes any of the five PNG filters with numpy.
 
 Null and empty texts give one row of spaces. Every row gives one row: repeated rows repeat, a null key stays null, an
-empty table stays empty. Other columns of the input are left out. Nothing is shuffled and a task holds one image at a
-time, so the longest text bounds memory.
+empty table stays empty. Other columns of the input are left out. Nothing is shuffled and a task holds the images of a
+slice of up to 512 texts and four million characters, or of one longer text.
 """
 
 from __future__ import annotations
@@ -144,7 +144,7 @@ def media(docs: DataFrame, key: str = "doc_id", text: str = "text", level: int =
             names = [x.split()[0] for x in SCHEMA.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c) if i else pa.array(c, kind) for i, c in enumerate(cols)], names=names)
 
-    kind = pa.string() if "string" in schema.split(",")[0] else pa.int64()
+    kind = common.arrow_type(docs, key)
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 

@@ -65,7 +65,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
 
     vocabulary, ranks, pattern = vocabulary or public_tokenizers.path(VOCABULARY), ranks or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
     kind = docs.schema[key].dataType.simpleString()
-    arrow = pa.string() if kind == "string" else pa.int64()
+    arrow = common.arrow_type(docs, key)
 
     def run(batches):
         encode = encoder(str(vocabulary), str(ranks), pattern)

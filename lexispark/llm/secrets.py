@@ -44,16 +44,31 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+#: Matches whose spans are gathered at once; a text's matches are taken in such blocks, so that time grows in proportion.
+BLOCK = 128
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL in which a value is computed once and named."""
+    return f"transform(array(struct({value})), {name} -> {body})[0]"
+
+
 def _matches(kind: str, pattern: str) -> Column:
-    """The matches of a pattern in ``text`` as spans: each starts after the pieces and matches before it."""
-    p = _quoted(pattern)
+    """The matches of a pattern in ``text`` as spans: each starts after the pieces and matches before it.
+
+    Lengths are summed by blocks of matches, the blocks' sums are added up, and each block gathers its own spans.
+    """
+    p, empty, last = _quoted(pattern), f"cast(array() as array<{_SPAN}>)", "size(x.found) - 1"
+    blocks = f"sequence(0, ({last}) div {BLOCK})"
     step = f"""(acc, i) -> struct(
-        acc.at + length(pieces[i]) + length(found[i]) as at,
-        concat(acc.out, array(struct(acc.at + length(pieces[i]) as start, {KINDS.index(kind)} as ord, '{kind}' as kind, acc.at + length(pieces[i]) + length(found[i]) as stop))) as out)"""
-    fold = f"aggregate(sequence(0, size(found) - 1), struct(0L as at, cast(array() as array<{_SPAN}>) as out), {step}, acc -> acc.out)"
-    one = f"transform(array(struct(regexp_extract_all(text, {p}, 0) as found)), x -> if(size(x.found) = 0, cast(array() as array<{_SPAN}>), {fold.replace('found', 'x.found').replace('pieces', 'y')}))"
+        acc.at + length(y.pieces[i]) + length(x.found[i]) as at,
+        concat(acc.out, array(struct(acc.at + length(y.pieces[i]) as start, {KINDS.index(kind)} as ord, '{kind}' as kind, acc.at + length(y.pieces[i]) + length(x.found[i]) as stop))) as out)"""
+    spans = f"flatten(transform({blocks}, b -> aggregate(sequence(b * {BLOCK}, least(b * {BLOCK} + {BLOCK - 1}, {last})), struct(o.ends[b] as at, {empty} as out), {step}, acc -> acc.out)))"
+    ends = f"aggregate({blocks}, array(0L), (acc, b) -> concat(acc, array(element_at(acc, -1) + aggregate(slice(z.sizes, b * {BLOCK} + 1, {BLOCK}), 0L, (a, n) -> a + n)))) as ends"
+    sizes = f"transform(sequence(0, {last}), i -> cast(length(y.pieces[i]) + length(x.found[i]) as bigint)) as sizes"
     # ``split`` runs only for texts with a match
-    return F.expr(one.replace("aggregate(", f"transform(array(split(text, {p}, -1)), y -> aggregate(").replace("acc -> acc.out)", "acc -> acc.out))[0]") + "[0]")
+    some = _let("y", f"split(text, {p}, -1) as pieces", _let("z", sizes, _let("o", ends, spans)))
+    return F.expr(_let("x", f"regexp_extract_all(text, {p}, 0) as found", f"if(size(x.found) = 0, {empty}, {some})"))
 
 
 def parts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -218,7 +218,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     """(key, score): one row for each row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[key].dataType.simpleString()
-    arrow = pa.string() if kind == "string" else pa.int64()
+    arrow = common.arrow_type(docs, key)
 
     def run(batches):
         values = scorer(shared.value)

@@ -87,7 +87,7 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks
 
     path = str(ranks or public_tokenizers.path(RANKS))
     kind = docs.schema[key].dataType.simpleString()
-    arrow = pa.string() if kind == "string" else pa.int64()
+    arrow = common.arrow_type(docs, key)
 
     def run(batches):
         machine, known = automaton(path), {}
