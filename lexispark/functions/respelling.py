@@ -14,19 +14,20 @@ Null texts stay null, empty ones empty. Texts that don't settle within ``ROUNDS`
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .align import path
 from .distance import one as distance
-from .drafts import EDITED, Change, Draft
+from .drafts import EDITED, Change, Draft, apply
 
 ROUNDS = 8
 #: Where a token begins and ends, and where one of letters and hyphens does.
@@ -47,10 +48,11 @@ MARKS, ENDS, CLOSERS, GUARD = ".,?!:;", ".?!", "\"')]}”’", 0.3
 CANT_TELL, THRESHOLD = "can't tell", 0.9
 
 _QUOTE = re.compile(r"(?<![^\W_])'(?=[^\W_])|(?<=[^\W_])'(?![^\W_])")
+_JOINED = re.compile(r"[A-Z](?:-|, )[A-Z]")
 _CAPITALS = re.compile(BEGIN_LETTERS + r"[A-Z](?:(?:\. ?| )[A-Z])+")
 _LETTERS = re.compile(BEGIN_LETTERS + r"(?:[A-Z](?:(?:\. ?| |-|, )[A-Z])+|[a-z](?:(?:\. ?| |-|, )[a-z])+)")
 _PLURAL = {case: re.compile(rf" ?'{q}s(?!{GOES_ON})") for case, q in (("upper", "?"), ("lower", ""))}
-_GOES_ON, _WORD = re.compile(GOES_ON), re.compile(WORD)
+_GOES_ON, _WORD, _UNBROKEN = re.compile(GOES_ON), re.compile(WORD), re.compile(r"\S*")
 
 
 def recased(new: str, old: str) -> str:
@@ -68,7 +70,7 @@ def _alternatives(forms) -> str:
 
 def _free(changes: list[Change], closed: list[tuple[int, int]]) -> list[Change]:
     """Changes that touch none of the closed places; an insertion touches one it lies strictly within."""
-    return [c for c in changes if not any(c.start < e and c.end > s for s, e in closed)]
+    return changes if not closed else [c for c in changes if not any(c.start < e and c.end > s for s, e in closed)]
 
 
 @dataclass(frozen=True)
@@ -111,24 +113,33 @@ def letter_runs(text: str, chain: re.Pattern = _LETTERS) -> list[Letters]:
     """Runs of single letters of one case, left to right."""
     out = []
     for m in chain.finditer(text):
-        places = [m.start() + i for i, c in enumerate(m.group()) if c.isalpha()]
+        whole, at = m.group(), m.start()
+        places = list(range(at, m.end(), 2)) if whole[1::2].isspace() else [at + i for i, c in enumerate(whole) if c.isalpha()]
         run = _run(text, places, "upper" if text[places[0]].isupper() else "lower")
         if run:
             out.append(run)
     return out
 
 
+def _lists(rows: list[list[tuple] | None], kinds: dict[str, pa.DataType]) -> pa.Array:
+    """A column of lists of structs, built from flat columns; None is null."""
+    flat = [x for r in rows for x in r or ()]
+    cols = list(zip(*flat, strict=True)) or [()] * len(kinds)
+    items = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds.values(), strict=True)], names=list(kinds))
+    ends = np.cumsum([0, *(len(r or ()) for r in rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.array([*(r is None for r in rows), False])), items)
+
+
 def acronym_counts(docs: DataFrame, text: str, recording: str, cap: int = 300) -> DataFrame:
     """(letters, compact, spelled, recordings): how often letters are written as an acronym and spelled out, and in how many
     recordings, up to ``cap``. Null texts and recordings are left out."""
 
-    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("letters", T.StringType()), T.StructField("spelled", T.LongType())])))
-    def found(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            rows = [{"letters": m[1], "spelled": 0} for m in re.finditer(COMPACT, t or "")]
-            out.append(rows + [{"letters": "".join(t[p] for p in r.places).upper(), "spelled": 1} for r in letter_runs(t or "")])
-        return pd.Series(out)
+    @F.arrow_udf("array<struct<letters:string,spelled:bigint>>")
+    def found(texts: pa.Array) -> pa.Array:
+        rows = []
+        for t in texts.to_pylist():
+            rows.append([(m[1], 0) for m in re.finditer(COMPACT, t or "")] + [("".join(t[p] for p in r.places).upper(), 1) for r in letter_runs(t or "")])
+        return _lists(rows, {"letters": pa.string(), "spelled": pa.int64()})
 
     one = docs.where(F.col(recording).isNotNull()).select(F.col(recording).alias("recording"), F.explode(found(text)).alias("x"))
     by_recording = one.groupBy("x.letters", "recording").agg(F.count_if(F.col("x.spelled") == 0).alias("compact"), F.sum("x.spelled").alias("spelled"))
@@ -147,6 +158,15 @@ def lexicon_of(counts: DataFrame, most: int = 500_000) -> dict[str, tuple[int, i
     return {r["letters"]: (r["compact"], r["recordings"]) for r in rows}
 
 
+@lru_cache(1 << 16)
+def _within(a: str, b: str, reach: int) -> bool:
+    """Whether at most ``reach`` edits part two words; one edit leaves all equal before it and behind it."""
+    if reach > 1:
+        return distance(a, b) <= reach
+    k = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    return a[k + 1 :] == b[k + 1 :] or a[k:] == b[k + 1 :] or a[k + 1 :] == b[k:]
+
+
 @dataclass
 class Rules:
     """Tables of rules.
@@ -263,18 +283,23 @@ class Rules:
         """The word after one space at ``at``, as the tables will write it."""
         if text[at : at + 1] != " ":
             return ""
+        word = _UNBROKEN.match(text, at + 1)
+        k = bisect_right(coming, at, key=lambda c: c.start)
+        if k == len(coming) or coming[k].start > word.end():
+            return word.group()
         out, place = "", at + 1
-        for c in [c for c in coming if c.start > at] + [Change(len(text), len(text), "", 1, "")]:
+        for c in [*coming[k:], Change(len(text), len(text), "", 1, "")]:
             out += text[place : c.start]
             if re.search(r"\s", out):
                 break
             out, place = out + c.new, c.end
         return re.match(r"\S*", out)[0]
 
-    def acronyms(self, text: str, closed: list[tuple[int, int]]) -> list[Change]:
-        """Spelled-out capitals as one token. Two letters, repeated I and initials before a name stay."""
-        out, coming = [], self.tables(text, closed)
-        for r in letter_runs(text, _CAPITALS):
+    def acronyms(self, text: str, closed: list[tuple[int, int]], coming: list[Change] | None = None, runs: list[Letters] | None = None) -> list[Change]:
+        """Spelled-out capitals as one token. Two letters, repeated I and initials before a name stay. ``coming``: what the
+        tables will change, and ``runs``: runs of capitals, if they are known."""
+        out, coming = [], self.tables(text, closed) if coming is None else coming
+        for r in letter_runs(text, _CAPITALS) if runs is None else runs:
             letters = "".join(text[p] for p in r.places)
             word = self._follower(text, r.end, coming)
             if (len(letters) == 2 and r.gaps[0] in (".", " ")) or set(letters) == {"I"} or self._name(word):
@@ -291,27 +316,31 @@ class Rules:
         """Each run of letters with its class, the evidence and what is to be changed; the first class that fits holds."""
         if not (runs := letter_runs(text)):
             return []
-        coming, compact = self.tables(text, closed), self.acronyms(text, closed)
-        words = [(m.start(), m.group().lower()) for m in _WORD.finditer(text)]
-        starts = [at for at, _ in words]
+        coming = self.tables(text, closed)
+        # without hyphens and commas between capitals both patterns find the same runs of them
+        capitals = None if _JOINED.search(text) else [r for r in runs if text[r.start].isupper()]
+        compact = self.acronyms(text, closed, coming, capitals)
+        joined = [c.start for c in compact]
+        starts, every = [m.start() for m in _WORD.finditer(text)], " ".join(_WORD.findall(text)).lower()
+        words, bare = every.split(), re.sub("['’]", "", every).split()
         out = []
         for r in runs:
-            if any(r.start < e and r.end > s for s, e in closed):
+            if closed and any(r.start < e and r.end > s for s, e in closed):
                 continue
             letters = "".join(text[p] for p in r.places).upper()
             i, j = bisect_left(starts, r.start), bisect_left(starts, r.end)
-            near = {w.replace("'", "").replace("’", "") for _, w in words[max(0, i - WORDS_BEFORE) : i] + words[j : j + WORDS_AFTER]}
-            cls, evidence = self._class(text, r, letters, near, " ".join(w for _, w in words[max(0, i - CUE_WORDS) : i]), self._follower(text, r.end, coming))
+            near = {*bare[max(0, i - WORDS_BEFORE) : i], *bare[j : j + WORDS_AFTER]}
+            cls, evidence = self._class(text, r, letters, near, words[max(0, i - CUE_WORDS) : i], self._follower(text, r.end, coming))
             changes = []
             if cls == "spelling":
                 new = "-".join(letters) + ("." if r.point and not r.plural and r.end == len(text) else "") + r.plural
                 changes = [Change(r.start, r.end, new, 1, "acronyms", "spelling", 0)] if new != text[r.start : r.end] else []
             elif cls in ("pair", "acronym", "ambiguous"):
-                changes = [c for c in compact if r.start <= c.start and c.end <= r.end]
+                changes = [c for c in compact[bisect_left(joined, r.start) : bisect_left(joined, r.end)] if c.end <= r.end]
             out.append((r, cls, evidence, changes))
         return out
 
-    def _class(self, text: str, r: Letters, letters: str, near: set[str], before: str, follower: str) -> tuple[str, str]:
+    def _class(self, text: str, r: Letters, letters: str, near: set[str], before: list[str], follower: str) -> tuple[str, str]:
         n, said = len(letters), letters.lower()
         reach = 0 if n < ONE_EDIT else 1 if n < TWO_EDITS else 2
         cue, then = self._cues
@@ -322,8 +351,8 @@ class Rules:
             ("other", "comma", lambda: any("," in g for g in r.gaps)),
             ("other", "alphabet", lambda: n >= ALPHABET_LEAST and ALPHABET.startswith(letters)),
             ("other", "notes", lambda: n >= NOTES_LEAST and set(letters) <= set(NOTES)),
-            ("spelling", "echo", lambda: said in near or (reach > 0 and any(abs(len(w) - n) <= reach and distance(said, w) <= reach for w in near))),
-            ("spelling", "cue", lambda: bool((cue and cue.search(before)) or (then and then.match(text, r.end)))),
+            ("spelling", "echo", lambda: said in near or (reach > 0 and any([_within(said, w, reach) for w in near if -reach <= len(w) - n <= reach]))),
+            ("spelling", "cue", lambda: bool((cue and cue.search(" ".join(before))) or (then and then.match(text, r.end)))),
             ("acronym", "lexicon", lambda: self._known(letters, COMPACT_LEAST)),
             ("acronym", "split", lambda: self.parts(letters)),
             ("spelling", "hyphen", lambda: set(r.gaps) == {"-"}),
@@ -497,17 +526,15 @@ JUDGED = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("
 def judge(rules: Rules):
     """A UDF: every run of single letters with its class, the evidence and how it would be written."""
 
-    @F.pandas_udf(JUDGED)
-    def runs(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            rows = []
-            for r, cls, evidence, changes in rules.judged(t or "", []):
-                draft = Draft((t or "")[: r.end])
-                draft.revise(changes)
-                rows.append({"start": r.start, "end": r.end, "letters": "".join(t[p] for p in r.places).upper(), "class": cls, "evidence": evidence, "output": draft.text[r.start :]})
-            out.append(None if t is None else rows)
-        return pd.Series(out)
+    @F.arrow_udf(JUDGED)
+    def runs(texts: pa.Array) -> pa.Array:
+        rows = []
+        for t in texts.to_pylist():
+            told = rules.judged(t, []) if t else []
+            letters = lambda r: "".join(t[p] for p in r.places).upper()  # noqa: B023, E731
+            written = lambda r, changes: apply(t[r.start : r.end], [(c.start - r.start, c.end - r.start, c.new) for c in changes])  # noqa: B023, E731
+            rows.append(None if t is None else [(r.start, r.end, letters(r), cls, evidence, written(r, changes)) for r, cls, evidence, changes in told])
+        return _lists(rows, {f.name: pa.int32() if f.dataType == T.IntegerType() else pa.string() for f in JUDGED.elementType})
 
     return runs
 
