@@ -70,6 +70,56 @@ def report(training: DataFrame, held: DataFrame, rec: str, utt: str, n: int = GR
     )
 
 
+def set_report(training: DataFrame, held: DataFrame, identity: DataFrame, rec: str, utt: str, group: str, n: int = GRAM, most_df: int = BOILERPLATE, share: float = SHARE) -> DataFrame:
+    """One row for each held-out set: its utterances by what became of them, and the recordings that it denies.
+
+    ``held`` has one row for each utterance, ``identity`` (group, rec) the recordings that its ids name; rows without a group
+    are left out. Columns: utterances, checked, skipped_short, skipped_empty (of boilerplate only), contained_utterances,
+    containment_recordings, identity_recordings, recordings (either).
+    """
+    held = held.where(F.col(group).isNotNull())
+    wanted, found = probed = probe(training, held, rec, utt, n)
+    hits = stored(contained(training, held, rec, utt, n, most_df, share, probed=probed).select(rec, utt))
+    common = found.groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") > most_df).select("gram")
+    flag = lambda df, name: df.select(utt).distinct().withColumn(name, F.lit(True))
+    state = held.select(group, utt, (F.size(T.words(F.col("norm"))) < n).alias("__short"))
+    state = state.join(flag(wanted.join(common, "gram", "left_anti"), "__left"), utt, "left").join(flag(hits, "__hit"), utt, "left")
+    told = state.groupBy(group).agg(
+        F.count("*").alias("utterances"), F.count_if("__short").alias("skipped_short"),
+        F.count_if(~F.col("__short") & F.col("__left").isNull()).alias("skipped_empty"), F.count("__hit").alias("contained_utterances"),
+    )
+    of = hits.join(held.select(group, utt), utt).select(group, rec, F.lit(True).alias("__in"), F.lit(False).alias("__named"))
+    named = identity.where(F.col(group).isNotNull() & F.col(rec).isNotNull()).select(group, rec, F.lit(False).alias("__in"), F.lit(True).alias("__named"))
+    by_rec = of.unionByName(named).groupBy(group, rec).agg(F.max("__in").alias("__in"), F.max("__named").alias("__named"))
+    denied = by_rec.groupBy(group).agg(F.count_if("__in").alias("containment_recordings"), F.count_if("__named").alias("identity_recordings"), F.count("*").alias("recordings"))
+    counts = [c for c in (*told.columns, *denied.columns) if c != group]
+    out = told.join(denied, group, "full_outer").select(group, *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts))
+    return out.withColumn("checked", F.col("utterances") - F.col("skipped_short") - F.col("skipped_empty"))
+
+
+def talks(rows: DataFrame, held: DataFrame, rec: str, order: str, labels: dict[str, str], utt: str, size: int = 20, most_df: int = BOILERPLATE, share: float = SHARE) -> DataFrame:
+    """(rec, label_set, windows, closest): how near a recording comes to held-out talks, in each of its sets of labels.
+
+    ``labels``: name -> column of ``rows``. A recording's rows are joined in order, so that grams cross them, and held against
+    windows of ``size`` words of each talk. ``windows`` are those of which it has ``share`` of the grams, ``closest`` is the largest
+    share. Boilerplate is counted within a label set. Recordings without a gram of a talk have no row.
+    """
+    cut = windows(held, utt, size=size).withColumn("__unit", F.struct(utt, "window"))
+    out = None
+    for name, text in labels.items():
+        met = contained(recordings(rows, rec, order, text), cut, rec, "__unit", most_df=most_df, share=0.0)
+        near = met.groupBy(rec).agg(F.count_if(F.col("matched") >= F.ceil(F.col("n_grams") * share)).alias("windows"), F.max(F.col("matched") / F.col("n_grams")).alias("closest"))
+        near = near.select(rec, F.lit(name).alias("label_set"), "windows", "closest")
+        out = near if out is None else out.unionByName(near)
+    return out
+
+
+def rejected(rows: DataFrame, near: DataFrame, rec: str, key: str) -> DataFrame:
+    """(key, label_sets): every id of each recording that ``talks`` found a window in, with the label sets that had it."""
+    bad = near.where("windows > 0").groupBy(rec).agg(F.array_sort(F.collect_set("label_set")).alias("label_sets"))
+    return rows.select(rec, key).distinct().join(bad, rec).select(key, "label_sets")
+
+
 def windows(df: DataFrame, key: str, norm: str = "norm", size: int = 20) -> DataFrame:
     """Each text cut into consecutive windows of ``size`` words: (key, window, norm)."""
     w = T.words(F.col(norm))
@@ -78,10 +128,15 @@ def windows(df: DataFrame, key: str, norm: str = "norm", size: int = 20) -> Data
     return df.where(F.size(w) > 0).select(key, F.explode(cut).alias("x")).select(key, "x.window", "x.norm")
 
 
-def denylist(training: DataFrame, held: DataFrame, reserved: DataFrame, rec: str, utt: str, **rule) -> DataFrame:
-    """(rec, rules): recordings that are reserved or contain a held-out utterance."""
+def denylist(training: DataFrame, held: DataFrame, reserved: DataFrame, rec: str, utt: str, identity: DataFrame | None = None, **rule) -> DataFrame:
+    """(rec, rules): recordings that are reserved, contain a held-out utterance or, by ``identity``, are named by a held-out id.
+
+    Named recordings are denied whether or not they are in ``training``; a null names none.
+    """
     hits = contained(training, held, rec, utt, **rule).select(rec).distinct().withColumn("rule", F.lit("containment"))
     every = hits.unionByName(reserved.select(rec).distinct().withColumn("rule", F.lit("reserved")))
+    if identity is not None:
+        every = every.unionByName(identity.select(rec).where(F.col(rec).isNotNull()).distinct().withColumn("rule", F.lit("identity")))
     return every.groupBy(rec).agg(F.array_sort(F.collect_set("rule")).alias("rules"))
 
 

@@ -60,3 +60,49 @@ def leakage(train: DataFrame, reserved: DataFrame, unit: str = "unit") -> DataFr
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
     hit = train.withColumn("__prefix", F.explode(prefixes)).join(reserved.select(F.col(unit).alias("__prefix")).distinct(), "__prefix", "left_semi")
     return hit.drop("__prefix").distinct()
+
+
+def gaps(shards: DataFrame, first: str, last: str, *by: str) -> DataFrame:
+    """Shards (last excluded) that don't begin where the one before them in their group ends, with that place as ``expected``.
+
+    A listing of shards has one row for each, so its order is a window; empty shards and overlaps are told as well.
+    """
+    w = W.partitionBy(*by).orderBy(first, last)
+    told = shards.select(*by, first, last, F.lag(last).over(w).alias("expected"))
+    return told.where((F.col("expected") != F.col(first)) | (F.col(last) <= F.col(first)))
+
+
+def reach(shards: DataFrame, first: str, last: str, through: int, *by: str) -> DataFrame:
+    """Groups whose shards, contiguous from 0, end before ``through``: (by, covered)."""
+    w = W.partitionBy(*by).orderBy(first, last)
+    ends = shards.select(*by, first, last, F.coalesce(F.lag(last).over(w), F.lit(0)).alias("expected"))
+    broken = F.max((F.col("expected") != F.col(first)).cast("int")).over(w)
+    covered = ends.withColumn("__broken", broken).groupBy(*by).agg(F.coalesce(F.max(F.when(F.col("__broken") == 0, F.col(last))), F.lit(0)).cast("long").alias("covered"))
+    return covered.where(F.col("covered") < through)
+
+
+def shared(tables: DataFrame, table: str, form: str) -> DataFrame:
+    """Forms, in any case, that more than one table lists: (form, tables)."""
+    told = tables.select(F.lower(form).alias("form"), F.col(table).alias("__table")).where("form is not null")
+    return told.groupBy("form").agg(F.array_sort(F.collect_set("__table")).alias("tables")).where("size(tables) > 1")
+
+
+def unsettled(forms: DataFrame, written: str, output: str) -> DataFrame:
+    """(written, output, form): replacements in whose output a listed form stands, so that a second pass would change it.
+
+    Every run of whole words of an output is looked up by value; a form that is replaced by itself is settled.
+    """
+    said = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    told = forms.select(written, output, F.split(said(output), " ").alias("__w")).distinct()
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("__w")), lambda i: F.transform(F.sequence(i, F.size("__w")), lambda j: F.array_join(F.slice("__w", i, j - i + 1), " "))))
+    listed = forms.where(said(written) != said(output)).select(said(written).alias("form")).distinct()
+    return told.select(written, output, F.explode(F.array_distinct(runs)).alias("form")).where(F.col("form") != "").join(listed, "form").select(written, output, "form")
+
+
+def expect_final(parts: list[str], sets: DataFrame, part: str, final: bool = True) -> list[str]:
+    """The required parts that no set has; a final build refuses to go on without them."""
+    have = {r[0] for r in sets.where(F.col(part).isin(parts)).select(part).distinct().collect()} if parts else set()
+    absent = [p for p in parts if p not in have]
+    if final and absent:
+        raise GateError(f"a final build without {absent}")
+    return absent

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cleaned, core, files, further, ordered, reports, streams, transcripts, vocabularies, wider  # noqa: F401  (registers its queries)
+from . import cleaned, core, files, further, heldsets, ordered, reports, streams, transcripts, vocabularies, wider  # noqa: F401  (registers its queries)
 
 QUERIES, ORACLE = core.QUERIES, core.ORACLE
 FLAGSHIP = QUERIES["d1_denylist"]

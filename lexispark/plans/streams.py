@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators.sequences import _shared_folder
+from ..streaming import collapse as C
 from ..streaming import ledger as L
 from .core import query, table
 
@@ -71,3 +72,11 @@ def st12_shard_groups(spark, d):
 
     _runs(marks, "order", 2, folder, lambda s: L.by_groups(s, work, folder, f"{folder}/check"))
     return spark.read.schema("shards long, docs long, chars long, group long").parquet(f"{folder}/results").select("group", "shards", "docs", "chars")
+
+
+@query()
+def st11_collapses(spark, d):
+    """Where each user's events, taken as a training's log with purchases as its validations, raise an alarm of collapse."""
+    kind = F.when(F.col("event_type") == "purchase", C.VALID).otherwise(C.TRAIN)
+    log = table(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), kind.alias("kind"), F.col("value").alias("loss"), F.col("value").alias("gradient"), (F.col("value") / 100).alias("errors"))
+    return C.alarms(log, "run", C.Limits(window=5, ready=0, factor=2.0))
