@@ -188,6 +188,22 @@ def x15_terms_reproduced(spark, d):
     return _occurrences(spark, d)
 
 
+#: Units as they are said and as they are written, which count as the same after a number.
+_UNITS = [["milligrams", "milligram", "mg"], ["milligrams per word", "mg w"]]
+
+
+@query()
+def x15_number_equivalents(spark, d):
+    """Terms of a turn in the next one, behind doses that one says in words and the other in short, one in three without a number."""
+    phrases = [*_PHRASES, "milligrams", "milligrams per word"]
+    number = F.when(F.col("turn") % 3 != 0, F.col("turn").cast("string")).otherwise("some")
+    dose = lambda unit, text: F.concat_ws(" ", number, F.when(F.col("conv_id") % 2 == 0, unit[0]).otherwise(unit[1]), text)
+    p = _pairs(spark, d).withColumn("ref", dose(("milligrams", "milligrams per word"), "ref")).withColumn("hyp", dose(("mg", "mg w"), "hyp"))
+    p = p.withColumn("spans", align.phrase_matcher(phrases)(T.words(F.col("ref"))))
+    said = C.reproduced(_PHRASES, C.equivalent_forms(_UNITS, phrases))
+    return p.select("conv_id", "turn", F.explode(said("ref", "hyp", "spans")).alias("x")).select("conv_id", "turn", "x.*")
+
+
 @query()
 def d8_pair_metrics(spark, d):
     """By phrase: how often it is said, another of its pair stands in its place, or the span is near in letters."""

@@ -3,6 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lexispark.functions import align
+from lexispark.functions import cleaning as C
+from lexispark.functions import text as T
 from lexispark.operators import decontaminate as D
 from lexispark.operators import gates as G
 
@@ -65,3 +68,19 @@ def test_final_builds_need_all_parts(spark):
     with pytest.raises(G.GateError, match="m3"):
         G.expect_final(["m1", "m3"], sets, "part")
     assert sets.where(F.col("part").isNull()).count() == 1
+
+
+def test_forms_that_count_after_a_number(spark):
+    phrases = ["mg", "pill box", "pillbox", "milli gram", "milligram", "mg kg"]
+    assert C.variant_forms(phrases) == {"pill box": ["pillbox"], "pillbox": ["pill box"], "milli gram": ["milligram"], "milligram": ["milli gram"]}
+    groups = [["mg", "milligram"], ["mg kg", "milligrams per kilogram"], ["mg", "em gee"]]
+    same = C.equivalent_forms(groups, phrases)
+    assert same == {"mg": ["em gee", "milli gram", "milligram"], "milligram": ["mg", "milli gram"], "milli gram": ["mg", "milligram"], "mg kg": ["milligrams per kilogram"]}
+    with pytest.raises(ValueError, match="two or more"):
+        C.equivalent_forms([["mg", " mg "]], phrases)
+    rows = [(0, "take 5 mg now", "take 5 milligram now", True), (1, "take some mg now", "take some milligram now", False), (2, "take one mg now", "take one em gee now", True), (3, "mg now", "milligram now", False),
+            (4, "at 2.5 mg kg daily", "at 2.5 milligrams per kilogram daily", True), (5, "x 1 pill box y", "x 1 pillbox y", True), (6, "take 5 mg now", "take 5 now", False), (7, "take 5 mg now", None, False)]
+    df = spark.createDataFrame(rows, "id int, r string, h string, want boolean").withColumn("s", align.phrase_matcher(phrases)(T.words(F.col("r"))))
+    got = df.select("id", "want", F.explode(C.reproduced(C.variant_forms(phrases), same)("r", "h", "s")).alias("x")).collect()
+    assert len(got) == 8 and all(r.x.reproduced == r.want for r in got), [(r.id, r.x) for r in got if r.x.reproduced != r.want]
+    assert not any(r.x.reproduced for r in df.where("id in (0, 2, 4)").select(F.explode(C.reproduced({})("r", "h", "s")).alias("x")).collect())
