@@ -151,14 +151,16 @@ def diffused_draw(clips: DataFrame, real: DataFrame, share: float, size: str, or
     at = running(clips.select(order, size), size, "v", order).select(order, size, (F.col("v") + F.col(size) / 2).alias("v"), F.lit(None).alias("pool"))
     goals = running(real.select("pool", (F.col("real") * share).alias("goal")), "goal", "v", "pool")
     pools = goals.select(F.lit(None).alias(order), F.lit(None).alias(size), (F.col("v") + F.col("goal")).alias("v"), "pool")
-    # a clip's pool is the first whose running target isn't less: the next one in its range part, or in the parts after
+    # a clip's pool is the first whose running target isn't less: the next one in its range part, or in the parts after. Parts
+    # are read backwards: a frame that grows is carried on from row to row, one that shrinks is gone through anew for each
     both = at.unionByName(pools).withColumn("last", F.col(order).isNull().cast("int"))
     parts = int(clips.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = stored(both.repartitionByRange(parts, "v", "last").withColumn("__part", F.spark_partition_id()))
-    firsts = cut.where("last = 1").groupBy("__part").agg(F.min_by("pool", "v").alias("__first"))
+    firsts = cut.where("last = 1").groupBy("__part").agg(F.min(F.struct("v", "pool"))["pool"].alias("__first"))
     each = cut.select("__part").distinct().join(firsts, "__part", "left")
-    after = each.select("__part", F.first("__first", ignorenulls=True).over(W.orderBy("__part").rowsBetween(1, W.unboundedFollowing)).alias("__after"))  # a row for each part
-    inside = F.first("pool", ignorenulls=True).over(W.partitionBy("__part").orderBy("v", "last").rowsBetween(W.currentRow, W.unboundedFollowing))
+    after = each.select("__part", F.last("__first", ignorenulls=True).over(W.orderBy(F.desc("__part")).rowsBetween(W.unboundedPreceding, -1)).alias("__after"))  # a row for each part
+    backwards = W.partitionBy("__part").orderBy(F.desc("v"), F.desc("last"), F.desc("pool"))
+    inside = F.last("pool", ignorenulls=True).over(backwards.rowsBetween(W.unboundedPreceding, W.currentRow))
     dealt = cut.withColumn("__inside", inside).where("last = 0").join(F.broadcast(after), "__part")
     return dealt.select(F.coalesce("__inside", "__after").alias("pool"), order, size).where("pool is not null")
 
