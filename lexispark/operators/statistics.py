@@ -54,10 +54,13 @@ def auroc(df: DataFrame, score: str, label: str) -> DataFrame:
     return run.agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auroc"))
 
 
-def counter_rates(df: DataFrame, counter: str, ts: str, by: str, wrap: float) -> DataFrame:
-    """``delta`` (a counter that falls has wrapped) and ``rate`` (null if time stood still)."""
-    w = W.partitionBy(by).orderBy(ts)
-    before, seconds = F.lag(counter).over(w), F.col(ts) - F.lag(ts).over(w)
+def counter_rates(df: DataFrame, counter: str, ts: str, by: str, wrap: float, per: float = 1.0, then: tuple[str, ...] = ()) -> DataFrame:
+    """``delta`` (a counter that falls has wrapped) and ``rate`` (null if time stood still) for each ``per`` units of ``ts``.
+
+    Whole numbers of small units keep short steps exact, which seconds since 1970 don't. Readings of one time follow ``then``.
+    """
+    w = W.partitionBy(by).orderBy(ts, *then)
+    before, seconds = F.lag(counter).over(w), (F.col(ts) - F.lag(ts).over(w)) / per
     delta = F.when(F.col(counter) < before, F.col(counter) + wrap - before).otherwise(F.col(counter) - before)
     return df.withColumn("delta", delta).withColumn("rate", F.when(seconds > 0, delta / seconds))
 

@@ -383,8 +383,8 @@ def d4_given_boilerplate(spark, d):
 
 @query("""select event_id, round(delta, 4) as delta, round(case when s > 0 then delta / s end, 4) as rate from (select event_id, (epoch_us(ts) - lag(epoch_us(ts)) over w) / 1e6 as s, case when value < lag(value) over w then value + 1000 - lag(value) over w else value - lag(value) over w end as delta from events window w as (partition by user_id order by ts))""")
 def ts1_counter_rates(spark, d):
-    ev = table(spark, d, "events").select("event_id", "user_id", "value", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
-    return S.counter_rates(ev, "value", "t", "user_id", 1000.0).select("event_id", F.round("delta", 4).alias("delta"), F.round("rate", 4).alias("rate"))
+    ev = table(spark, d, "events").select("event_id", "user_id", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    return S.counter_rates(ev, "value", "t", "user_id", 1000.0, per=1e6, then=("event_id",)).select("event_id", F.round("delta", 4).alias("delta"), F.round("rate", 4).alias("rate"))
 
 
 @query("select event_id, case when event_type = 'view' then value when event_type = 'click' then value / 2 else 0 end as estimate, case when event_type = 'view' then 'measured' when event_type = 'click' then 'halved' else 'default' end as basis from events")
