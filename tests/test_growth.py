@@ -1,12 +1,13 @@
 """Steps whose time or memory once grew faster than their input, and what they must still give."""
 
 import datetime
+import random
 import re
 
 from pyspark.sql import functions as F
 
 from lexispark.functions import text as T
-from lexispark.operators import sequences
+from lexispark.operators import duplicates, sequences
 from lexispark.plans import registry
 
 
@@ -38,3 +39,30 @@ def test_normal_forms_name_what_they_drop(spark):
     for r in rows.select(F.lower(F.coalesce("t", F.lit(""))).alias("low"), T.simple_norm(F.col("t")).alias("s"), T.letters_norm(F.col("t")).alias("l")).collect():
         assert r.s == re.sub(" +", " ", re.sub("[^a-z0-9' ]", " ", r.low)).strip(" ")
         assert r.l == re.sub(" +", " ", re.sub("[^a-z ]", " ", r.low)).strip(" ")
+
+
+def test_a_bucket_of_many_unlike_texts_takes_few_rounds(spark, monkeypatch):
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))
+    texts = [" ".join(word() for _ in range(20)) for _ in range(150)]
+    for t in rnd.sample(texts, 30):  # chains: each has a word less than the one before
+        w = t.split()
+        texts += [" ".join(w[k:]) for k in range(1, rnd.randint(2, 6))]
+    rnd.shuffle(texts)
+    kept, want = [], {}
+    for i, t in enumerate(texts):
+        s = set(zip(t.split(), t.split()[1:]))
+        want[i] = "near_duplicate" if any(len(s & x) >= 0.7 * len(s | x) for x in kept) else None
+        kept += [] if want[i] else [s]
+    calls, real, banded = [], duplicates.stored, duplicates._banded
+
+    def counted(df):
+        calls.append(1)
+        assert len(calls) < 60
+        return real(df)
+
+    monkeypatch.setattr(duplicates, "stored", counted)
+    monkeypatch.setattr(duplicates, "_banded", lambda sets: banded(sets).withColumn("bucket", F.lit(0).cast("long")).distinct())
+    monkeypatch.setattr(duplicates, "SPLIT", 50, raising=False)
+    got = duplicates.keep_first(spark.createDataFrame(list(enumerate(texts)), "id long, norm string"), "id", "norm").collect()
+    assert {r.id: r.reason for r in got} == want
