@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .slices import sliced
+
 
 def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in fields.items()])
@@ -48,7 +50,7 @@ def path(ref: list[str], hyp: list[str]) -> list[tuple[str, int, int]]:
     return out[::-1]
 
 
-@F.pandas_udf(COUNTS)
+@sliced(COUNTS)
 def edit_counts(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     """Substitutions, deletions and insertions between the words of two texts."""
     rows = []
@@ -58,7 +60,7 @@ def edit_counts(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["s", "d", "i"]).astype("int32")
 
 
-@F.pandas_udf(STEPS)
+@sliced(STEPS)
 def alignment(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     """Every step of the alignment with its words."""
     out = []
@@ -91,7 +93,7 @@ def longest(tokens: list, most: int = 6) -> tuple[int, int]:
     return max((c, -n) for n, c in copies.items())[0], min(n for n, c in copies.items() if c == max(copies.values()))
 
 
-@F.pandas_udf(_struct(repeats=_INT, n=_INT))
+@sliced(_struct(repeats=_INT, n=_INT))
 def longest_repeat(tokens: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([longest(list(t) if t is not None else []) for t in tokens], columns=["repeats", "n"]).astype("int32")
 
@@ -101,7 +103,7 @@ def phrase_matcher(phrases: list[str]):
     table = {tuple(p.split()): p for p in phrases if p.split()}
     longest_ = max(map(len, table), default=0)
 
-    @F.pandas_udf(SPANS)
+    @sliced(SPANS)
     def match(words: pd.Series) -> pd.Series:
         out = []
         for w in words:

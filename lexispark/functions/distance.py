@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .slices import sliced
+
 #: Pairs whose vectors are stepped together.
 PAIRS = 4096
 
@@ -73,7 +74,7 @@ def many(refs: list[list[str]], hyps: list[list[str]]) -> np.ndarray:
     return out
 
 
-@F.pandas_udf(T.LongType())
+@sliced(T.LongType(), rows=PAIRS)
 def word_distance(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     """Least number of substituted, deleted and inserted words; null counts as no words."""
     return pd.Series(many([t.split() for t in ref.fillna("")], [t.split() for t in hyp.fillna("")]))

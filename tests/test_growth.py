@@ -4,7 +4,9 @@ import datetime
 import random
 import re
 
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from lexispark.functions import text as T
 from lexispark.operators import duplicates, sequences
@@ -66,3 +68,17 @@ def test_a_bucket_of_many_unlike_texts_takes_few_rounds(spark, monkeypatch):
     monkeypatch.setattr(duplicates, "SPLIT", 50, raising=False)
     got = duplicates.keep_first(spark.createDataFrame(list(enumerate(texts)), "id long, norm string"), "id", "norm").collect()
     assert {r.id: r.reason for r in got} == want
+
+
+def test_arrow_functions_hold_few_rows_and_give_all(spark):
+    from lexispark.functions import align, slices
+
+    size = slices.sliced(LongType())(lambda x: pd.Series([len(x)] * len(x)))
+    rows = spark.range(0, 1000, 1, 1).select("id", F.when(F.col("id") % 7 > 0, F.concat_ws(" ", F.lit("a b"), F.col("id") % 5)).alias("r"), F.lit("a 3 c").alias("h"))
+    assert {r[0] for r in rows.select(size("r")).collect()} == {slices.ROWS, 1000 % slices.ROWS}
+    got = rows.select("r", "h", align.alignment("r", "h").alias("s"), align.edit_counts("r", "h").alias("n"), align.longest_repeat(F.split("r", " ")).alias("l")).collect()
+    assert len(got) == 1000
+    for r in got:
+        a, b = (r.r or "").split(), r.h.split()
+        assert [(s.op, s.i, s.j, s.ref, s.hyp) for s in r.s] == [(o, i, j, None if o == "I" else a[i], None if o == "D" else b[j]) for o, i, j in align.path(a, b)]
+        assert r.n.s + r.n.d + r.n.i == sum(s.op != "=" for s in r.s) and tuple(r.l) == align.longest(a)
