@@ -258,8 +258,8 @@ def x3_word_count(spark, d):
 
 @query(f"select doc_id, count(*) as n, count(distinct gram) as n_distinct, min(gram) as least from (select doc_id, unnest([array_to_string(w[i:i + 7], ' ') for i in range(1, len(w) - 6)]) as gram from ({WORDS_SQL}) where len(w) >= 8) group by doc_id")
 def x5_ngrams(spark, d):
-    g = T.grams(F.col("w"), 8)
-    return words(spark, d).where("size(w) >= 8").select("doc_id", F.size(g).cast("long").alias("n"), F.size(F.array_distinct(g)).cast("long").alias("n_distinct"), F.array_min(g).alias("least"))
+    told = T.let(F.array_distinct(T.grams(F.col("w"), 8)), lambda g: F.struct(F.size(g).cast("long").alias("n_distinct"), F.array_min(g).alias("least")))
+    return words(spark, d).where("size(w) >= 8").select("doc_id", (F.size("w") - 7).cast("long").alias("n"), told.alias("g")).select("doc_id", "n", "g.n_distinct", "g.least")
 
 
 _BI = f"select conv_id, turn, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) as b from (select conv_id, turn, {split(norm('text'))} as w from conversations)"

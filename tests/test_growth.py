@@ -82,3 +82,9 @@ def test_arrow_functions_hold_few_rows_and_give_all(spark):
         a, b = (r.r or "").split(), r.h.split()
         assert [(s.op, s.i, s.j, s.ref, s.hyp) for s in r.s] == [(o, i, j, None if o == "I" else a[i], None if o == "D" else b[j]) for o, i, j in align.path(a, b)]
         assert r.n.s + r.n.d + r.n.i == sum(s.op != "=" for s in r.s) and tuple(r.l) == align.longest(a)
+
+
+def test_shingles_are_made_once(spark):
+    for name, step in (("x7_minhash_signature", "md5("), ("x5_ngrams", "array_distinct(")):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(step) == 1
