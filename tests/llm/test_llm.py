@@ -156,6 +156,23 @@ def test_near_copies_of_a_passage_are_one_group(spark, size):
     assert seen >= 0.97 * len(pairs), (seen, len(pairs))
 
 
+def test_exact_passages_around_a_line_of_many_texts(spark):
+    rnd = random.Random(31)
+    text = lambda n: [f"u{rnd.randrange(10**7)}" for _ in range(n)]
+    line, texts, pairs = text(45), [], []
+    for i in range(150):
+        texts.append(" ".join([*text(30), *line, *text(30)]))
+    for i in range(40):  # 61 words in two texts, 45 of them the line that all texts have
+        left, right = text(i % 17), text(16 - i % 17)
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [" ".join([*text(20 + i), *left, *line, *right, *text(25)]) for _ in range(2)]
+    label = {}
+    for r in passages.groups(table(spark, texts)).collect():
+        label.setdefault(r.doc_id, set()).add((r.passage_doc_id, r.passage_start))
+    assert all(label.get(a, set()) & label.get(b, set()) for a, b in pairs)
+    assert not any(i in label for i in range(150))
+
+
 def test_passages_of_repeated_rows_and_equal_words(spark):
     rnd = random.Random(4)
     shared = " ".join(f"u{rnd.randrange(10**6)}" for _ in range(80))
