@@ -131,7 +131,24 @@ def poisson_sql(unit: str, rep: str, engine: str = "spark") -> str:
     cases = "case " + " ".join(f"when x < {c} then {k}" for k, c in enumerate(POISSON)) + f" else {len(POISSON)} end"
     if engine == "duck":
         return f"[{cases} for x in [('0x' || substr(md5({unit} || ':' || {rep}), 1, 7))::bigint / 268435456.0]][1]"
-    return f"transform(array(cast(conv(substr(md5(concat({unit}, ':', {rep})), 1, 7), 16, 10) as bigint) / 268435456.0D), x -> {cases})[0]"
+    return f"transform(array(md5(concat({unit}, ':', {rep}))), x -> {poisson_of('x')})[0]"
+
+
+def poisson_of(digest: str) -> str:
+    """SQL of the weight that an MD5 in hex digits stands for: digits are ordered as their numbers are, so none is converted."""
+    return "case " + " ".join(f"when {digest} < '{math.ceil(c * 2**28):07x}' then {k}" for k, c in enumerate(POISSON)) + f" else {len(POISSON)} end"
+
+
+def poisson_drawn(units: DataFrame, unit: str, replicates: int) -> DataFrame:
+    """Each unit with ``rep`` (from 0) and its weight ``k`` in that replicate, as ``poisson_sql`` gives it.
+
+    Rows are dealt out before they grow to many times their number: small tables would all be in a few tasks.
+    """
+    tasks = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = units.withColumn("__unit", F.concat(F.col(unit).cast("string"), F.lit(":"))).repartition(tasks)
+    rows = named.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    rows = rows.withColumn("__digest", F.expr("md5(concat(__unit, rep))"))
+    return rows.withColumn("k", F.expr(poisson_of("__digest"))).drop("__unit", "__digest")
 
 
 def crossed_bootstrap(df: DataFrame, clip: str, replicate: str, value: str, draws: int = 200, most: int = 1000) -> DataFrame:

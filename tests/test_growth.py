@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from lexispark.functions import text as T
-from lexispark.operators import duplicates, sequences
+from lexispark.operators import duplicates, sequences, statistics
 from lexispark.plans import registry
 
 
@@ -84,6 +84,15 @@ def test_arrow_functions_hold_few_rows_and_give_all(spark):
         assert r.n.s + r.n.d + r.n.i == sum(s.op != "=" for s in r.s) and tuple(r.l) == align.longest(a)
 
 
+def test_weights_are_drawn_from_digits_as_text_and_units_are_dealt_out(spark):
+    plan = registry.QUERIES["b3_utterance_bootstrap"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("conv(") == 0 and plan.count("md5(") == 1 and "Repartition" in plan
+    numbers = [n for c in statistics.POISSON for n in range(int(c * 2**28) - 1, int(c * 2**28) + 3)] + [0, 2**28 - 1]
+    rows = spark.createDataFrame([(n, f"{n:07x}" + "0" * 25) for n in numbers] + [(None, None)], "n long, digest string")
+    for n, k in rows.select("n", F.expr(statistics.poisson_of("digest"))).collect():
+        assert k == (8 if n is None else next((i for i, c in enumerate(statistics.POISSON) if n / 268435456.0 < c), 8))
+
+
 def test_shingles_are_made_once(spark):
     for name, step in (("x7_minhash_signature", "md5("), ("x5_ngrams", "array_distinct(")):
         plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
