@@ -6,6 +6,10 @@ boilerplate; an utterance is contained in a recording that holds at least ``shar
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +17,8 @@ from ..functions import text as T
 from .sequences import stored
 
 GRAM, BOILERPLATE, SHARE = 8, 100, 0.5
+#: Characters whose grams a range of hashes holds, about.
+RANGE = 4_000_000
 
 
 def recordings(rows: DataFrame, key: str, order: str, text: str) -> DataFrame:
@@ -26,6 +32,40 @@ def gram_rows(df: DataFrame, key: str, norm: str = "norm", n: int = GRAM) -> Dat
     return df.select(key, F.explode(F.array_distinct(T.gram_hashes(T.words(F.col(norm)), n))).alias("gram"))
 
 
+def frequencies(df: DataFrame, chars: int, norm: str = "norm", n: int = GRAM) -> DataFrame:
+    """(df, n): how many grams occur in ``df`` rows each, for those in more than one. ``chars``: about how many the texts have.
+
+    A batch sends its grams with their counts as flat arrays, a row for each range of hashes, so that a gram takes no row of its
+    own in sorts and hash maps; a range adds them up.
+    """
+    ranges = chars // RANGE + 1
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gram, times = np.unique(b.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
+            if len(gram):
+                place = gram % ranges
+                order = np.argsort(place, kind="stable")
+                gram, times, place = gram[order], times[order].astype(np.uint32), place[order]
+                edge = np.flatnonzero(np.diff(place, prepend=-1, append=-1)).tolist()
+                parts = [gram[a:z].tobytes() + times[a:z].tobytes() for a, z in zip(edge[:-1], edge[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(place[edge[:-1]], pa.int64()), pa.array(parts, pa.binary())], names=["b", "data"])
+
+    def added(table: pa.Table) -> pa.Table:
+        parts = [x.as_buffer() for x in table["data"]]
+        gram = np.concatenate([np.frombuffer(x, np.int64, x.size // 12) for x in parts])
+        times = np.concatenate([np.frombuffer(x, np.uint32, x.size // 12, x.size // 12 * 8) for x in parts])
+        order = np.argsort(gram)
+        gram, times = gram[order], times[order].astype(np.int64)
+        total = np.add.reduceat(times, np.flatnonzero(np.append(True, gram[1:] != gram[:-1])))
+        found, many = np.unique(total[total > 1], return_counts=True)
+        return pa.table([pa.array(found, pa.int64()), pa.array(many, pa.int64())], names=["df", "n"])
+
+    grams = df.select(F.array_distinct(T.gram_hashes(T.words(F.col(norm)), n)).alias("grams"))
+    sums = grams.mapInArrow(counted, "b long, data binary").groupBy("b").applyInArrow(added, "df long, n long")
+    return sums.groupBy("df").agg(F.sum("n").alias("n"))
+
+
 def probe(training: DataFrame, held: DataFrame, rec: str, utt: str, n: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """(held-out grams by utterance, training recordings that have them), stored: all texts are cut into grams once."""
     wanted = stored(gram_rows(held, utt, n=n))

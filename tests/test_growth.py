@@ -1,5 +1,6 @@
 """Steps whose time or memory once grew faster than their input, and what they must still give."""
 
+import collections
 import datetime
 import random
 import re
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from lexispark.functions import text as T
-from lexispark.operators import duplicates, sequences, statistics
+from lexispark.operators import decontaminate, duplicates, sequences, statistics
 from lexispark.plans import registry
 
 
@@ -93,6 +94,20 @@ def test_weights_are_drawn_from_digits_as_text_and_units_are_dealt_out(spark):
         assert k == (8 if n is None else next((i for i, c in enumerate(statistics.POISSON) if n / 268435456.0 < c), 8))
 
 
+def test_grams_are_counted_without_a_row_each(spark):
+    plan = registry.QUERIES["a4_document_frequency"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+    rnd = random.Random(5)
+    lines = [" ".join(rnd.choice("abcdefgh") * 3 for _ in range(9)) for _ in range(30)]
+    texts = [" ".join(rnd.choices(lines, k=rnd.randint(0, 4))) for _ in range(200)] + [None, "", "a b c"]
+    of = collections.Counter(g for t in texts for w in [(t or "").split()] for g in {tuple(w[i : i + 8]) for i in range(len(w) - 7)})
+    want = collections.Counter(k for k in of.values() if k > 1)
+    rows = spark.createDataFrame([(t,) for t in texts], "norm string").repartition(3)
+    for chars in (0, 40 * decontaminate.RANGE):  # one range and many
+        assert {r.df: r.n for r in decontaminate.frequencies(rows, chars).collect()} == want
+    assert decontaminate.frequencies(rows.limit(0), 0).count() == 0
+
+
 def test_shingles_are_made_once(spark):
     for name, step in (("x7_minhash_signature", "md5("), ("x5_ngrams", "array_distinct(")):
         plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
