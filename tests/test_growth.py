@@ -108,6 +108,23 @@ def test_grams_are_counted_without_a_row_each(spark):
     assert decontaminate.frequencies(rows.limit(0), 0).count() == 0
 
 
+def test_letters_are_judged_without_matching_forms_that_no_text_has():
+    from lexispark.functions import respelling as Y
+
+    class Never:
+        def finditer(self, text):
+            raise AssertionError(text)
+
+    tables = {"forms": [("forms", "usk", "USK"), ("forms", "it's", "its")], "lexicon": {"NASA": (9, 20)}}
+    rules, plain = Y.Rules(**tables), Y.Rules(**tables)
+    plain.__dict__["_forms"] = Never()
+    told = lambda r, text: [(x[1], x[2]) for x in r.judged(text, [])]
+    text = "we say N A S A, nasb B A S B, then C D E F G for masks' sake"
+    assert told(plain, text) == told(rules, text) == [("spelling", "echo"), ("spelling", "echo"), ("other", "notes")]
+    for written in ("the usk", "the USK", "the US\u212a"):  # a letter that is equal to k but for case
+        assert bool(rules.tables(written, [])) == (written != "the USK")
+
+
 def test_shingles_are_made_once(spark):
     for name, step in (("x7_minhash_signature", "md5("), ("x5_ngrams", "array_distinct(")):
         plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
