@@ -146,23 +146,26 @@ def diffused_draw(clips: DataFrame, real: DataFrame, share: float, size: str, or
     """(pool, order, size): clips in order for each pool so that their size follows ``share`` of the pool's real size.
 
     A clip is taken while got + d / 2 <= target; what is over or short is carried to the next pool. As the carry only
-    moves the target to the running sum of targets, a clip's pool follows from running sums of both sides.
+    moves the target to the running sum of targets, a clip's pool follows from running sums of both sides. Clips without a
+    size and pools without a real size are left out; a null pool and a null order come last. Sizes may be negative: a
+    clip's pool is the smallest whose running target isn't less, wherever that target lies.
     """
-    at = running(clips.select(order, size), size, "v", order).select(order, size, (F.col("v") + F.col(size) / 2).alias("v"), F.lit(None).alias("pool"))
-    goals = running(real.select("pool", (F.col("real") * share).alias("goal")), "goal", "v", "pool")
-    pools = goals.select(F.lit(None).alias(order), F.lit(None).alias(size), (F.col("v") + F.col("goal")).alias("v"), "pool")
-    # a clip's pool is the first whose running target isn't less: the next one in its range part, or in the parts after. Parts
-    # are read backwards: a frame that grows is carried on from row to row, one that shrinks is gone through anew for each
-    both = at.unionByName(pools).withColumn("last", F.col(order).isNull().cast("int"))
+    at = running(clips.select(order, size), size, "v", F.col(order).asc_nulls_last())
+    at = at.select(order, size, (F.col("v") + F.col(size) / 2).alias("v"), F.lit(None).alias("pool"), F.lit(0).alias("last")).where("v is not null")
+    goals = running(real.select("pool", (F.col("real") * share).alias("goal")).where("goal is not null"), "goal", "v", F.col("pool").asc_nulls_last())
+    named = F.struct(F.col("pool").isNull().alias("none"), "pool")
+    pools = goals.select(F.lit(None).alias(order), F.lit(None).alias(size), (F.col("v") + F.col("goal")).alias("v"), named.alias("pool"), F.lit(1).alias("last"))
+    # the smallest pool of those behind a clip in its range part, and in the parts after. Parts are read backwards: a frame
+    # that grows is carried on from row to row, one that shrinks is gone through anew for each
+    both = at.unionByName(pools)
     parts = int(clips.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = stored(both.repartitionByRange(parts, "v", "last").withColumn("__part", F.spark_partition_id()))
-    firsts = cut.where("last = 1").groupBy("__part").agg(F.min(F.struct("v", "pool"))["pool"].alias("__first"))
-    each = cut.select("__part").distinct().join(firsts, "__part", "left")
-    after = each.select("__part", F.last("__first", ignorenulls=True).over(W.orderBy(F.desc("__part")).rowsBetween(W.unboundedPreceding, -1)).alias("__after"))  # a row for each part
-    backwards = W.partitionBy("__part").orderBy(F.desc("v"), F.desc("last"), F.desc("pool"))
-    inside = F.last("pool", ignorenulls=True).over(backwards.rowsBetween(W.unboundedPreceding, W.currentRow))
+    firsts = cut.groupBy("__part").agg(F.min("pool").alias("__first"))
+    after = firsts.select("__part", F.min("__first").over(W.orderBy(F.desc("__part")).rowsBetween(W.unboundedPreceding, -1)).alias("__after"))  # a row for each part
+    backwards = W.partitionBy("__part").orderBy(F.desc("v"), F.desc("last"))
+    inside = F.min("pool").over(backwards.rowsBetween(W.unboundedPreceding, W.currentRow))
     dealt = cut.withColumn("__inside", inside).where("last = 0").join(F.broadcast(after), "__part")
-    return dealt.select(F.coalesce("__inside", "__after").alias("pool"), order, size).where("pool is not null")
+    return dealt.withColumn("__of", F.least("__inside", "__after")).where("__of is not null").select("__of.pool", order, size)
 
 
 def capped(df: DataFrame, caps: dict[str, int], *order: str, group: str | None = None) -> DataFrame:

@@ -76,8 +76,10 @@ def w8_seeded_permutation(spark, d):
 p as (select pool, sum(real * 0.3) over (order by pool) as upto from (select l_suppkey as pool, floor(sum(l_extendedprice)) as real from lineitem group by 1))
 select (select min(pool) from p where upto >= mid) as pool, k, s from m where mid <= (select max(upto) from p)""")
 def w9_diffused_draw(spark, d):
-    clips = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.floor("o_totalprice").cast("double").alias("s"))
-    real = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("pool")).agg(F.floor(F.sum("l_extendedprice")).cast("double").alias("real"))
+    # floor() gives a long, which has no NaN and an end; doubles beyond 2^52 are whole numbers
+    floor = lambda x: F.when(F.abs(x) < 2.0**52, F.floor(x).cast("double")).otherwise(x)
+    clips = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), floor(F.col("o_totalprice")).alias("s"))
+    real = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("pool")).agg(F.sum("l_extendedprice").alias("real")).withColumn("real", floor(F.col("real")))
     return Q.diffused_draw(clips, real, 0.3, "s", "k")
 
 

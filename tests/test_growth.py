@@ -5,6 +5,7 @@ import datetime
 import random
 import re
 
+import compare
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -22,6 +23,29 @@ def test_draw_carries_its_frames_on_and_takes_the_first_of_equal_targets(spark):
     assert {r.k: r.pool for r in out.collect()} == {i: 1 if i <= 9 else 4 for i in range(1, 25)}
 
 
+def test_draw_of_odd_rows_is_that_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    inf, nan = float("inf"), float("nan")
+    plain = [(i, 100.5 + 7 * (i % 5)) for i in range(40)]
+    odd = {
+        "null sizes": ([(0, None), *plain[1:9], (9, None), (None, 120.0)], [(1, 900.0), (2, 800.0), (3, 700.0)]),
+        "null pools": (plain, [(None, 5000.0), (1, None), (2, 900.0), (3, None), (4, 800.0)]),
+        "falling targets": (plain, [(1, 4000.0), (2, -3000.0), (3, 5000.0), (4, -100.0), (5, 1000.0)]),
+        "beyond long": ([*plain, (40, 1e19), (41, 5.0)], [(1, 900.0), (2, 1e20), (3, 9.5)]),
+        "no numbers": ([*plain, (40, nan), (41, 5.0)], [(1, 9000.0), (2, inf), (3, 9.5)]),
+        "all null": (plain, [(1, None), (2, None)]),
+    }
+    for name, (orders, lines) in odd.items():
+        at = f"{tmp_path}/{name}"
+        spark.createDataFrame(orders, "o_orderkey long, o_totalprice double").write.parquet(f"{at}/orders.parquet")
+        spark.createDataFrame(lines, "l_suppkey long, l_extendedprice double").write.parquet(f"{at}/lineitem.parquet")
+        con = duckdb.connect()
+        for t in ("orders", "lineitem"):
+            con.execute(f"create view {t} as select * from read_parquet('{at}/{t}.parquet/*.parquet')")
+        assert compare.differences(registry.QUERIES["w9_diffused_draw"](spark, at), con, registry.ORACLE["w9_diffused_draw"]) == [], name
+
+
 def test_rates_of_short_steps_are_exact(spark, tmp_path):
     at = datetime.datetime(2024, 1, 30, 12, 0, 0, 900001)
     steps = [58867, 58869, 2448301, 7]
