@@ -6,12 +6,14 @@ import random
 import re
 
 import compare
+import duckdb
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from lexispark.functions import text as T
-from lexispark.operators import decontaminate, duplicates, sequences, statistics
+from lexispark.operators import alike, decontaminate, duplicates, sequences, statistics
 from lexispark.plans import registry
 
 
@@ -24,8 +26,6 @@ def test_draw_carries_its_frames_on_and_takes_the_first_of_equal_targets(spark):
 
 
 def test_draw_of_odd_rows_is_that_of_the_sql(spark, tmp_path):
-    import duckdb
-
     inf, nan = float("inf"), float("nan")
     plain = [(i, 100.5 + 7 * (i % 5)) for i in range(40)]
     odd = {
@@ -153,3 +153,48 @@ def test_shingles_are_made_once(spark):
     for name, step in (("x7_minhash_signature", "md5("), ("x5_ngrams", "array_distinct(")):
         plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count(step) == 1
+
+
+def test_pairs_that_are_alike_are_all_told(spark, tmp_path):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    line, texts = " ".join(word() for _ in range(40)), ["a b c d", "", None, "one two three four five"]
+    for _ in range(60):  # families: their members are less alike one another than each is its first
+        w = [word() for _ in range(rnd.randint(30, 90))]
+        texts.append(" ".join(w))
+        for _ in range(rnd.randint(1, 6)):
+            v = list(w)
+            for at in rnd.sample(range(len(v)), rnd.randint(0, 3)):
+                v[at] = word()
+            texts.append(" ".join(v))
+    texts += [line + " " + " ".join(word() for _ in range(rnd.randint(4, 30))) for _ in range(40)] + [texts[4]] * 3
+    rnd.shuffle(texts)
+    rows = list(enumerate(texts)) + [(None, texts[7]), (3, texts[3]), (5, texts[9])]
+    shingles = [(k, {tuple(w[i : i + 5]) for i in range(len(w) - 4)}) for k, t in rows for w in [(t or "").split()]]
+    want = collections.Counter()
+    for i, (a, s) in enumerate(shingles):
+        for b, x in shingles[i + 1 :]:
+            if s and x and None not in (a, b) and a != b and 10 * len(s & x) >= 7 * len(s | x):
+                want[min(a, b), max(a, b), round(len(s & x) / len(s | x), 9)] += 1
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda: collections.Counter(map(tuple, registry.QUERIES["j14_minhash_bands"](spark, str(tmp_path)).collect()))
+    assert run() == want and len(want) > 200
+    duckdb.sql(f"create or replace view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert collections.Counter(duckdb.sql(registry.ORACLE["j14_minhash_bands"]).fetchall()) == want
+
+
+def test_frequent_shingles_and_parts_change_no_pair(spark, monkeypatch):
+    rnd = random.Random(3)
+    sets = [(i, rnd.sample(range(10**15, 10**15 + 12), rnd.randint(1, 12)) + [i // 5 * 3 + j for j in range(rnd.randint(0, 3))]) for i in range(120)]
+    rows = spark.createDataFrame(sets + [(200 + i, sets[0][1][::-1] * 2) for i in range(9)], "id long, s array<bigint>").repartition(2)
+    told = lambda: sorted(map(tuple, alike.pairs(rows, "id", "s").collect()))
+    before = told()
+    for name, value in (("FREQUENT", 6), ("RANGE", 40), ("GROUP", 30), ("PAIRS", 7), ("COPIES", 2)):
+        monkeypatch.setattr(alike, name, value)
+    monkeypatch.setattr(alike, "MOST_FREQUENT", 10**9)
+    assert told() == before and len(before) > 100
+    for a, b in [(rnd.sample(range(10**6), rnd.randint(1, 90)), rnd.sample(range(10**6), rnd.randint(1, 90))) for _ in range(200)]:
+        b = a[: rnd.randint(0, len(a))] + b[: rnd.randint(0, 20)] or b
+        like = 10 * len({*a} & {*b}) >= 7 * len({*a} | {*b})
+        one, two = (np.array(sorted({*x})) for x in (a, b))
+        assert alike.may_be_alike(len(one), alike.marks(one), len(two), alike.marks(two)) >= like
