@@ -173,6 +173,22 @@ def test_exact_passages_around_a_line_of_many_texts(spark):
     assert not any(i in label for i in range(150))
 
 
+def test_edited_passages_around_a_line_of_many_texts(spark):
+    rnd = random.Random(9)
+    text = lambda n: ["".join(rnd.choices("abcdefghijklmnop", k=6)) for _ in range(n)]
+    line, texts = text(45), []
+    for _ in range(40):  # two texts with the line and up to 17 words behind it, of which one differs: no 50 are equal
+        k = rnd.randint(1, 4)
+        head, tail = text(k), text(rnd.randint(10, 16) - k)
+        texts += [" ".join([*text(70), *line, *head, *text(1), *tail, *text(70)]) for _ in range(2)]
+    texts += [" ".join([*text(70), *line, *text(80)]) for _ in range(60)]
+    label = {}
+    for r in passages.groups(table(spark, texts)).collect():
+        label.setdefault(r.doc_id, set()).add((r.passage_doc_id, r.passage_start))
+    assert all(label.get(2 * i, set()) & label.get(2 * i + 1, set()) for i in range(40))
+    assert not any(i in label for i in range(80, 140)) and len(set.union(*label.values())) == 40
+
+
 def test_passages_of_repeated_rows_and_equal_words(spark):
     rnd = random.Random(4)
     shared = " ".join(f"u{rnd.randrange(10**6)}" for _ in range(80))
